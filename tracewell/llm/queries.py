@@ -7,16 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup
+from . import near_dup, token_store
 from ._common import read
 
 
+def op3_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_digests(read(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", near_dup.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_huffman_token_files": op3_huffman_token_files,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
