@@ -7,21 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup, token_store
-from ._common import read
+from . import langid, near_dup, token_store, toxicity
+from ._common import held_out, read
+
+
+def op1_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, apart = read(spark, sf_dir, "documents"), held_out("doc_id", 3, 1)
+    model = toxicity.fit(documents.where(~apart), read(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "sentences")
 
 
 def op3_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(read(spark, sf_dir, "documents"))
 
 
+def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, apart = read(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    trees = langid.fit(documents.where(~apart))
+    return langid.predict(documents, trees).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", near_dup.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_noisy_or_toxicity": op1_noisy_or_toxicity,
     "op3_huffman_token_files": op3_huffman_token_files,
+    "op5_ppm_language": op5_ppm_language,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
