@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, near_dup, token_store, toxicity
+from . import langid, near_dup, pii, token_store, topk, toxicity, url_filter
 from ._common import held_out, read
 
 
@@ -28,16 +28,41 @@ def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, trees).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op7_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", near_dup.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read(spark, sf_dir, "documents")))
+
+
+def op10_norm_bucket_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantized(read(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_noisy_or_toxicity": op1_noisy_or_toxicity,
     "op3_huffman_token_files": op3_huffman_token_files,
     "op5_ppm_language": op5_ppm_language,
+    "op7_path_templates": op7_path_templates,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_personal_data": op9_personal_data,
+    "op10_norm_bucket_top_k": op10_norm_bucket_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_path_templates": url_filter.oracle_sql(),
+    "op10_norm_bucket_top_k": """
+WITH usable AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM usable AS q JOIN usable AS c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 5""",
+}
