@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, near_dup, pii, token_store, topk, toxicity, url_filter
+from . import decontam, langid, mixing, near_dup, pii, token_counts, token_store, topk, toxicity, url_filter
 from ._common import held_out, read
 
 
@@ -18,16 +18,28 @@ def op1_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "sentences")
 
 
+def op2_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(read(spark, sf_dir, "documents"))
 
 
+def op4_raked_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(read(spark, sf_dir, "documents"))
+
+
 def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, apart = read(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
     trees = langid.fit(documents.where(~apart))
     return langid.predict(documents, trees).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op6_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"))
+
+
 def op7_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
@@ -48,8 +60,11 @@ def op10_norm_bucket_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_noisy_or_toxicity": op1_noisy_or_toxicity,
+    "op2_cgk_decontamination": op2_cgk_decontamination,
     "op3_huffman_token_files": op3_huffman_token_files,
+    "op4_raked_source_mix": op4_raked_source_mix,
     "op5_ppm_language": op5_ppm_language,
+    "op6_section_token_counts": op6_section_token_counts,
     "op7_path_templates": op7_path_templates,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_personal_data": op9_personal_data,
@@ -57,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_raked_source_mix": mixing.oracle_sql(),
     "op7_path_templates": url_filter.oracle_sql(),
     "op10_norm_bucket_top_k": """
 WITH usable AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
