@@ -181,5 +181,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one_of_each(df: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of ``df``, all columns, without those whose group holds a smaller doc_id."""
+    groups = near_duplicates(df, width=width)
+    dropped = groups.where("doc_id > component_id").select("doc_id").distinct()
+    return df.join(dropped, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -175,3 +175,17 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s for s, _ in got], pa.float64()), pa.array([x for _, x in got], SPANS)], ["doc_id", "score", "sentences"])
 
     return documents_of(df, id_col, text_col).mapInArrow(run, "doc_id long, score double, sentences array<struct<start:int,end:int,score:double>>")
+
+
+def drop_toxic(df: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, whose text scores below the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(model)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                yield part.filter(pa.array([score_text(t or "", weights, model.bias)[0] < threshold for t in texts], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
