@@ -33,7 +33,7 @@ PREFIXES = (4, 5, 6)
 class SampleBound:
     """Documented bound of the fit: texts per class, and the length of a text that may be drawn."""
 
-    per_class: int = 4000
+    per_class: int = 3000
     max_chars: int = 10_000
 
 
@@ -48,46 +48,54 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in PREFIXES if len(word) >= k)]
 
 
-def fit_noisy_or(bags: list[list[list[str]]], labels: np.ndarray, weight: np.ndarray, rounds: int = 250, rate: float = 0.1, l1: float = 1e-3, min_bags: int = 5, max_features: int = 20_000) -> ToxicityModel:
-    """Weights of features from bags of sentences (lists of words) and labels of bags.
+def sentences_of(text: str) -> Iterator[set[str]]:
+    """The distinct words of each sentence, lower-cased."""
+    for sentence in SENTENCE.findall(text.lower()):
+        yield set(WORD.findall(sentence))
 
-    Kept are features that occur in ``min_bags`` bags at least and significantly more often in
+
+def fit_noisy_or(texts: list[str], labels: np.ndarray, weight: np.ndarray, rounds: int = 250, rate: float = 0.1, l1: float = 1e-3, min_bags: int = 5, max_features: int = 20_000) -> ToxicityModel:
+    """Weights of features from documents and their labels.
+
+    Kept are features that occur in ``min_bags`` documents at least and significantly more often in
     positive ones. Full-batch Adam with soft thresholding; the bias starts low, as most sentences
-    are clean.
+    are clean. Texts are read twice, so that only counts and kept features are held.
     """
-    found = [[Counter(f for w in set(s) for f in features(w)) for s in bag] for bag in bags]
-    seen = [Counter(f for bag, y in zip(found, labels, strict=True) if y == c for f in {f for s in bag for f in s}) for c in (0, 1)]
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    for text, y in zip(texts, labels.tolist(), strict=True):
+        seen[y].update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
     n0, n1 = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
     gain = {}
     for f, k in seen[1].items():
-        a, c = k / n1, seen[0][f] / n0
-        pooled = (k + seen[0][f]) / (n0 + n1)
-        z = (a - c) / np.sqrt(max(pooled * (1 - pooled), 1e-9) * (1 / n0 + 1 / n1))
-        if k + seen[0][f] >= min_bags and z > 3:
-            gain[f] = z
+        if k + seen[0][f] >= min_bags:
+            a, c, pooled = k / n1, seen[0][f] / n0, (k + seen[0][f]) / (n0 + n1)
+            z = (a - c) / np.sqrt(max(pooled * (1 - pooled), 1e-9) * (1 / n0 + 1 / n1))
+            if z > 3:
+                gain[f] = z
+    del seen
     kept = sorted(gain, key=lambda f: (-gain[f], f))[:max_features]
     index = {f: i for i, f in enumerate(kept)}
-    at_sentence, at_feature, value, bag_of = [], [], [], []
-    for b, bag in enumerate(found):
-        for s in bag:
-            for f, k in s.items():
-                if f in index:
-                    at_sentence.append(len(bag_of))
-                    at_feature.append(index[f])
-                    value.append(k)
+    at_sentence, at_feature, bag_of = [], [], []
+    for b, text in enumerate(texts):
+        for words in sentences_of(text):
+            for w in words:
+                for f in features(w):
+                    if f in index:
+                        at_sentence.append(len(bag_of))
+                        at_feature.append(index[f])
             bag_of.append(b)
     if not kept:
         return ToxicityModel({}, -20.0)
-    rows, cols, vals, bag_at = np.array(at_sentence), np.array(at_feature), np.array(value, float), np.array(bag_of)
+    rows, cols, bag_at = np.array(at_sentence), np.array(at_feature), np.array(bag_of)
     w, b = np.zeros(len(kept)), -6.0
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     total = weight.sum()
     for t in range(1, rounds + 1):
-        z = b + np.bincount(rows, vals * w[cols], len(bag_at))
+        z = b + np.bincount(rows, w[cols], len(bag_at))
         bag = np.bincount(bag_at, np.logaddexp(0, z), len(labels))
         pull = np.where(labels == 1, -1 / np.expm1(np.clip(bag, 1e-6, 500)), 1.0) * weight / total
         g = pull[bag_at] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(cols, g[rows] * vals, len(kept)), g.sum())
+        grad = np.append(np.bincount(cols, g[rows], len(kept)), g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w = w - step[:-1]
@@ -120,8 +128,7 @@ def fit(df: DataFrame, labels: DataFrame, bound: SampleBound | None = None, id_c
         return ToxicityModel({}, -20.0)
     drawn = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     weight = np.where(y == 1, counts.get(1, 1) / drawn[1], counts.get(0, 1) / drawn[0])
-    bags = [[WORD.findall(s) for s in SENTENCE.findall(text.lower())] for text, _ in sample]
-    return fit_noisy_or(bags, y, weight)
+    return fit_noisy_or([text for text, _ in sample], y, weight)
 
 
 class Weights(dict):
