@@ -202,13 +202,13 @@ class Beliefs:
             out = K.lookup_forward(x, table) if at == 0 else K.lookup_backward(x, table)
         else:
             given = self.generic[f.table]
-            each = given if isinstance(given, list) else [given]
-            if self.graph.generics[f.table] and isinstance(given, list) and len(given) != self.n:
+            each = given if self.graph.generics[f.table] else [given]
+            if self.graph.generics[f.table] and (not isinstance(given, list) or len(given) != self.n):
                 raise ShapeError(f"{f.table} needs one array for each execution")
             out = np.zeros((n, nc))
             for k, one in enumerate(each):
                 rows, weights = sparse_rows(one, nc, len(f.operands))
-                own = slice(None) if len(each) == 1 else slice(k, k + 1)
+                own = slice(k, k + 1) if self.graph.generics[f.table] else slice(None)
                 w = np.broadcast_to(weights, (n, len(weights)))[own].copy()
                 for i, x in b.items():
                     w *= x[own][:, rows[:, i]]
