@@ -132,7 +132,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 def one_block(vectors: DataFrame, block: list[tuple[int, list[float]]], k: int) -> DataFrame:
     sizes = sorted({len(v) for _, v in block})
-    sides = {n: (np.array([i for i, v in block if len(v) == n], np.int64), np.array([v for _, v in block if len(v) == n]).reshape(-1, n)) for n in sizes}
+    own_size = {n: [(i, v) for i, v in block if len(v) == n] for n in sizes}
+    sides = {n: (np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], float).reshape(len(own), n)) for n, own in own_size.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {n: Best(len(q), k) for n, (q, _) in sides.items()}
@@ -142,7 +143,7 @@ def one_block(vectors: DataFrame, block: list[tuple[int, list[float]]], k: int)
             for n, (query_ids, queries) in sides.items():
                 at = np.flatnonzero(dims == n)
                 if len(at):
-                    v = np.stack([own[i] for i in at]).reshape(-1, n)
+                    v = np.stack([own[i] for i in at]).reshape(len(at), n)
                     if n * np.abs(queries).max(initial=0) * np.abs(v).max(initial=0) >= EXACT:
                         raise ValueError("products of 2^53 and more are not exact")
                     search_batch(queries, query_ids, ids[at], v, best[n])
