@@ -1,22 +1,33 @@
-"""Byte-level BPE ids of whole texts by the tokenizers library, with a cache of what it returned for words.
+"""Byte-level BPE ids of whole texts by the tokenizers library, remembering what it returned for words.
 
-The library spends most of its time on bookkeeping for each call, and words repeat. A text whose
-characters lie below U+0250 and that has no two white-space characters in a row is cut at its
-spaces: the tokenizer's own first step, which the cut follows, never joins what lies on both sides
-of such a space. Words not seen before go through the library together. All other texts go
-through it whole. Both ways give the same ids.
+The library spends most of its time on bookkeeping for each call, and words repeat. Texts whose
+characters lie below U+0250 are cut into the tokenizer's own first pieces with array operations:
+its pattern looks at nothing but whether characters are letters, numbers, white space or others.
+Pieces are looked up by a 64-bit hash in an open-addressing table of ids; those not seen before go
+through the library together. All other texts go through it whole. Both ways give the same ids.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
-#: The tokenizer's pattern of first pieces, with its letter, number and space classes spelt out below U+0250.
-LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\x09-\x0d\x20\x85\xa0"
-PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+#: The tokenizer's letters, numbers and white space below U+0250, and its contractions.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzªµº" + "".join(chr(c) for c in range(0xC0, 0x250) if c not in (0xD7, 0xF7))
+NUMBERS = "0123456789²³¹¼½¾"
+SPACES = "\t\n\v\f\r \x85\xa0"
+CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
+
+LIMIT = 0x250
+OTHER, LETTER, NUMBER, SPACE, END = range(5)
+KINDS = np.full(LIMIT + 1, OTHER, np.uint8)
+for _kind, _chars in ((LETTER, LETTERS), (NUMBER, NUMBERS), (SPACE, SPACES)):
+    KINDS[[ord(c) for c in _chars]] = _kind
+KINDS[LIMIT] = END
+BASE = 0xD1342543DE82EF95  # odd
+MIX = np.uint64(0x9E3779B97F4A7C15)
+STEP = 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -33,10 +44,34 @@ def resolve(tokenizer: str) -> str:
     return public_tokenizers.path(tokenizer)
 
 
+def piece_starts(points: np.ndarray) -> np.ndarray:
+    """Where the tokenizer's first pieces start in code points below LIMIT; LIMIT itself parts texts and belongs to none."""
+    kind = KINDS[points]
+    start = np.empty(len(kind), bool)
+    start[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    space = kind == SPACE
+    before_word = np.zeros(len(kind), bool)  # the last white space before something else starts a piece
+    before_word[:-1] = space[:-1] & ~space[1:] & (kind[1:] != END)
+    start |= before_word
+    joins = before_word & (points == 32)  # and a blank there belongs to what follows
+    start[1:] &= ~joins[:-1]
+    quotes = np.flatnonzero((points[:-1] == 39) & start[:-1] & (kind[1:] == LETTER))
+    for at in quotes.tolist():  # no blank before, a letter after
+        word = "".join(map(chr, points[at + 1 : at + 3].tolist()))
+        size = next((len(c) for c in CONTRACTIONS if word.startswith(c)), 0)
+        if size:
+            start[at + 1] = False
+            if at + 1 + size < len(start):
+                start[at + 1 + size] |= kind[at + 1 + size] == LETTER
+    start &= kind != END
+    return np.flatnonzero(start)
+
+
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes. Bounded: each cache keeps at most two generations of ``room`` entries."""
+    """Ids as little-endian unsigned 32-bit bytes. Bounded: the table starts anew when it holds ``room`` pieces."""
 
-    def __init__(self, tokenizer: str, room: int = 250_000):
+    def __init__(self, tokenizer: str, room: int = 1 << 21):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -47,93 +82,140 @@ class Encoder:
         self.n_bytes = np.zeros(self.size, np.int64)  # byte-level: a character of an entry stands for a byte
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)
-        self.room = room
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.find = re.compile(PIECES).findall
-        self.odd = re.compile("[^\x00-ɏ]|\\s\\s").search
+        self.room = max(room, STEP)  # one step's pieces always fit
+        self.bits = (2 * self.room - 1).bit_length()
+        with np.errstate(over="ignore"):
+            self.power = np.cumprod(np.full(STEP + 1, BASE, np.uint64))
+            self.inverse = np.cumprod(np.full(STEP + 1, pow(BASE, -1, 1 << 64), np.uint64))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.slots = np.zeros(1 << self.bits, np.int32)
+        self.held = 0
+        self.first = np.zeros(1 << 12, np.int64)
+        self.count = np.zeros(1 << 12, np.int32)
+        self.pool = np.zeros(1 << 14, np.uint32)
+        self.pooled = 0
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_pieces(self, wanted: set[str]) -> None:
-        if len(self.pieces) > self.room:
-            self.pieces = {}
-        spaced = [p for p in wanted if p[0] == " " and len(p) > 1]
-        for i in range(0, len(spaced), 256):  # cut again where the pieces' bytes end
-            group = spaced[i : i + 256]
-            (ids,) = self._library(["".join(group)])
+        return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, wanted: list[str]) -> list[np.ndarray]:
+        """The ids of each piece. Those that start with a blank go through the library side by side and are cut where their bytes end."""
+        out: list = [None] * len(wanted)
+        spaced = [i for i, p in enumerate(wanted) if p[0] == " " and len(p) > 1]
+        for a in range(0, len(spaced), 256):
+            group = spaced[a : a + 256]
+            (ids,) = self._library(["".join([wanted[i] for i in group])])
             ends = np.cumsum(self.n_bytes[ids])
-            want = np.cumsum([len(p.encode()) for p in group])
+            want = np.cumsum([len(wanted[i].encode()) for i in group])
             at = np.searchsorted(ends, want)
             if len(ids) and at[-1] < len(ends) and (ends[at] == want).all():
-                cuts = [0, *(at + 1).tolist()]
-                for p, a, b in zip(group, cuts, cuts[1:], strict=False):
-                    self.pieces[p] = ids[a:b].tobytes()
-        rest = [p for p in wanted if p not in self.pieces]
-        for p, ids in zip(rest, self._library(rest), strict=True):
-            self.pieces[p] = ids.tobytes()
-
-    def _by_pieces(self, text: str) -> bytes:
-        found = self.find(text)
-        wanted = {p for p in found if p not in self.pieces}
-        if wanted:
-            self._learn_pieces(wanted)
-            missing = {p for p in found if p not in self.pieces}  # dropped meanwhile
-            if missing:
-                self._learn_pieces(missing)
-        return b"".join(map(self.pieces.__getitem__, found))
-
-    def _learn_words(self, wanted: set[str]) -> None:
-        if len(self.words) > self.room:
-            self.old_words, self.words = self.words, {}
-        new = []
-        for w in wanted:
-            if (known := self.old_words.get(w)) is not None:
-                self.words[w] = known
-            else:
-                new.append(w)
-        found = [self.find(" " + w) for w in new]
-        missing = {p for f in found for p in f if p not in self.pieces}
-        if missing:
-            self._learn_pieces(missing)
-        for w, f in zip(new, found, strict=True):
-            try:
-                self.words[w] = b"".join(map(self.pieces.__getitem__, f))
-            except KeyError:
-                self.words[w] = self._by_pieces(" " + w)
+                for i, x, y in zip(group, [0, *(at[:-1] + 1).tolist()], (at + 1).tolist(), strict=True):
+                    out[i] = ids[x:y]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._library([wanted[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash's ids, or -1."""
+        mask = (1 << self.bits) - 1
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        got = self.keys[at]
+        place = np.where(got == hashes, self.slots[at], -1)
+        open_ = np.flatnonzero((got != hashes) & (got != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & mask
+            got = self.keys[at[open_]]
+            hit = got == hashes[open_]
+            place[open_[hit]] = self.slots[at[open_[hit]]]
+            open_ = open_[~hit & (got != 0)]
+        return place
+
+    def _learn(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Add distinct hashes that the table lacks."""
+        n, total = len(hashes), sum(map(len, ids))
+        self.first, self.count, self.pool = grown(self.first, self.held + n), grown(self.count, self.held + n), grown(self.pool, self.pooled + total)
+        size = np.fromiter(map(len, ids), np.int64, n)
+        self.first[self.held : self.held + n] = self.pooled + np.cumsum(size) - size
+        self.count[self.held : self.held + n] = size
+        self.pool[self.pooled : self.pooled + total] = np.concatenate(ids)
+        number, mask = np.arange(self.held, self.held + n), (1 << self.bits) - 1
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.arange(n)
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            _, one = np.unique(at[free], return_index=True)
+            own = free[one]
+            self.keys[at[own]] = hashes[own]
+            self.slots[at[own]] = number[own]
+            left = left[self.keys[at[left]] != hashes[left]]
+            at[left] = (at[left] + (self.keys[at[left]] != 0)) & mask
+        self.held += n
+        self.pooled += total
+
+    def _encode_step(self, joined: str, points: np.ndarray, text_starts: np.ndarray) -> list[bytes]:
+        starts = piece_starts(points)
+        after = np.append(starts[1:], len(points))
+        ends = np.where(points[after - 1] == LIMIT, after - 1, after)
+        while len(ends) and (more := np.flatnonzero((ends > starts) & (points[np.maximum(ends - 1, 0)] == LIMIT))).size:
+            ends[more] -= 1  # empty texts between
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points + np.uint32(1)).astype(np.uint64) * self.power[: len(points)])])
+            hashes = ((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64)) * MIX
+            hashes ^= hashes >> np.uint64(31)
+            hashes *= MIX
+        hashes[hashes == 0] = 1
+        place = self._find(hashes)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new, at = np.unique(hashes[missing], return_index=True)
+            if self.held + len(new) > self.room:
+                self._clear()
+                new, at = np.unique(hashes, return_index=True)
+                missing = np.arange(len(hashes))
+            spans = zip(starts[missing[at]].tolist(), ends[missing[at]].tolist(), strict=True)
+            self._learn(new, self._pieces([joined[a:b] for a, b in spans]))
+            place = self._find(hashes)
+        size = self.count[place].astype(np.int64)
+        until = np.cumsum(size)
+        flat = np.arange(until[-1] if len(until) else 0) + np.repeat(self.first[place] - (until - size), size)
+        ids = self.pool[flat].astype("<u4")
+        cuts = np.concatenate([[0], until])[np.searchsorted(starts, np.append(text_starts, len(points)))].tolist()
+        raw = memoryview(ids).cast("B")
+        return [bytes(raw[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text; of none for null."""
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, bytes, list[str]]] = []
-        whole: list[int] = []
+        held: list[int] = []
+        chars = 0
+
+        def flush() -> None:
+            joined = chr(LIMIT).join(texts[i] for i in held)
+            points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+            sizes = np.array([len(texts[i]) for i in held])
+            starts = np.cumsum(sizes + 1) - sizes - 1
+            for i, ids in zip(held, self._encode_step(joined, points, starts), strict=True):
+                out[i] = ids
+
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.odd(text):
-                whole.append(i)
-            else:
-                first, *words = text.split(" ")
-                cut.append((i, self._by_pieces(first) if first else b"", words))
-        again, wanted = [], set()
-        for i, first, words in cut:
-            got = list(map(self.words.get, words))
-            if None in got:
-                wanted.update(w for w, g in zip(words, got, strict=True) if g is None)
-                again.append((i, first, words))
-            else:
-                out[i] = first + b"".join(got)
-        if wanted:
-            self._learn_words(wanted)
-            for i, first, words in again:
-                try:
-                    out[i] = first + b"".join(map(self.words.__getitem__, words))
-                except KeyError:  # a generation ended meanwhile
-                    self._learn_words({w for w in words if w not in self.words})
-                    out[i] = first + b"".join(self.words[w] if w in self.words else self.old_words[w] for w in words)
-        for i in whole:
-            text = texts[i]
-            out[i] = self._by_pieces(text) if text.isascii() else self._library([text])[0].tobytes()
+            if len(text) >= STEP or not (text.isascii() or np.frombuffer(text.encode("utf-32-le"), np.uint32).max() < LIMIT):
+                out[i] = self._library([text])[0].astype("<u4").tobytes()
+                continue
+            if chars + len(text) + len(held) >= STEP:
+                flush()
+                held, chars = [], 0
+            held.append(i)
+            chars += len(text)
+        if held:
+            flush()
         return out
+
+
+def grown(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
