@@ -97,3 +97,39 @@ def test_null_ids_repeats_and_empty_table(spark):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
     kept = near_dup.keep_one_of_each(spark.createDataFrame([(2, "a b c d e f"), (1, "a b c d e f"), (3, "other text of six words here")], "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def edited(text, share, rng):
+    words = text.split()
+    for at in rng.choice(len(words), int(share * len(words)), replace=False):
+        words[at] = f"edit{rng.integers(1 << 30)}"
+    return " ".join(words)
+
+
+def jaccard(a, b):
+    x, y = (set(near_dup.shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts_meet_and_others_do_not(spark):
+    """Near copies at a five-word similarity of 0.85 and more; strangers share a passage of sixty words."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(5000)]
+    passage = " ".join(rng.choice(words, 60))
+    base = [" ".join(rng.choice(words, 200)) + " " + passage + " " + " ".join(rng.choice(words, 200)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, edited(t, 0.012, rng)) for i, t in enumerate(base)] + [(900, base[0]), (901, None), (902, "")]
+    pairs = [(i, 100 + i) for i in range(60) if jaccard(base[i], rows[60 + i][1]) >= 0.85]
+    groups = {r.doc_id: r.component_id for r in near_dup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(pairs) > 40 and sum(groups[a] == groups[b] for a, b in pairs) >= 0.95 * len(pairs)
+    assert len({groups[i] for i in range(60)}) == 60 and groups[900] == 0 and groups[902] == groups[901] == 901
+    for a, b in itertools.combinations(sorted(groups), 2):
+        if groups[a] == groups[b] and b < 900:
+            assert jaccard(dict(rows)[a], dict(rows)[b]) > 0.7
+
+
+def test_large_group_of_near_copies_meets(spark):
+    rng = np.random.default_rng(10)
+    text = " ".join(rng.choice([f"w{i}" for i in range(5000)], 300))
+    rows = [(i, text if not i else edited(text, 0.01, rng)) for i in range(400)]
+    groups = collections.Counter(r.component_id for r in near_dup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert groups[0] >= 396
