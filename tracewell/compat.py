@@ -20,6 +20,7 @@ from .operators import metrics, models, quantize, rank, stats
 from .plans.graph import Graph, parse
 from .plans.propagation import Beliefs
 from .sources import traces as sources
+from .sources.scratch import store
 
 _SESSION: ContextVar[SparkSession | None] = ContextVar("session", default=None)
 
@@ -119,7 +120,7 @@ class _ClassSums(_Fitted):
         sources.check_classes(t, self.nc)
         new = stats.class_state(t, dense=self.ns * self.nv >= stats.DENSE_FROM)
         merged = new if self.state is None else stats.merge_class_states(self.state, new)
-        self.state = session().createDataFrame(merged.toArrow())  # one row for each class, label and sample
+        self.state = store(merged)
         return self
 
 
@@ -160,7 +161,7 @@ class Ttest(_Fitted):
         sources.check_classes(t, 2)
         new = stats.central_moments(stats.by_group(t, F.get("labels", F.lit(0))), 2 * self.d)
         merged = new if self.state is None else stats.merge_moments(self.state, new)
-        self.state = session().createDataFrame(merged.toArrow())  # two rows a sample
+        self.state = store(merged)
         return self
 
     def get_ttest(self) -> np.ndarray:

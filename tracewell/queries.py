@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
@@ -13,6 +13,8 @@ from .operators import metrics, models, quantize, rank, stats
 from .plans.graph import parse
 from .plans.propagation import infer
 from .sources import traces as sources
+from .sources.scratch import scratch_dir
+from .streaming.accumulate import read_class_state, stream_class_state, windowed
 
 POINTS = [0, 5, 9, 17, 23, 40, 51, 63]
 TUPLES2 = [[i, i + 1] for i in range(0, 62, 3)]
@@ -474,8 +476,6 @@ HIST_BINS = 64
 
 
 def costs_of(spark, d):
-    from pyspark.sql import Window
-
     c = read(spark, d, "customer")
     part = lambda k, v, rows: rows.groupBy(v.cast("long").alias("value")).agg(F.count("*").alias("n")).select(F.lit(0).cast("long").alias("problem_id"), F.lit(k).alias("subkey"), "value", "n")
     counts = part(0, F.col("c_nationkey") % 8, c).unionByName(part(1, F.length("c_mktsegment") % 8, c)).unionByName(part(2, F.col("c_custkey") % 7, c.where("c_acctbal > 0")))
@@ -538,16 +538,7 @@ def simulated_snr(spark, d):
 @query("stream_snr_equals_batch", f"WITH {SNR} SELECT var, sample::INTEGER AS sample, snr FROM snr")
 def stream_snr_equals_batch(spark, d):
     """Embeddings replayed as a stream of micro-batches into the state table, then read out."""
-    import uuid
-
-    from .streaming.accumulate import read_class_state, stream_class_state
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="tracewell-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = scratch_dir(spark)
     path = os.path.join(d, "embeddings.parquet")
     schema = spark.read.parquet(path).schema
     # a table is a file here and a folder elsewhere; as a stream both are files that a pattern finds
@@ -559,6 +550,46 @@ def stream_snr_equals_batch(spark, d):
 
 @query("events_windowed", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS s, round(sum(value * value), 6) AS ss FROM events GROUP BY ALL")
 def events_windowed(spark, d):
-    from .streaming.accumulate import windowed
-
     return windowed(read(spark, d, "events")).select("start", "event_type", "n", F.round("s", 6).alias("s"), F.round("ss", 6).alias("ss"))
+
+
+@query("key_rank", f"WITH {BELIEFS} SELECT e AS exec, c::INTEGER AS class, rank() OVER (PARTITION BY e ORDER BY round(p, 9) DESC)::INTEGER AS rank FROM bx")
+def key_rank(spark, d):
+    """The rank of each class in each execution's distribution."""
+    p = beliefs(spark, d).where("node = 'x'").select("exec", F.posexplode("probs").alias("class", "p"))
+    return p.select("exec", "class", F.rank().over(Window.partitionBy("exec").orderBy(F.desc(F.round("p", 9)))).alias("rank"))
+
+
+@query("cumulative_histogram", "WITH h AS (SELECT floor(l_quantity / 5)::BIGINT AS bin, count(*) AS c FROM lineitem GROUP BY 1) SELECT bin, c, sum(c) OVER (ORDER BY bin)::BIGINT AS up_to FROM h")
+def cumulative_histogram(spark, d):
+    h = read(spark, d, "lineitem").groupBy(F.floor(F.col("l_quantity") / 5).alias("bin")).agg(F.count("*").alias("c"))
+    return h.withColumn("up_to", F.sum("c").over(Window.orderBy("bin")))  # one row for each bin
+
+
+@query(
+    "distribution_functions",
+    f"""WITH {BELIEFS} SELECT g.e AS exec, g.c::INTEGER AS class, round(x.p, 6) AS xor5, round(a.p, 6) AS add3, round(n.p, 6) AS neg, round(power(b.p, 1) / sum(b.p) OVER (PARTITION BY g.e), 6) AS norm
+FROM grid g JOIN bx b ON b.e = g.e AND b.c = g.c JOIN bx x ON x.e = g.e AND x.c = xor(g.c, 5) JOIN bx a ON a.e = g.e AND a.c = (g.c - 3 + {NC}) % {NC} JOIN bx n ON n.e = g.e AND n.c = ({NC} - g.c) % {NC}""",
+)
+def distribution_functions(spark, d):
+    """Distributions of x ^ 5, x + 3 and -x, and the regularised one."""
+    b = beliefs(spark, d).where("node = 'x'")
+    lists = b.select("exec", S.xor_constant(F.col("probs"), F.lit(5), NC).alias("x"), S.add_constant(F.col("probs"), F.lit(3), NC).alias("a"), S.negated(F.col("probs"), NC).alias("n"), S.regularised(F.col("probs")).alias("r"))
+    return lists.select("exec", F.posexplode(F.arrays_zip("x", "a", "n", "r")).alias("class", "v")).select("exec", "class", *(F.round(F.col(f"v.{c}"), 6).alias(o) for c, o in (("x", "xor5"), ("a", "add3"), ("n", "neg"), ("r", "norm"))))
+
+
+@query("factor_graph_edges")
+def factor_graph_edges(spark, d):
+    """The edges of a parsed graph with negations, and whether it has a cycle for many executions."""
+    g = parse(f"NC {NC}\nVAR SINGLE k\nVAR MULTI x\nVAR MULTI y\nVAR MULTI z\nPUB MULTI p\nTABLE t = [{', '.join(str(NC - 1 - i) for i in range(NC))}]\nPROPERTY a: x = k ^ p\nPROPERTY b: y = t[x]\nPROPERTY c: z = !x | y")
+    rows = [(f.name, f.kind, o.name, i, o.flip, o.name in g.publics, g.is_cyclic(2)) for f in g.factors.values() for i, o in enumerate(f.operands)]
+    return spark.createDataFrame(rows, "factor string, kind string, operand string, place int, flipped boolean, public boolean, cyclic boolean")
+
+
+@query("bp_single_public")
+def bp_single_public(spark, d):
+    """A single key under x = k ^ p with public p, in every execution."""
+    g = parse(f"NC {NC}\nVAR SINGLE k\nVAR MULTI x\nPUB MULTI p\nPROPERTY x = k ^ p")
+    given = beliefs(spark, d).where("node = 'x'")
+    shown = given.select("exec", F.lit("p").alias("node"), (F.col("exec") % NC).cast("int").alias("value"))
+    return infer(g, given, ["k"], publics=shown).select(F.posexplode("probs").alias("class", "p")).withColumn("p", F.round("p", 6))
