@@ -1,42 +1,21 @@
-"""What the operators of this subpackage share: scratch tables, text batches, per-worker caches."""
+"""What the operators of this subpackage share: text batches, per-worker caches, folds."""
 
 from __future__ import annotations
 
 import os
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text turned into Python objects at a time, so that long documents do not add up.
-TEXT_ROWS = 256
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all machines share.
+from ..sources.scratch import scratch_dir, store
 
-    The setting is read from the session. Only a local master, as in tests, gets a temporary
-    folder where it is unset; a cluster without it is refused.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tracewell-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tracewell-{uuid.uuid4().hex}"
+__all__ = ["documents_of", "fold", "held_out", "read", "scratch_dir", "store", "text_rows", "worker_cache"]
 
-
-def store(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: lineage ends, lost executors cost nothing."""
-    spark = spark or df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of text turned into Python objects at a time, so that long documents do not add up.
+TEXT_ROWS = 256
 
 
 def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

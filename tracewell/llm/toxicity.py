@@ -162,7 +162,7 @@ def score_text(text: str, weights: Weights, bias: float, offending: float = 0.5)
             log_clean += q
         else:
             log_clean += clean
-    return float(-np.expm1(log_clean)), spans
+    return abs(float(np.expm1(log_clean))), spans
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
