@@ -29,7 +29,7 @@ def class_state(traces: DataFrame, dense: bool = False) -> DataFrame:
     """Sums by label, class and sample. ``dense`` picks NumPy partials, one set of rows for each task."""
     if dense:
         return merge_class_states(dense_class_state(traces))
-    rows = exploded(traces).select("sample", "x", F.posexplode("labels").alias("var", "class"))
+    rows = exploded(traces).select("sample", "x", F.posexplode(F.col("labels").cast("array<int>")).alias("var", "class"))
     return rows.groupBy("var", "class", "sample").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
 
 
