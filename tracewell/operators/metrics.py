@@ -22,21 +22,22 @@ def snr(state: DataFrame, exact: bool = False) -> DataFrame:
     SSC sums s^2 n / n_c over classes that occur; signal SSC - S^2, noise n SS - SSC. ``exact``
     floors each class's term and keeps 38 digits.
     """
-    t = totals(state).select("var", "sample", F.col("n").alias("n_all"), F.col("s").alias("s_all"), F.col("ss").alias("ss_all"))
-    rows = state.join(t, ["var", "sample"])
     if exact:
-        wide = lambda c: F.col(c).cast("decimal(38,0)")
-        # s^2 n / n_c with s^2 = q n_c + r: n q + floor(n r / n_c) stays within 38 digits
-        r = F.expr("cast(cast(s as decimal(19,0)) * cast(s as decimal(19,0)) as decimal(38,0)) % cast(n as decimal(38,0))")
-        q = F.expr("cast((cast(cast(s as decimal(19,0)) * cast(s as decimal(19,0)) as decimal(38,0)) - cast(cast(s as decimal(19,0)) * cast(s as decimal(19,0)) as decimal(38,0)) % cast(n as decimal(38,0))) / n as decimal(38,0))")
-        ssc = F.sum(q * wide("n_all") + F.floor((r * wide("n_all")).cast("double") / F.col("n")).cast("decimal(38,0)")).cast("decimal(38,0)")
-    else:
-        ssc = F.sum(F.col("s").cast("double") * F.col("s") * F.col("n_all") / F.col("n"))
-    g = rows.groupBy("var", "sample").agg(ssc.alias("ssc"), F.first("n_all").alias("n"), F.first("s_all").alias("s"), F.first("ss_all").alias("ss"))
-    kind = "decimal(38,0)" if exact else "double"
-    signal = F.col("ssc") - F.col("s").cast("decimal(19,0)" if exact else kind) * F.col("s").cast("decimal(19,0)" if exact else kind)
-    noise = F.col("n").cast("decimal(19,0)" if exact else kind) * F.col("ss").cast("decimal(19,0)" if exact else kind) - F.col("ssc")
-    return g.select("var", "sample", ratio(signal.cast("double"), noise.cast("double")).alias("snr"))
+        t = totals(state).select("var", "sample", F.col("n").alias("n_all"))
+        square = "cast(cast(s as decimal(19,0)) * cast(s as decimal(19,0)) as decimal(38,0))"
+        # s^2 = q n_c + r: n q + floor(n r / n_c) stays within 38 digits
+        r = F.expr(f"{square} % cast(n as decimal(38,0))")
+        q = F.expr(f"cast(({square} - {square} % cast(n as decimal(38,0))) / n as decimal(38,0))")
+        n_all = F.col("n_all").cast("decimal(38,0)")
+        ssc = F.sum(q * n_all + F.floor((r * n_all).cast("double") / F.col("n")).cast("decimal(38,0)")).cast("decimal(38,0)")
+        g = state.join(t, ["var", "sample"]).groupBy("var", "sample").agg(ssc.alias("ssc"), F.first("n_all").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+        kind = "decimal(19,0)"
+    else:  # n leaves the sum, so one pass over the state is enough
+        share = F.sum(F.col("s").cast("double") * F.col("s") / F.col("n"))
+        g = state.groupBy("var", "sample").agg((F.sum("n") * share).alias("ssc"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+        kind = "double"
+    n, s, ss = (F.col(c).cast(kind) for c in ("n", "s", "ss"))
+    return g.select("var", "sample", ratio((F.col("ssc") - s * s).cast("double"), (n * ss - F.col("ssc")).cast("double")).alias("snr"))
 
 
 def top_points(scores: DataFrame, k: int, score: str = "snr") -> DataFrame:
@@ -105,17 +106,15 @@ def cpa(state: DataFrame, models: DataFrame, nc: int, kind: str = "xor") -> Data
         raise ShapeError("kind is xor or add")
     if kind == "xor" and nc & (nc - 1):
         raise ShapeError("xor needs a power of two as number of classes")
-    t = totals(state).select("var", "sample", F.col("n").alias("n_all"), F.col("s").alias("s_all"), F.col("ss").alias("ss_all"))
-    centred = state.join(t, ["var", "sample"]).select("var", "class", "sample", "n_all", "s_all", "ss_all", (F.col("s") - F.col("n") * F.col("s_all") / F.col("n_all")).alias("cs"))
     spread = models.groupBy("var", "sample").agg(F.avg("m").alias("mm"), F.var_pop("m").alias("mv"))
-    centred_models = models.join(spread, ["var", "sample"]).select("var", F.col("class").alias("value"), "sample", (F.col("m") - F.col("mm")).alias("cm"), "mv")
-    keys = state.sparkSession.range(nc).select(F.col("id").cast("int").alias("key"))
+    centred = models.join(spread, ["var", "sample"]).select("var", F.col("class").alias("value"), "sample", (F.col("m") - F.col("mm")).alias("cm"), "mv")
     value = F.col("key").bitwiseXOR(F.col("class")) if kind == "xor" else F.pmod(F.col("key") + F.col("class"), F.lit(nc))
-    met = centred.crossJoin(F.broadcast(keys)).withColumn("value", value).join(centred_models, ["var", "value", "sample"])
-    g = met.groupBy("var", "key", "sample").agg(F.sum(F.col("cs") * F.col("cm")).alias("cov"), F.first("n_all").alias("n"), F.first("s_all").alias("s"), F.first("ss_all").alias("ss"), F.first("mv").alias("mv"))
+    met = state.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))).withColumn("value", value).join(centred, ["var", "value", "sample"])
+    # each key meets each class once, so the totals are sums of the same rows
+    g = met.groupBy("var", "key", "sample").agg(F.sum(F.col("s") * F.col("cm")).alias("scm"), F.sum(F.col("n") * F.col("cm")).alias("ncm"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.first("mv").alias("mv"))
     n, s, ss = (F.col(c).cast("double") for c in ("n", "s", "ss"))
     data = ratio(n * ss - s * s, n * (n - 1))
-    return g.select("var", "key", "sample", ratio(F.col("cov"), (n - 1) * F.sqrt(F.col("mv") * data)).alias("rho"))
+    return g.select("var", "key", "sample", ratio(F.col("scm") - s / n * F.col("ncm"), (n - 1) * F.sqrt(F.col("mv") * data)).alias("rho"))
 
 
 def best_key(rho: DataFrame) -> DataFrame:

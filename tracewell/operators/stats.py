@@ -83,11 +83,14 @@ def by_group(traces: DataFrame, group: Column) -> DataFrame:
 
 
 def central_moments(rows: DataFrame, order: int) -> DataFrame:
-    """(grp, sample, n, mean, cs): two passes, means first; cs[p] is the sum of (x - mean)^p, p up to ``order``."""
+    """(grp, sample, n, mean, cs): two passes, means first; cs[p] is the sum of (x - mean)^p, p up to ``order``.
+
+    The means, as many numbers as a trace has samples for each group, are broadcast: rows stay put.
+    """
     means = rows.groupBy("grp", "sample").agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
     d = F.col("x") - F.col("mean")
     powers = [F.sum(reduce(lambda a, b: a * b, [d] * p)).alias(f"c{p}") for p in range(2, order + 1)]
-    sums = rows.join(means, ["grp", "sample"]).groupBy("grp", "sample").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *powers)
+    sums = rows.join(F.broadcast(means), ["grp", "sample"]).groupBy("grp", "sample").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *powers)
     return sums.select("grp", "sample", "n", "mean", F.array(F.col("n").cast("double"), F.lit(0.0), *(F.col(f"c{p}") for p in range(2, order + 1))).alias("cs"))
 
 
