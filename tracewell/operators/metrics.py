@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ShapeError
-from .stats import central_moments, class_state, totals
+from .stats import central_moments, totals
 
 
 def ratio(a, b):
