@@ -101,7 +101,6 @@ def automaton(trees: Trees, max_cells: int = 12_000_000) -> tuple[np.ndarray, np
     start = np.cumsum([0, *map(len, contexts)])
     cost = np.full((int(start[-1]) or 1, n, max(langs, 1)), 8.0, np.float32)
     states = np.zeros(n**ORDER, np.int32)
-    triple = np.arange(n**ORDER, dtype=np.int64)
     for k, own in enumerate(contexts):
         if not len(own):
             continue
@@ -109,10 +108,7 @@ def automaton(trees: Trees, max_cells: int = 12_000_000) -> tuple[np.ndarray, np
             shorter = contexts[k - 1]
             parent = np.searchsorted(shorter, own % n ** (k - 1))
             cost[start[k] : start[k + 1]] = cost[start[k - 1] + parent]
-            suffix = triple % n**k
-            at = np.minimum(np.searchsorted(own, suffix), len(own) - 1)
-            hit = own[at] == suffix
-            states[hit] = start[k] + at[hit]
+            states.reshape(-1, n**k)[:, own] = np.arange(start[k], start[k + 1])  # every triple that ends in the context
         for i, per in enumerate(trees.grams):
             gram, count = per[k]
             at = np.minimum(np.searchsorted(own, gram // n), len(own) - 1)
