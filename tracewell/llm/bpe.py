@@ -27,7 +27,7 @@ for _kind, _chars in ((LETTER, LETTERS), (NUMBER, NUMBERS), (SPACE, SPACES)):
 KINDS[LIMIT] = END
 BASE = 0xD1342543DE82EF95  # odd
 MIX = np.uint64(0x9E3779B97F4A7C15)
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 def default_tokenizer() -> str:
@@ -71,7 +71,7 @@ def piece_starts(points: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. Bounded: the table starts anew when it holds ``room`` pieces."""
 
-    def __init__(self, tokenizer: str, room: int = 1 << 21):
+    def __init__(self, tokenizer: str, room: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

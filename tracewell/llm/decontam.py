@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents_of, text_rows
+from ._common import documents_of, give_back, small_batches, text_rows
 
 STEPS = 12
 SAMPLES = 3
@@ -231,9 +231,11 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, max_edits: float = 0.
                     part = batch.slice(at, 256)
                     texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
                     yield part.filter(pa.array([not index.matches(t) for t in texts], pa.bool_()))
+            give_back()
 
         return run
 
+    small_batches(df.sparkSession)
     for index in indexes(benchmark, max_edits, min_words, target_recall):
         df = df.mapInArrow(kept(index), df.schema)
     return df

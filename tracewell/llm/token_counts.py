@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from ._common import text_rows, worker_cache
+from ._common import small_batches, text_rows, worker_cache
 
 RULES = ("start", "majority", "split")
 
@@ -62,6 +62,7 @@ def count_tokens(df: DataFrame, tokenizer: str | None = None, fields: tuple[str,
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
     tokenizer = tokenizer or bpe.default_tokenizer()
+    small_batches(df.sparkSession)
     names = fields or (text_col,)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(f"f{i}") for i, c in enumerate(names)))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents_of, text_rows
+from ._common import documents_of, give_back, small_batches, text_rows
 
 SENTENCE = re.compile(r"[^.!?\n。！？]+")
 WORD = re.compile(r"\w+")
@@ -134,7 +134,7 @@ def fit(df: DataFrame, labels: DataFrame, bound: SampleBound | None = None, id_c
 class Weights(dict):
     """Word to the sum of its features' weights, filled as words come; bounded."""
 
-    def __init__(self, model: ToxicityModel, room: int = 500_000):
+    def __init__(self, model: ToxicityModel, room: int = 150_000):
         self.model, self.room = model.weights, room
 
     def __missing__(self, word: str) -> float:
@@ -194,5 +194,8 @@ def drop_toxic(df: DataFrame, model: ToxicityModel, threshold: float = 0.7, text
                 part = batch.slice(at, 256)
                 texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
                 yield part.filter(pa.array([score_text(t or "", weights, model.bias)[0] < threshold for t in texts], pa.bool_()))
+        weights.clear()
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
