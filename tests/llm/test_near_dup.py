@@ -133,3 +133,37 @@ def test_large_group_of_near_copies_meets(spark):
     rows = [(i, text if not i else edited(text, 0.01, rng)) for i in range(400)]
     groups = collections.Counter(r.component_id for r in near_dup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
     assert groups[0] >= 396
+
+
+def groups_of(spark, rows):
+    return {r.doc_id: r.component_id for r in near_dup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+
+
+def brute_groups(rows, similarity=0.8):
+    sets = {i: set(near_dup.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        either = len(sets[a] | sets[b])
+        if not either or len(sets[a] & sets[b]) / either >= similarity:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    return {i: root(i) for i in sets}
+
+
+def test_pairs_at_the_similarity_meet_and_just_below_do_not(spark):
+    """Of 90 shingles each, 80 in common are a similarity of exactly 0.8; 79 are 0.78."""
+    rows, limit = [], {}
+    for k in range(60):
+        text = [f"p{k}w{i}" for i in range(94)]
+        lost = 10 + k % 2
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[:-lost] + [f"p{k}x{i}" for i in range(lost)]))]
+        limit[k] = jaccard(rows[-2][1], rows[-1][1])
+        assert (limit[k] == 0.8) if k % 2 == 0 else 0.77 < limit[k] < 0.8
+    groups = groups_of(spark, rows)
+    assert all((groups[2 * k] == groups[2 * k + 1]) == (limit[k] >= 0.8) for k in limit)

@@ -181,88 +181,187 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The wide form: bits of a fingerprint, its 23-bit segments, each with a min-hash of its own, leaders of a bucket.
-WIDE_WORDS, WIDE_SEGMENTS, LEADERS = 8, 11, 3
-ODD = np.random.default_rng(11).integers(1, 1 << 63, (2, max(WIDE_WORDS, WIDE_SEGMENTS)), dtype=np.uint64) | np.uint64(1)
+#: Hashed share of the documents that tell which shingles are common, and how many common shingles are kept in mind.
+SAMPLE, COMMON = 16, 200_000
+#: Buckets up to this size list all their pairs at once.
+SMALL_BUCKET = 4
+MEMBER = "key long, rid long, size int, pos int, root long"
 
 
-def mixed(h: np.ndarray, i: int) -> np.ndarray:
-    """The i-th of several independent hashes of a hash."""
-    with np.errstate(over="ignore"):
-        x = (h ^ (h >> np.uint64(31))) * ODD[0, i]
-        return (x ^ (x >> np.uint64(29))) * ODD[1, i]
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    return np.unique(shingle_hashes(text, width))
 
 
-def max_bits(similarity: float) -> int:
-    """Bits of a wide fingerprint that differ, as expected, between texts of that Jaccard similarity: the angle of its cosine, 2s / (1 + s), over pi."""
-    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * 64 * WIDE_WORDS)
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, counts) of shingles that many documents of a sample hold; they order the work and decide nothing."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (texts,) in text_rows(batches, "text"):
+            for t in texts:
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, width).view(np.int64))], ["h"])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    counted = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = counted["h"].to_numpy().view(np.uint64), counted["n"].to_numpy()
+    at = np.argsort(h)
+    return h[at], n[at]
+
+
+def rare_first(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The prefix of a set in the one order all sets share, least common first.
+
+    Sets of at least this similarity have ``similarity`` of either set in common, so by pigeonhole
+    their first common shingle is in the prefixes of both.
+    """
+    known, counts = common
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        shingles = shingles[np.argsort(np.where(known[at] == shingles, counts[at], 0), kind="stable")]
+    return shingles[: len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1]
 
-def sketches(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, f0 .. f7, mins): a fingerprint of 512 bits and eleven min-hashes of every whole text's shingles."""
-    names = [f"f{k}" for k in range(WIDE_WORDS)]
+
+def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, digest, size, prefix): the shingle set of every whole text by digest, size and prefix."""
+    common = common_shingles(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for ids, texts in text_rows(batches, "doc_id", "text"):
-            words, mins = np.zeros((len(ids), WIDE_WORDS), np.uint64), np.zeros((len(ids), WIDE_SEGMENTS), np.uint64)
-            for i, t in enumerate(texts):
-                h = shingle_hashes(t, width)
-                if len(h):
-                    words[i] = [majority(mixed(h, k)) for k in range(WIDE_WORDS)]
-                    mins[i] = [mixed(h, k).min() for k in range(WIDE_SEGMENTS)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * WIDE_SEGMENTS, pa.int32()), pa.array(mins.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(WIDE_WORDS)), lists], ["doc_id", *names, "mins"])
+            sets = [shingle_set(t, width) for t in texts]
+            firsts = [rare_first(s, common, similarity) if len(s) else s for s in sets]
+            offsets = np.concatenate([[0], np.cumsum([len(f) for f in firsts])])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), lists], ["doc_id", "digest", "size", "prefix"])
 
-    return documents_of(df, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", mins array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest binary, size int, prefix array<long>")
 
 
-def wide_keys(reps: DataFrame) -> DataFrame:
-    """(key, rid): for each segment its fuzzy keys, each with the segment's min-hash."""
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Whole buckets of rows that come sorted by key, many at a time; a bucket may span batches."""
+    held: list[dict[str, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+        last = np.searchsorted(now["key"], now["key"][-1])  # the last bucket may go on
+        if last or held and held[-1]["key"][-1] != now["key"][0]:
+            held.append({n: c[:last] for n, c in now.items()})
+            yield {n: np.concatenate([h[n] for h in held]) for n in now}
+            held = []
+        held.append({n: c[last:] for n, c in now.items()})
+    if held:
+        yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+
+
+def in_buckets(members: DataFrame) -> DataFrame:
+    return members.repartition("key").sortWithinPartitions("key", "rid")
+
+
+def shared(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_cache("golay", golay_table)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                column = lambda n, part=part: part.column(part.schema.get_field_index(n))
-                bits = np.unpackbits(np.stack([column(f"f{k}").to_numpy(zero_copy_only=False) for k in range(WIDE_WORDS)], axis=1).view(np.uint8), axis=1, bitorder="little")
-                mins = column("mins").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE_SEGMENTS)
-                rid = column("rid").to_numpy(zero_copy_only=False)
-                for s in range(WIDE_SEGMENTS):
-                    word = bits[:, s * GOLAY_LENGTH : (s + 1) * GOLAY_LENGTH] @ (1 << np.arange(GOLAY_LENGTH, dtype=np.uint32))
-                    rows, near = fuzzy_keys(word, table)
-                    with np.errstate(over="ignore"):
-                        key = mixed(mins[rows, s] + (near.astype(np.uint64) + np.uint64(4096 * s)) * ODD[0, 1], 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rid[rows])], ["key", "rid"])
+        for b in by_bucket(batches):
+            same = b["key"][1:] == b["key"][:-1]
+            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in b.values()], list(b))
+
+    return in_buckets(members).mapInArrow(run, MEMBER)
+
+
+def to_compare(members: DataFrame, similarity: float, leader: int | None) -> DataFrame:
+    """(a, b), a < b: members of one bucket with different roots whose sizes and places still allow the similarity.
 
-    return reps.mapInArrow(run, "key long, rid long")
+    With ``leader`` the larger buckets compare that member alone with those after it; without, every pair is
+    listed. At the first common shingle of two sets no more can be common than it and what follows it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray] = []
+        for b in by_bucket(batches):
+            rid, size, root, rest = b["rid"], b["size"].astype(np.int64), b["root"], b["size"].astype(np.int64) - b["pos"]
+            edges = np.concatenate([[0], np.flatnonzero(b["key"][1:] != b["key"][:-1]) + 1, [len(rid)]]).tolist()
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                one = leader is not None and hi - lo > SMALL_BUCKET
+                for x in range(lo, hi - 1) if not one else range(lo + leader, min(lo + leader + 1, hi - 1)):
+                    y = slice(x + 1, hi)
+                    common = np.minimum(rest[x], rest[y])
+                    ok = (root[x] != root[y]) & (rid[x] != rid[y]) & (common >= similarity * (size[x] + size[y] - common) - 1e-6)
+                    if ok.any():
+                        other = rid[y][ok]
+                        out.append(np.stack([np.full(len(other), rid[x]), other]))
+                if len(out) > 5000 or out and one:
+                    yield pairs_batch(out)
+                    out = []
+        if out:
+            yield pairs_batch(out)
+
+    return in_buckets(members).mapInArrow(run, "a long, b long").distinct()
+
+
+def pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs whose whole shingle sets have at least the similarity; |x and y| / |x or y|, nothing estimated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in text_rows(batches, "doc_id", "text"):
+            sets = [shingle_set(t, width) for t in texts]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["node", "shingles"])
+
+    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = store(docs.join(nodes, "doc_id", "left_semi").mapInArrow(run, "node long, shingles array<long>").distinct())
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b").distinct()
 
 
 def similar_groups(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): groups of texts whose shingle sets are alike, by wide fingerprints.
-
-    At a similarity of 0.8 about fifteen bits of a hundred differ. Over the first 253 that leaves a
-    segment of 23 with two errors or fewer almost surely (always up to 32 errors, by pigeonhole), so
-    its fuzzy keys meet; twelve bits alone would fill buckets with strangers, so each segment's key
-    goes with a min-hash of the text, which texts share as often as they are similar. Verified is
-    the distance of whole fingerprints. In a bucket, members are compared with up to three leaders,
-    drawn by hash and so different from bucket to bucket, not with each other: work is in
-    proportion to the members. Odd rows are treated as in ``near_duplicates``.
+    """(doc_id, component_id): components of texts whose sets of distinct shingles are at least that similar.
+
+    Candidates lose nothing: all sets are put in one order, least common shingles first, and two
+    similar sets share a shingle of their prefixes (``rare_first``). Pairs that sizes and places
+    in a bucket rule out are not looked at; all others are verified by their whole sets.
+
+    Large buckets first compare one leader, the smallest id and so mostly the same in all buckets
+    of a group, with the rest. Members that have become connected need no comparison with each
+    other. Leaders go on while many pairs are open; then every pair still open is listed, so no
+    bucket is capped. Texts with the same set are one from the start. Odd rows are treated as in
+    ``near_duplicates``.
     """
-    names = [f"f{k}" for k in range(WIDE_WORDS)]
-    prints = store(sketches(df, width, id_col, text_col))
-    reps = store(prints.groupBy(*names).agg(F.min("doc_id").alias("rid"), F.first("mins").alias("mins")))
-    known = reps.where("rid is not null")
-    leaders = [F.min(F.struct(F.xxhash64("rid", "key", F.lit(k)).alias("h"), "rid"))["rid"].alias(f"l{k}") for k in range(LEADERS)]
-    buckets = wide_keys(known).groupBy("key").agg(F.count("*").alias("n"), *leaders).where("n > 1")
-    met = wide_keys(known).join(buckets, "key").select("rid", F.explode(F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS))))).alias("other")).where("rid <> other")
-    pairs = met.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
-    left, right = known.select(F.col("rid").alias("a"), *(F.col(n).alias(f"x{n}") for n in names)), known.select(F.col("rid").alias("b"), *(F.col(n).alias(f"y{n}") for n in names))
-    apart = sum((F.bit_count(F.col(f"x{n}").bitwiseXOR(F.col(f"y{n}"))) for n in names), F.lit(0))
-    edges = pairs.join(left, "a").join(right, "b").where(apart <= max_bits(similarity)).select("a", "b")
-    roots = components(edges)
-    groups = reps.join(roots, reps.rid == roots.node, "left").select(*names, F.coalesce("root", "rid").alias("component_id"))
-    return prints.join(groups, names).select("doc_id", "component_id")
+    docs = documents_of(df, id_col, text_col)
+    prints = store(prefixes(docs, width, similarity))
+    reps = store(prints.groupBy("digest").agg(F.min("doc_id").alias("rid"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
+    known = reps.where("rid is not null and size > 0")
+    members = store(shared(known.select("rid", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "rid", "size", "pos", F.col("rid").alias("root"))))
+    edges = store(verified(store(to_compare(members, similarity, 0)), docs, width, similarity))
+    roots = store(components(edges))
+    crowds = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_BUCKET).select("key")
+    large = store(members.drop("root").join(crowds, "key", "left_semi"))
+    leader = 1
+    while True:
+        labelled = large.join(roots, large.rid == roots.node, "left").select("key", "rid", "size", "pos", F.coalesce("root", "rid").alias("root"))
+        mixed_up = labelled.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within")).where("roots > 1")
+        labelled = store(labelled.join(mixed_up.select("key"), "key", "left_semi"))
+        rows, open_pairs = mixed_up.agg(F.sum("n"), F.sum(F.col("n") * F.col("n") - F.col("within"))).first()
+        if not rows:
+            break
+        last = leader > 4 or open_pairs <= 32 * rows
+        more = store(verified(store(to_compare(labelled, similarity, None if last else leader)), docs, width, similarity))
+        if not more.isEmpty():
+            edges = store(edges.unionByName(more))
+            roots = store(components(edges))
+        if last:
+            break
+        leader += 1
+    groups = reps.join(roots, reps.rid == roots.node, "left").select("digest", F.coalesce("root", "rid").alias("component_id"))
+    return prints.select("doc_id", "digest").join(groups, "digest").select("doc_id", "component_id")
 
 
 def keep_one_of_each(df: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
