@@ -167,3 +167,13 @@ def test_pairs_at_the_similarity_meet_and_just_below_do_not(spark):
         assert (limit[k] == 0.8) if k % 2 == 0 else 0.77 < limit[k] < 0.8
     groups = groups_of(spark, rows)
     assert all((groups[2 * k] == groups[2 * k + 1]) == (limit[k] >= 0.8) for k in limit)
+
+
+def test_groups_behind_a_passage_that_all_texts_share_are_whole(spark):
+    """A passage of 200 words in 1,200 texts, small groups of near copies among them."""
+    rng = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(20000)]
+    passage = " ".join(rng.choice(words, 200))
+    base = [passage + " " + " ".join(rng.choice(words, n)) for n in rng.integers(24, 90, 400)]
+    rows = [(3 * i + j, edited(t, 0.012, rng) if j else t) for i, t in enumerate(base) for j in range(3)]
+    assert groups_of(spark, rows) == brute_groups(rows)
