@@ -177,3 +177,16 @@ def test_groups_behind_a_passage_that_all_texts_share_are_whole(spark):
     base = [passage + " " + " ".join(rng.choice(words, n)) for n in rng.integers(24, 90, 400)]
     rows = [(3 * i + j, edited(t, 0.012, rng) if j else t) for i, t in enumerate(base) for j in range(3)]
     assert groups_of(spark, rows) == brute_groups(rows)
+
+
+def test_repeats_within_a_text_count_once(spark):
+    """Lines repeated ten times do not make texts alike, nor does their number make copies differ."""
+    rng = np.random.default_rng(22)
+    words = [f"w{i}" for i in range(20000)]
+    line = " ".join(rng.choice(words, 100)) + " "
+    strangers = [(i, line * 10 + " ".join(rng.choice(words, 100))) for i in range(30)]
+    own = " ".join(rng.choice(words, 300)) + " "
+    copies = [(100, own + line * 2), (101, own + line * 40)]
+    rows = strangers + copies
+    groups = groups_of(spark, rows)
+    assert groups == brute_groups(rows) and len({groups[i] for i in range(30)}) == 30 and groups[101] == 100
