@@ -306,8 +306,12 @@ def pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs whose whole shingle sets have at least the similarity; |x and y| / |x or y|, nothing estimated."""
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the whole shingle sets of the documents with these ids, repeated rows once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_rows(batches, "doc_id", "text"):
@@ -315,8 +319,13 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["node", "shingles"])
 
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = store(docs.join(nodes, "doc_id", "left_semi").mapInArrow(run, "node long, shingles array<long>").distinct())
+    sets = store(docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "node long, shingles array<long>"))
+    repeated = not sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return store(sets.distinct()) if repeated else sets  # unique ids need no shuffle of whole sets
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose whole shingle sets have at least the similarity; |x and y| / |x or y|, nothing estimated."""
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b").distinct()
@@ -340,7 +349,9 @@ def similar_groups(df: DataFrame, width: int = 5, similarity: float = 0.8, id_co
     reps = store(prints.groupBy("digest").agg(F.min("doc_id").alias("rid"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
     known = reps.where("rid is not null and size > 0")
     members = store(shared(known.select("rid", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "rid", "size", "pos", F.col("rid").alias("root"))))
-    edges = store(verified(store(to_compare(members, similarity, 0)), docs, width, similarity))
+    pairs = store(to_compare(members, similarity, 0))
+    sets = whole_sets(docs, ends(pairs), width)
+    edges = store(verified(pairs, sets, similarity))
     roots = store(components(edges))
     crowds = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_BUCKET).select("key")
     large = store(members.drop("root").join(crowds, "key", "left_semi"))
@@ -353,7 +364,11 @@ def similar_groups(df: DataFrame, width: int = 5, similarity: float = 0.8, id_co
         if not rows:
             break
         last = leader > 4 or open_pairs <= 32 * rows
-        more = store(verified(store(to_compare(labelled, similarity, None if last else leader)), docs, width, similarity))
+        pairs = store(to_compare(labelled, similarity, None if last else leader))
+        missing = store(ends(pairs).join(sets, "node", "left_anti"))
+        if not missing.isEmpty():
+            sets = sets.unionByName(whole_sets(docs, missing, width))
+        more = store(verified(pairs, sets, similarity))
         if not more.isEmpty():
             edges = store(edges.unionByName(more))
             roots = store(components(edges))
