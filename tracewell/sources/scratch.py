@@ -30,6 +30,32 @@ def scratch_dir(spark: SparkSession) -> str:
 def store(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` to a new scratch folder and read it back: lineage ends, lost executors cost nothing."""
     spark = spark or df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(spark).store(df)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Hadoop's file systems reach it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """The stored tables of one operator, deleted once its last one is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame) -> DataFrame:
+        path = scratch_dir(self.spark)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """Store ``df``, then delete every table stored before: nothing that is read later needs them."""
+        before, kept = self.paths, self.store(df)
+        for path in before:
+            if path != self.paths[-1]:
+                remove(self.spark, path)
+        self.paths = self.paths[-1:]
+        return kept
