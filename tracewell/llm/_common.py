@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch_dir, store
+from ..sources.scratch import Scratch, scratch_dir, store
 
-__all__ = ["documents_of", "fold", "give_back", "held_out", "read", "scratch_dir", "small_batches", "store", "text_rows", "worker_cache"]
+__all__ = ["Scratch", "documents_of", "fold", "give_back", "held_out", "read", "scratch_dir", "small_batches", "store", "text_rows", "worker_cache"]
 
 #: Rows of an Arrow batch, so that a batch of long documents fits a worker.
 BATCH_ROWS = 1000
