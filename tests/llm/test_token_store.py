@@ -121,3 +121,14 @@ def test_boundary_tokens_follow_the_rule():
     sizes, ends = np.array([3, 3]), np.array([1, 6])
     assert token_counts.attribute(sizes, ends, "start")[0].tolist() == [1, 1]
     assert token_counts.attribute(sizes, ends, "majority")[0].tolist() == [0, 2]
+
+
+def test_pieces_of_one_hash_keep_their_own_ids():
+    """Thue-Morse words and their complements collide under any polynomial hash modulo 2^64."""
+    encoder = bpe.Encoder(bpe.default_tokenizer())
+    for n in (1024, 2048, 4096):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        other = word.translate(str.maketrans("ab", "ba"))
+        for texts in ([word], [other], [other + " x", "y " + word, word + " " + other + " " + word]):
+            want = [np.array(e.ids, "<u4").tobytes() for e in encoder.lib.encode_batch(texts, add_special_tokens=False)]
+            assert encoder.encode(texts) == want

@@ -3,8 +3,10 @@
 The library spends most of its time on bookkeeping for each call, and words repeat. Texts whose
 characters lie below U+0250 are cut into the tokenizer's own first pieces with array operations:
 its pattern looks at nothing but whether characters are letters, numbers, white space or others.
-Pieces are looked up by a 64-bit hash in an open-addressing table of ids; those not seen before go
-through the library together. All other texts go through it whole. Both ways give the same ids.
+Pieces are looked up by a 64-bit hash in an open-addressing table of ids and compared, character by
+character, with the piece that was stored; those not seen before go through the library together,
+and so do those whose hash another piece has taken. All other texts go through it whole. Both ways
+give the same ids.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ KINDS[LIMIT] = END
 BASE = 0xD1342543DE82EF95  # odd
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = 1 << 18
+#: Characters of remembered pieces at which the table starts anew.
+POOL_CHARS = 1 << 25
+RAMP = np.arange(STEP, dtype=np.int32)
 
 
 def default_tokenizer() -> str:
@@ -71,7 +76,7 @@ def piece_starts(points: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. Bounded: the table starts anew when it holds ``room`` pieces."""
 
-    def __init__(self, tokenizer: str, room: int = 1 << 20):
+    def __init__(self, tokenizer: str, room: int = 1 << 21):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -97,6 +102,10 @@ class Encoder:
         self.count = np.zeros(1 << 12, np.int32)
         self.pool = np.zeros(1 << 14, np.uint32)
         self.pooled = 0
+        self.begin = np.zeros(1 << 12, np.int32)
+        self.length = np.zeros(1 << 12, np.int32)
+        self.chars = np.zeros(1 << 14, np.uint16)
+        self.n_chars = 0
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -134,17 +143,26 @@ class Encoder:
             open_ = open_[~hit & (got != 0)]
         return place
 
-    def _learn(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
+    def _append(self, pieces: list[str]) -> np.ndarray:
+        """The places of these pieces, whose characters and ids are added."""
+        ids, n = self._pieces(pieces), len(pieces)
+        size, length = np.fromiter(map(len, ids), np.int64, n), np.fromiter(map(len, pieces), np.int64, n)
+        until, last = self.pooled + int(size.sum()), self.n_chars + int(length.sum())
+        self.first, self.count, self.pool = grown(self.first, self.held + n), grown(self.count, self.held + n), grown(self.pool, until)
+        self.begin, self.length, self.chars = grown(self.begin, self.held + n), grown(self.length, self.held + n), grown(self.chars, last)
+        new = slice(self.held, self.held + n)
+        self.first[new], self.count[new] = self.pooled + np.cumsum(size) - size, size
+        self.begin[new], self.length[new] = self.n_chars + np.cumsum(length) - length, length
+        self.pool[self.pooled : until] = np.concatenate(ids)
+        self.chars[self.n_chars : last] = np.frombuffer("".join(pieces).encode("utf-16-le"), np.uint16)
+        self.held, self.pooled, self.n_chars = self.held + n, until, last
+        return np.arange(new.start, new.stop)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         """Add distinct hashes that the table lacks."""
-        n, total = len(hashes), sum(map(len, ids))
-        self.first, self.count, self.pool = grown(self.first, self.held + n), grown(self.count, self.held + n), grown(self.pool, self.pooled + total)
-        size = np.fromiter(map(len, ids), np.int64, n)
-        self.first[self.held : self.held + n] = self.pooled + np.cumsum(size) - size
-        self.count[self.held : self.held + n] = size
-        self.pool[self.pooled : self.pooled + total] = np.concatenate(ids)
-        number, mask = np.arange(self.held, self.held + n), (1 << self.bits) - 1
+        number, mask = self._append(pieces), (1 << self.bits) - 1
         at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        left = np.arange(n)
+        left = np.arange(len(hashes))
         while len(left):
             free = left[self.keys[at[left]] == 0]
             _, one = np.unique(at[free], return_index=True)
@@ -153,10 +171,23 @@ class Encoder:
             self.slots[at[own]] = number[own]
             left = left[self.keys[at[left]] != hashes[left]]
             at[left] = (at[left] + (self.keys[at[left]] != 0)) & mask
-        self.held += n
-        self.pooled += total
+
+    def _strangers(self, place: np.ndarray, length: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """Pieces that differ from what is stored in their places; ``points`` are all pieces' characters in order."""
+        same = self.length[place] == length
+        until = np.cumsum(length)
+        if same.all():
+            at = np.repeat((self.begin[place] - (until - length)).astype(np.int32), length)
+            at += RAMP[: len(at)]
+            other = np.flatnonzero(self.chars.take(at) != points)
+            return np.unique(np.searchsorted(until, other, "right"))
+        sure = np.flatnonzero(same)
+        inside = np.repeat(same, length)
+        return np.union1d(np.flatnonzero(~same), sure[self._strangers(place[sure], length[sure], points[inside])])
 
     def _encode_step(self, joined: str, points: np.ndarray, text_starts: np.ndarray) -> list[bytes]:
+        if max(self.held - self.room, self.n_chars - POOL_CHARS) > 0:
+            self._clear()
         starts = piece_starts(points)
         after = np.append(starts[1:], len(points))
         ends = np.where(points[after - 1] == LIMIT, after - 1, after)
@@ -177,8 +208,11 @@ class Encoder:
                 new, at = np.unique(hashes, return_index=True)
                 missing = np.arange(len(hashes))
             spans = zip(starts[missing[at]].tolist(), ends[missing[at]].tolist(), strict=True)
-            self._learn(new, self._pieces([joined[a:b] for a, b in spans]))
+            self._learn(new, [joined[a:b] for a, b in spans])
             place = self._find(hashes)
+        odd = self._strangers(place, ends - starts, points.astype(np.uint16)[KINDS[points] != END])
+        if len(odd):
+            place[odd] = self._append([joined[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)])
         size = self.count[place].astype(np.int64)
         until = np.cumsum(size)
         flat = np.arange(until[-1] if len(until) else 0) + np.repeat(self.first[place] - (until - size), size)
