@@ -312,3 +312,35 @@ def test_simulated_traces_leak(spark):
     t = sources.simulated(spark, 400, ns=4)
     assert sources.shape(t) == (400, 4, 1)
     assert metrics.snr(stats.class_state(t)).agg(F.min("snr")).first()[0] > 0
+
+
+def test_squares_beyond_63_bits_are_whole(spark):
+    """Sums of squares past the range of a long, by both paths and after a merge; squares that do not fit raise."""
+    big = 3_000_000_000
+    rows = [(i, [big - i, -big], [i % 2]) for i in range(40)]
+    t = spark.createDataFrame(rows, "trace_id long, samples array<long>, labels array<int>").repartition(3)
+    for dense in (False, True):
+        state = stats.class_state(t, dense=dense)
+        for s in (state, stats.merge_class_states(*(stats.class_state(t.where(F.col("trace_id") % 3 == k), dense) for k in range(3)))):
+            got = {(r["class"], r["sample"]): int(r["ss"]) for r in s.collect()}
+            assert got == {(c, j): sum((r[1][j]) ** 2 for r in rows if r[2][0] == c) for c in (0, 1) for j in (0, 1)}
+        with pytest.raises(Exception):  # noqa: B017
+            stats.class_state(spark.createDataFrame([(0, [1 << 33], [0])], "trace_id long, samples array<long>, labels array<int>"), dense).collect()
+
+
+def test_int16_extremes_by_both_paths(spark):
+    rows = [(i, [(-32768, 32767)[(i + j) % 2] for j in range(6)], [i % 3]) for i in range(500)]
+    t = spark.createDataFrame(rows, "trace_id long, samples array<smallint>, labels array<int>")
+    a, b = (sorted(map(tuple, stats.class_state(t, d).collect())) for d in (False, True))
+    assert a == b and sum(int(r[5]) for r in a if r[2] == 0) == sum(r[1][0] ** 2 for r in rows)
+    assert stats.int_gram(np.full((70000, 1), -32768), np.full((70000, 1), -32768))[0, 0] == 70000 * (1 << 30)
+
+
+def test_dense_moments_equal_two_passes(spark):
+    r = np.random.default_rng(8)
+    t = spark.createDataFrame([(i, r.integers(-500, 500, 5).tolist(), [i % 2]) for i in range(301)], "trace_id long, samples array<int>, labels array<int>").repartition(4)
+    g = F.get("labels", F.lit(0))
+    for other in (stats.dense_moments(t, g, 6), stats.merge_moments(stats.dense_moments(t.where("trace_id < 100"), g, 6), stats.dense_moments(t.where("trace_id >= 100"), g, 6))):
+        want = {(x.grp, x["sample"]): [x.n, x["mean"], *x.cs] for x in stats.central_moments(stats.by_group(t, g), 6).collect()}
+        got = {(x.grp, x["sample"]): [x.n, x["mean"], *x.cs] for x in other.collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-3) for k in want)

@@ -20,7 +20,7 @@ from .operators import metrics, models, quantize, rank, stats
 from .plans.graph import Graph, parse
 from .plans.propagation import Beliefs
 from .sources import traces as sources
-from .sources.scratch import store
+from .sources.scratch import remove, store
 
 _SESSION: ContextVar[SparkSession | None] = ContextVar("session", default=None)
 
@@ -93,6 +93,14 @@ def cube(rows: list, names: tuple[str, ...], value: str, dims: tuple[int, ...])
     return out
 
 
+def _replaced(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """``new`` as a stored table; the one it was made from goes."""
+    kept = store(new)
+    if old is not None:
+        remove(old.sparkSession, old.inputFiles()[0].rsplit("/", 1)[0]) if old.inputFiles() else None
+    return kept
+
+
 class _Fitted:
     """Shape is learnt from the first batch and holds from then on."""
 
@@ -120,7 +128,7 @@ class _ClassSums(_Fitted):
         sources.check_classes(t, self.nc)
         new = stats.class_state(t, dense=self.ns * self.nv >= stats.DENSE_FROM)
         merged = new if self.state is None else stats.merge_class_states(self.state, new)
-        self.state = store(merged)
+        self.state = _replaced(self.state, merged)
         return self
 
 
@@ -159,9 +167,9 @@ class Ttest(_Fitted):
     def fit_u(self, traces, x=None):
         t = self._check(as_traces(traces, x))
         sources.check_classes(t, 2)
-        new = stats.central_moments(stats.by_group(t, F.get("labels", F.lit(0))), 2 * self.d)
-        merged = new if self.state is None else stats.merge_moments(self.state, new)
-        self.state = store(merged)
+        new = stats.dense_moments(t, F.get("labels", F.lit(0)), 2 * self.d)
+        merged = new if self.state is None else stats.merge_moments(self.state, new, order=2 * self.d)
+        self.state = _replaced(self.state, merged)
         return self
 
     def get_ttest(self) -> np.ndarray:
@@ -175,21 +183,17 @@ class MTtest(_Fitted):
         pois = np.asarray(pois)
         if d < 2 or pois.ndim != 2 or len(pois) != d:
             raise ShapeError("pois has one row for each of d > 1 samples")
-        self.d, self.pois, self.batches = d, pois, []
+        self.d, self.pois, self.state = d, pois, None
 
     def fit_u(self, traces, x=None):
         t = self._check(as_traces(traces, x))
         sources.check_classes(t, 2)
-        self.batches.append(t)
+        new = stats.tuple_moments(t, F.get("labels", F.lit(0)), self.pois.T.tolist())
+        self.state = _replaced(self.state, new if self.state is None else stats.merge_tuple_moments(self.state, new, d=self.d))
         return self
 
     def get_ttest(self) -> np.ndarray:
-        rows = self.batches[0]
-        for b in self.batches[1:]:
-            rows = rows.unionByName(b)
-        rows = rows.select("trace_id", F.get("labels", F.lit(0)).cast("int").alias("grp"), F.col("samples").cast("array<double>").alias("samples"))
-        tuples = session().createDataFrame([(i, [int(p) for p in col]) for i, col in enumerate(self.pois.T)], "tuple_id int, points array<int>")
-        return cube(metrics.mttest(rows, tuples, self.d).collect(), ("tuple_id",), "t", (self.pois.shape[1],))
+        return cube(metrics.mttest(self.state, self.d).collect(), ("tuple_id",), "t", (self.pois.shape[1],))
 
 
 class LdaAcc:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ShapeError
-from .stats import central_moments, totals
+from ..functions.kernels import walsh_hadamard
+from .stats import central_moments, powers_of, totals
 
 
 def ratio(a, b):
@@ -16,6 +20,11 @@ def ratio(a, b):
     return F.when(b != 0, a / b).when(a == 0, F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
 
 
+def fields(rows: str, name: str) -> Column:
+    """One field of an array of structs, as doubles."""
+    return F.transform(rows, lambda r: r[name].cast("double"))
+
+
 def snr(state: DataFrame, exact: bool = False) -> DataFrame:
     """(var, sample, snr): between-class over within-class variation.
 
@@ -30,8 +39,8 @@ def snr(state: DataFrame, exact: bool = False) -> DataFrame:
         q = F.expr(f"cast(({square} - {square} % cast(n as decimal(38,0))) / n as decimal(38,0))")
         n_all = F.col("n_all").cast("decimal(38,0)")
         ssc = F.sum(q * n_all + F.floor((r * n_all).cast("double") / F.col("n")).cast("decimal(38,0)")).cast("decimal(38,0)")
-        g = state.join(t, ["var", "sample"]).groupBy("var", "sample").agg(ssc.alias("ssc"), F.first("n_all").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-        kind = "decimal(19,0)"
+        g = state.join(t, ["var", "sample"]).groupBy("var", "sample").agg(ssc.alias("ssc"), F.first("n_all").alias("n"), F.sum("s").alias("s"), F.sum("ss").cast("decimal(38,0)").alias("ss"))
+        kind = "decimal(38,0)"
     else:  # n leaves the sum, so one pass over the state is enough
         share = F.sum(F.col("s").cast("double") * F.col("s") / F.col("n"))
         g = state.groupBy("var", "sample").agg((F.sum("n") * share).alias("ssc"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
@@ -71,25 +80,17 @@ def ttest_of(rows: DataFrame, d: int) -> DataFrame:
     return ttest(central_moments(rows, 2 * d), d)
 
 
-def mttest(rows: DataFrame, tuples: DataFrame, d: int) -> DataFrame:
-    """(tuple_id, t): multivariate statistic over products of d centred samples.
-
-    ``rows`` is (trace_id, grp, samples array<double>), ``tuples`` (tuple_id, points array<int> of
-    d samples, repeats allowed). Means and variances first, then the products.
-    """
+def mttest(state: DataFrame, d: int) -> DataFrame:
+    """(tuple_id, t): Welch's statistic of products of d centred samples, from a state of ``stats.tuple_moments``."""
     if d < 2:
         raise ShapeError("products need two samples at least")
-    long = rows.select("grp", F.posexplode("samples").alias("sample", "x"))
-    stats = long.groupBy("grp", "sample").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"))
-    by_group = stats.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("sample", "m", "v"))).alias("st"))  # one entry for each sample
-    own = rows.join(F.broadcast(by_group), "grp").select("grp", F.zip_with("samples", "st", lambda x, s: x - s["m"]).alias("c"), F.transform("st", lambda s: s["v"]).alias("v"))
-    met = own.crossJoin(F.broadcast(tuples))  # tuples are parameters; each trace meets each
-    product = F.aggregate("points", F.lit(1.0), lambda a, i: a * F.get("c", i))
-    scale = F.aggregate("points", F.lit(1.0), lambda a, i: a * F.get("v", i))
-    sums = met.select("grp", "tuple_id", product.alias("p"), scale.alias("scale")).groupBy("grp", "tuple_id").agg(F.count("*").alias("n"), F.avg("p").alias("mu"), F.avg(F.col("p") * F.col("p")).alias("sq"), F.first("scale").alias("scale"))
-    mu = ratio(F.col("mu"), F.sqrt("scale")) if d > 2 else F.col("mu")
-    sq = ratio(F.col("sq"), F.col("scale")) if d > 2 else F.col("sq")
-    each = sums.select("grp", "tuple_id", mu.alias("mu"), ((sq - mu * mu) / F.col("n")).alias("v"))
+    at = {e: i for i, e in enumerate(powers_of(d))}
+    mean = lambda *e: F.get("cs", F.lit(at[e])) / F.col("n")
+    scale = reduce(lambda a, b: a * b, [mean(*(2 if i == j else 0 for i in range(d))) for j in range(d)])
+    mu, sq = mean(*[1] * d), mean(*[2] * d)
+    if d > 2:
+        mu, sq = ratio(mu, F.sqrt(scale)), ratio(sq, scale)
+    each = state.select("grp", "tuple_id", mu.alias("mu"), ((sq - mu * mu) / F.col("n")).alias("v"))
     pick = lambda g, c: F.max(F.when(F.col("grp") == g, F.col(c)))
     both = each.groupBy("tuple_id").agg(pick(0, "mu").alias("u0"), pick(1, "mu").alias("u1"), pick(0, "v").alias("v0"), pick(1, "v").alias("v1"))
     return both.select("tuple_id", ratio(F.col("u0") - F.col("u1"), F.sqrt(F.col("v0") + F.col("v1"))).alias("t"))
@@ -100,21 +101,43 @@ def cpa(state: DataFrame, models: DataFrame, nc: int, kind: str = "xor") -> Data
 
     ``models`` is (var, class, sample, m) with all nc classes. The intermediate value is
     ``key ^ label`` or ``(key + label) mod nc``. Model variance is the population's over all
-    classes, data variance the sample's, so |rho| may exceed 1.
+    classes, data variance the sample's, so |rho| may exceed 1. All keys of a sample come from one
+    Walsh-Hadamard or Fourier transform of its class sums.
     """
     if kind not in ("xor", "add"):
         raise ShapeError("kind is xor or add")
     if kind == "xor" and nc & (nc - 1):
         raise ShapeError("xor needs a power of two as number of classes")
-    spread = models.groupBy("var", "sample").agg(F.avg("m").alias("mm"), F.var_pop("m").alias("mv"))
-    centred = models.join(spread, ["var", "sample"]).select("var", F.col("class").alias("value"), "sample", (F.col("m") - F.col("mm")).alias("cm"), "mv")
-    value = F.col("key").bitwiseXOR(F.col("class")) if kind == "xor" else F.pmod(F.col("key") + F.col("class"), F.lit(nc))
-    met = state.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))).withColumn("value", value).join(centred, ["var", "value", "sample"])
-    # each key meets each class once, so the totals are sums of the same rows
-    g = met.groupBy("var", "key", "sample").agg(F.sum(F.col("s") * F.col("cm")).alias("scm"), F.sum(F.col("n") * F.col("cm")).alias("ncm"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.first("mv").alias("mv"))
-    n, s, ss = (F.col(c).cast("double") for c in ("n", "s", "ss"))
-    data = ratio(n * ss - s * s, n * (n - 1))
-    return g.select("var", "key", "sample", ratio(F.col("scm") - s / n * F.col("ncm"), (n - 1) * F.sqrt(F.col("mv") * data)).alias("rho"))
+    own = state.groupBy("var", "sample").agg(F.collect_list(F.struct("class", "n", "s")).alias("classes"), F.sum("n").cast("double").alias("n"), F.sum("s").cast("double").alias("s"), F.sum("ss").cast("double").alias("ss"))
+    model = models.groupBy("var", "sample").agg(F.collect_list(F.struct("class", "m")).alias("model"))  # both lists have nc entries at most
+    met = own.join(model, ["var", "sample"]).select("n", "s", "ss", *(fields("classes", f).alias(f"c_{f}") for f in ("class", "n", "s")), *(fields("model", f).alias(f"m_{f}") for f in ("class", "m")), F.col("var").cast("int").alias("v"), F.col("sample").cast("int").alias("p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, (1 << 20) // nc)
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                column = lambda name, part=part: part.column(part.schema.get_field_index(name))
+                flat = lambda name, column=column: column(name).flatten().to_numpy(zero_copy_only=False)
+                n, s, ss = (column(k).to_numpy(zero_copy_only=False) for k in ("n", "s", "ss"))
+                sums, counts, m = (np.zeros((part.num_rows, nc)) for _ in range(3))
+                at = np.repeat(np.arange(part.num_rows), column("c_class").value_lengths().to_numpy(zero_copy_only=False)), flat("c_class").astype(np.int64)
+                sums[at], counts[at] = flat("c_s"), flat("c_n")
+                m[np.repeat(np.arange(part.num_rows), column("m_class").value_lengths().to_numpy(zero_copy_only=False)), flat("m_class").astype(np.int64)] = flat("m_m")
+                m -= m.mean(axis=1, keepdims=True)
+                spread = (m**2).mean(axis=1)
+                own = sums - (s / n)[:, None] * counts
+                if kind == "xor":
+                    dot = walsh_hadamard(walsh_hadamard(own) * walsh_hadamard(m)) / nc
+                else:
+                    dot = np.fft.irfft(np.conj(np.fft.rfft(own, axis=1)) * np.fft.rfft(m, axis=1), nc, axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    data = (n * ss - s * s) / (n * (n - 1))
+                    rho = dot / ((n - 1) * np.sqrt(spread * data))[:, None]
+                who = lambda name, column=column: pa.array(np.repeat(column(name).to_numpy(zero_copy_only=False), nc))
+                yield pa.RecordBatch.from_arrays([who("v"), pa.array(np.tile(np.arange(nc, dtype=np.int32), part.num_rows)), who("p"), pa.array(rho.reshape(-1))], ["var", "key", "sample", "rho"])
+
+    return met.mapInArrow(run, "var int, key int, sample int, rho double")
 
 
 def best_key(rho: DataFrame) -> DataFrame:

@@ -85,10 +85,15 @@ ssc AS (SELECT var, sample, sum(state.s * state.s * totals.n / state.n) AS ssc,
 
 
 @query("snr_lineitem", f"WITH {LINE} SELECT var::INTEGER AS var, sample::INTEGER AS sample, round((ssc - s * s) / (n * ss - ssc), 6) AS snr FROM ssc")
-def snr_lineitem(spark, d):
+def snr_lineitem(spark, d, dense=False):
     flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     line = read(spark, d, "lineitem").select(F.lit(0).alias("trace_id"), F.array(F.col("l_quantity").cast("long"), *(F.round(F.col(c) * 100).cast("long") for c in ("l_extendedprice", "l_discount", "l_tax"))).alias("samples"), F.array(flag, F.when(F.col("l_linestatus") == "F", 0).otherwise(1)).alias("labels"))
-    return metrics.snr(stats.class_state(line)).withColumn("snr", F.round("snr", 6))
+    return metrics.snr(stats.class_state(line, dense)).withColumn("snr", F.round("snr", 6))
+
+
+@query("snr_lineitem_dense", ORACLE["snr_lineitem"])
+def snr_lineitem_dense(spark, d):
+    return snr_lineitem(spark, d, dense=True)
 
 
 @query("class_counts", "SELECT 0 AS var, label AS class, count(*) AS n FROM embeddings GROUP BY label")
@@ -98,7 +103,7 @@ def class_counts(spark, d):
 
 @query("class_sums", f"WITH {STATE} SELECT 0 AS var, class, sample::INTEGER AS sample, n::BIGINT AS n, s::BIGINT AS s, ss::BIGINT AS ss FROM state")
 def class_sums(spark, d):
-    return stats.class_state(traces_of(spark, d))
+    return stats.class_state(traces_of(spark, d)).withColumn("ss", F.col("ss").cast("long"))
 
 
 @query("class_means", f"WITH {STATE} SELECT 0 AS var, class, sample::INTEGER AS sample, round(s / n, 6) AS mean FROM state")
@@ -110,7 +115,7 @@ def class_means(spark, d):
 def state_merge(spark, d):
     """Two halves accumulated apart, then merged."""
     t = traces_of(spark, d)
-    return stats.merge_class_states(*(stats.class_state(t.where(F.col("trace_id") % 2 == k)) for k in (0, 1)))
+    return stats.merge_class_states(*(stats.class_state(t.where(F.col("trace_id") % 2 == k)) for k in (0, 1))).withColumn("ss", F.col("ss").cast("long"))
 
 
 @query("validate_traces", "SELECT count(*) AS n, min(len(embedding))::INTEGER AS low, max(len(embedding))::INTEGER AS high, min(label) AS first_class, max(label) AS last_class FROM embeddings")
@@ -129,7 +134,7 @@ def poi_projection(spark, d):
 
 @query("bit_width_scan", f"WITH {LONG} SELECT sample::INTEGER AS sample, bit_or(abs(x))::BIGINT AS used FROM long GROUP BY sample")
 def bit_width_scan(spark, d):
-    return stats.exploded(traces_of(spark, d)).groupBy("sample").agg(F.bit_or(F.abs("x")).alias("used"))
+    return stats.used_bits(traces_of(spark, d))
 
 
 FLOATS = "floats AS (SELECT vec_id, label, s AS sample, embedding[s + 1]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(64)) AS s))"
@@ -189,6 +194,12 @@ for k in (1, 2, 3):
     query(f"ttest_o{k}", ttest_sql(GROUPED, k))(ttest_order(k))
 
 
+@query("ttest_dense", ttest_sql(GROUPED, 3))
+def ttest_dense(spark, d):
+    """Third order from dense partial moments, one pass over the vectors."""
+    return metrics.ttest(stats.dense_moments(traces_of(spark, d), F.get("labels", F.lit(0)) % 2, 6), 3).where(F.col("order") == 3).withColumn("t", F.round("t", 5))
+
+
 @query("moments_merge", ttest_sql(GROUPED, 2))
 def moments_merge(spark, d):
     """Moments of three batches merged by the shift rule, then the second-order statistic."""
@@ -218,9 +229,7 @@ SELECT a.tuple_id, round((a.mu - b.mu) / sqrt((a.sq - a.mu * a.mu) / a.n + (b.sq
 
 def mttest_order(tuples: list[list[int]], d: int):
     def run(spark, path):
-        rows = traces_of(spark, path).select("trace_id", (F.get("labels", F.lit(0)) % 2).cast("int").alias("grp"), F.col("samples").cast("array<double>").alias("samples"))
-        table = spark.createDataFrame(list(enumerate(tuples)), "tuple_id int, points array<int>")
-        return metrics.mttest(rows, table, d).withColumn("t", F.round("t", 5))
+        return metrics.mttest(stats.tuple_moments(traces_of(spark, path), F.get("labels", F.lit(0)) % 2, tuples), d).withColumn("t", F.round("t", 5))
 
     return run
 
@@ -229,6 +238,14 @@ query("mttest_d2", mttest_sql(TUPLES2, 2))(mttest_order(TUPLES2, 2))
 query("mttest_d3", mttest_sql(TUPLES3, 3))(mttest_order(TUPLES3, 3))
 
 
+@query("mttest_merge", mttest_sql(TUPLES3, 3))
+def mttest_merge(spark, d):
+    """States of three batches merged by the shift rule."""
+    t = traces_of(spark, d)
+    parts = [stats.tuple_moments(t.where(F.col("trace_id") % 3 == k), F.get("labels", F.lit(0)) % 2, TUPLES3) for k in range(3)]
+    return metrics.mttest(stats.merge_tuple_moments(*parts, d=3), 3).withColumn("t", F.round("t", 5))
+
+
 def cpa_sql(value: str) -> str:
     return f"""WITH {STATE}, models AS (SELECT c AS value, s AS sample, bit_count(c)::DOUBLE + s * c / 64.0 AS m FROM (SELECT unnest(range(16)) AS c), (SELECT unnest(range(64)) AS s)),
 spread AS (SELECT sample, avg(m) AS mm, var_pop(m) AS mv FROM models GROUP BY sample),
@@ -273,8 +290,8 @@ def poi_scatter_relational(spark, d):
 
 def scatter_query(column: str):
     def run(spark, d):
-        t = traces_of(spark, d)
-        return metrics.lda_scatter(stats.class_state(t), stats.pair_scatter(t, POINTS), POINTS).select("i", "j", F.round(column, 2).alias(column))
+        t, (own,) = sources.prune(traces_of(spark, d), [POINTS])
+        return metrics.lda_scatter(stats.class_state(t), stats.pair_scatter(t, own), own).select("i", "j", F.round(column, 2).alias(column))
 
     return run
 
@@ -285,8 +302,8 @@ query("lda_sw", f"WITH {PAIRS} SELECT sb.i::INTEGER AS i, sb.j::INTEGER AS j, ro
 
 @query("lda_mus", f"WITH {STATE} SELECT class, sample::INTEGER AS sample, round(s / n, 6) AS mu FROM state WHERE sample IN ({', '.join(map(str, POINTS))})")
 def lda_mus(spark, d):
-    cut = stats.class_means(stats.class_state(traces_of(spark, d))).where(F.col("sample").isin(POINTS))
-    return cut.select("class", "sample", F.round("mean", 6).alias("mu"))
+    t, (own,) = sources.prune(traces_of(spark, d), [POINTS])
+    return stats.class_means(stats.class_state(t)).select("class", F.get(F.array(*map(F.lit, sorted(POINTS))), F.col("sample")).alias("sample"), F.round("mean", 6).alias("mu"))
 
 
 def solved(spark, d, p=3):
