@@ -109,10 +109,30 @@ def test_code_lengths_equal_brute_force(monkeypatch, step):
             assert bits[i, j] == pytest.approx(brute_bits(t, SAMPLES[lang]), abs=1e-3)
 
 
-def test_rare_contexts_are_cut_to_the_bound():
+@pytest.mark.parametrize("step", [1 << 20, 7])
+def test_lengths_from_the_counts_equal_the_automaton(monkeypatch, step):
+    """Beyond the table's size nothing is cut: the counts themselves give the same lengths."""
+    monkeypatch.setattr(langid, "STEP", step)
+    trees = langid.learn(SAMPLES)
+    assert langid.cells_of(trees) == langid.automaton(trees)[1].size
+    texts = ["the dog", "die straße über", "日本 zz 12", "", "x", "le chat et the hund " * 5]
+    want, _ = langid.code_lengths(texts, trees, *langid.automaton(trees))
+    got, _ = langid.code_lengths(texts, trees, np.zeros(0), np.zeros((0, 0)), langid.sparse_tables(trees))
+    assert np.allclose(got, want, atol=1e-3)
+
+
+def test_predictions_without_the_automaton(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_CELLS", 1)
     trees = langid.learn(SAMPLES)
-    states, cost = langid.automaton(trees, max_cells=40 * trees.n_symbols * 3)
-    assert len(cost) // trees.n_symbols <= 40 and states.max() < 40
+    docs = spark.createDataFrame([(1, "the dog sat"), (2, "die katze lief"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, trees).collect()} == {1: "aa", 2: "bb", 3: "und"}
+
+
+def test_long_texts_teach_a_language(spark):
+    """A language whose texts are all long is learnt; a draw ends where its characters do."""
+    docs = spark.createDataFrame([(i, "wieder und wieder " * 2000 + str(i), "de") for i in range(6)] + [(9, "the cat", "en")], "doc_id long, text string, lang string")
+    assert langid.fit(docs).languages == ("de", "en")
+    assert langid.fit(docs, langid.SampleBound(total_chars=10)).languages == ("de", "en")
 
 
 def test_predictions_and_odd_rows(spark):

@@ -63,3 +63,22 @@ def test_empty_table_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a@b.cd"), (1, "a@b.cd"), (None, "a@b.cd")], "doc_id long, text string")
     assert [r.n_email for r in pii.digest(pii.find(docs)).collect()] == [1, 1, 1]
     assert pii.digest(pii.find(docs.limit(0))).count() == 0
+
+
+def test_very_many_matches_take_their_length_and_keep_their_places(spark):
+    """Twenty thousand addresses in one text: positions beyond the first chunks are right, in seconds."""
+    import time
+
+    text = " ".join(f"m{i}@x.example" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    (r,) = pii.digest(pii.find(docs)).collect()
+    assert r.n_email == 20_000 and time.monotonic() - began < 60
+    listed = ",".join(f"{k}:{s}:{e}" for s, _, k, e in base(text))
+    assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+
+
+def test_words_after_an_account_number_do_not_hide_it(spark):
+    texts = ["DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "GB82 WEST 1234 5698 7654 32 12 May", "iban DE89370400440532013000"]
+    got = [r.spans for r in pii.digest(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()]
+    assert [s.split(",")[0] for s in got] == ["iban:0:27", "iban:0:27", "iban:5:27"]

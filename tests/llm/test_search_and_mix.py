@@ -65,6 +65,20 @@ def test_edited_passages_are_found_and_clean_text_is_not(spark, rate, recall):
             assert r.distance == brute_distance(dict(items)[r.item_id].split(), text[r.doc_id].lower().split())
 
 
+def test_every_stretch_within_the_bound_is_found(spark):
+    """Against all stretches of all texts: nothing beyond brute force, and nearly all of it; short and unspaced items word by word."""
+    items, docs = planted(0.15)
+    short = [(200, "seven plain words stand here as written"), (201, "alpha beta"), (202, "東京都は日本の首都です")]
+    docs = [*docs, (300, "x SEVEN plain words stand here as written y"), (301, "seven plain words stand there as written"), (302, "some alpha beta too"), (303, "これは東京都は日本の首都です。")]
+    docs += [(d, t) for d, t in docs[:2]]
+    bench = spark.createDataFrame([*items, *short, (203, "alpha beta")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    split = [(i, decontam.words_of(t)) for i, t in [*items, *short, (203, "alpha beta")]]
+    want = {(d, i) for d, t in docs for i, w in split if brute_distance(w, decontam.words_of(t)) <= (int(0.2 * len(w)) if len(w) >= 8 else 0)}
+    assert found <= want and len(found) >= 0.95 * len(want)
+    assert {(300, 200), (302, 201), (302, 203), (303, 202)} <= found and not {d for d, _ in found} & {301}
+
+
 def test_contaminated_rows_go(spark):
     items, docs = planted(0.0)
     table = spark.createDataFrame([(d, t, "en") for d, t in docs] + [(500, "nothing here", None), (501, None, None)], "doc_id long, text string, lang string")
@@ -92,7 +106,12 @@ def brute_mix(rows, mix):
             for k, x in w.items():
                 sums[k[d]] = sums.get(k[d], 0) + x
             w = {k: x * target[d][k[d]] / sums[k[d]] for k, x in w.items()}
-    return {k: min(1.0, mix.budget * total * w[k] / sum(w.values()) / cells[k]) for k in cells}, w, target
+    p = {k: min(1.0, mix.budget * total * w[k] / sum(w.values()) / cells[k]) for k in cells}
+    for _ in range(mix.fills):  # what whole cells cannot give is asked of the others
+        free, whole = sum(p[k] * cells[k] for k in cells if p[k] < 1), sum(cells[k] for k in cells if p[k] >= 1)
+        if free:
+            p = {k: min(1.0, p[k] * max(1.0, (mix.budget * total - whole) / free)) if p[k] < 1 else p[k] for k in cells}
+    return p, w, target
 
 
 def test_mix_equals_brute_force_and_meets_marginals(spark):
@@ -114,6 +133,30 @@ def test_mix_equals_brute_force_and_meets_marginals(spark):
     assert mixing.sample_documents(docs).columns == docs.columns
 
 
+def test_whole_cells_pass_on_what_they_cannot_give(spark):
+    """A small source with a large target is kept whole; the others fill the budget."""
+    rows = [(i, "w " * 20, "en", "small" if i < 40 else f"s{i % 3}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mix = mixing.Mix(budget=0.6, targets=(("source", (("small", 0.4), ("s0", 0.2), ("s1", 0.2), ("s2", 0.2))),))
+    got = mixing.mix_documents(docs, mix).collect()
+    assert sum(r.tokens * r.probability for r in got) == pytest.approx(0.6 * sum(r.tokens for r in got), rel=1e-4)
+    assert {r.probability for r in got if r.source == "small"} == {1.0}
+    cells = docs.groupBy("source").agg(F.sum(F.lit(21)).cast("long").alias("tokens")).select("source", F.lit("en").alias("lang"), F.lit("short").alias("topic"), "tokens")
+    assert all(abs(r.target - r.got) < 1e-9 for r in mixing.marginal_errors(mixing.raked(cells, mix), mix).collect())
+
+
+def test_mix_of_odd_rows(spark):
+    """Null ids draw as one, rows that share an id and a cell stay together, clashing columns come back."""
+    rows = [(None, "a", "en", "s", 1), (None, "a", "en", "s", 2), (5, "b", "en", "s", 3), (5, "b", "en", "s", 4), (6, None, None, None, 5), (7, "word " * 200_000, "en", "s", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, probability long").withColumns({"cell": F.lit(1), "draw": F.lit(2), "topic": F.lit("x")})
+    got = mixing.mix_documents(docs).collect()
+    assert len(got) == 6 and {r.tokens for r in got if r.doc_id == 7} == {200_001}
+    kept = mixing.sample_documents(docs)
+    assert kept.columns == docs.columns
+    for pair in ({1, 2}, {3, 4}):
+        assert len(pair & {r.probability for r in kept.collect()}) in (0, 2)
+
+
 def test_named_targets(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "en", "a" if i % 2 else "b") for i in range(200)], "doc_id long, text string, lang string, source string")
     mix = mixing.Mix(budget=0.5, targets=(("source", (("a", 3.0), ("b", 1.0))),))
@@ -194,3 +237,45 @@ def test_top_k_is_exact(spark, monkeypatch, shape, block):
 def test_top_k_of_nothing(spark):
     v = topk.quantized(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(v, v, 5).count() == 0
+
+
+def test_top_k_of_large_values_and_repeats(spark):
+    """Whole products of any size; repeated queries count once, repeated candidates twice."""
+    rows = [(0, [1e15, 3.0, -2.0]), (1, [1e15, 3.0, -1.0]), (2, [1e14, 5.0, 5.0]), (3, [1.0, 2.0, 3.0]), (3, [1.0, 2.0, 3.0]), (4, [1e300, 0.0, 1.0]), (50, [2.0, 1.0, 1.0]), (50, [2.0, 1.0, 1.0]), (51, [1.0, 2.0])]
+    vectors = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in topk.top_k(vectors, vectors.where("vec_id in (0, 50)"), 5).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    whole = [(i, [int(math.floor(x * 256)) if abs(x) < 2**40 else int(x * 256) for x in v]) for i, v in rows]
+    for q in (0, 50):
+        own = next(v for i, v in whole if i == q)
+        want = sorted(((min(2**63 - 1, sum(a * b for a, b in zip(own, v, strict=True))), i) for i, v in whole if i != q and len(v) == 3), key=lambda x: (-x[0], x[1]))[:5]
+        assert got[q] == [(i, s) for s, i in want]
+
+
+def test_top_k_does_not_depend_on_arrow_batches(spark):
+    r = np.random.default_rng(12)
+    rows = [(i, (r.normal(size=6) * r.uniform(0.1, 9)).tolist()) for i in range(900)]
+    vectors = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, found = spark.conf.get(key), []
+    for size in ("7", "1000"):
+        spark.conf.set(key, size)
+        found.append(sorted(map(tuple, topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 5).collect())))
+    spark.conf.set(key, before)
+    assert found[0] == found[1]
+
+
+def test_wildcards_follow_support_at_any_depth(spark):
+    """Ids become wildcards wherever they stand; thirty sections with many urls each stay names."""
+    rows = [f"http://h.io/a/b/c/d/e/u{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)] + [f"http://h.io/s{chr(97 + i % 26)}{chr(97 + i // 26 % 2)}/page" for i in range(520)]
+    got = {r.path: r.template for r in url_filter.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
+    deep = {t for p, t in got.items() if p.startswith("/a/")}
+    assert deep == {"a/b/c/d/*"} and len({t for p, t in got.items() if p.startswith("/s")}) == 52
+
+
+def test_odd_urls(spark):
+    rows = [(1, "http://x.y/" + "a/" * 20_000), (1, "http://x.y/" + "a/" * 20_000), (None, None), (2, "")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("template", F.lit(1))).collect()
+    assert len(got) == 4 and {r.verdict for r in got} == {"allow"} and max(len(r.path) for r in got) == 40_001
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0

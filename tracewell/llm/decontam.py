@@ -1,22 +1,28 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance.
 
-Texts are sequences of words (lower-cased, cut at white space). A CGK random walk embeds a
-sequence: step j writes the word under a pointer, and a random bit of (repetition, j, word) moves
-the pointer on or leaves it. Sequences at a small edit distance fall in step again after an edit,
-so their embeddings differ in few places. A repetition samples a few steps of its own walk; its
-hash is the words written there. Repetition r embeds each item from one of its words, its r-th
-longest, as rare words make few candidates; the window of a document is walked from every position
-that holds such a word. Windows that share a repetition's hash with an item are verified: the
-smallest number of word insertions, deletions and substitutions between the item and any stretch
-of the window, by bit-parallel dynamic programming, must be at most ``max_edits`` of its words.
+Texts are sequences of words (lower-cased, cut at white space; letters of scripts written without
+blanks are words of their own). A CGK random walk embeds a sequence: step j writes the word under a
+pointer, and a random bit of (repetition, j, word) moves the pointer on or leaves it. Sequences at a
+small edit distance fall in step again after an edit, so their embeddings differ in few places. The
+walk over a window as long as the item takes twice as many steps as the item's size class has words
+(classes are powers of two), so it covers the item's size. A repetition samples a few steps of its
+own walk; its hash is the words written there. Repetition r starts the item's window at its r-th
+longest word, as rare words make few candidates; a document's windows start wherever such a word
+stands. Windows that share a repetition's hash with an item are verified: the smallest number of
+word insertions, deletions and substitutions between the item and any stretch of the window, by
+bit-parallel dynamic programming, must be at most ``max_edits`` of its words.
 
 The number of repetitions is raised until ``target_recall`` of randomly edited copies of the items
-themselves, at the full edit rate, are candidates. Items go to the executors in blocks of bounded
-size; every block meets all documents in one narrow pass, without a shuffle.
+themselves, at the full edit rate and among other items' words, are candidates. Items with copies
+that are still missed after ``MAX_REPETITIONS``, and items below ``min_words``, are found without
+loss: by pigeonhole, of one more piece than edits allowed at least one piece stands unchanged in
+the document. Items go to the executors in blocks of bounded size; every block meets all documents
+in one narrow pass, without a shuffle.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -28,14 +34,17 @@ from pyspark.sql import functions as F
 
 from ._common import documents_of, give_back, small_batches, text_rows
 
-STEPS = 12
-SAMPLES = 3
-MAX_REPETITIONS = 16
+SAMPLES = 2
+MAX_REPETITIONS = 32
+#: Scripts written without blanks: Thai to Tibetan and Burmese, Khmer, kana, Han; a letter is a word.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
+PIECES = re.compile(f"{UNSPACED.pattern}|[^\\s{UNSPACED.pattern[1:-1]}]+")
 BLOCK_ITEMS, BLOCK_CHARS = 5000, 4_000_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    lower = (text or "").lower()
+    return PIECES.findall(lower) if UNSPACED.search(lower) else lower.split()
 
 
 def edit_distance_within(item: dict[int, int], n: int, window: list[int]) -> tuple[int, int]:
@@ -61,45 +70,59 @@ def edit_distance_within(item: dict[int, int], n: int, window: list[int]) -> tup
 
 
 @dataclass
-class Index:
-    """Items of one block and the hashes of their windows, by repetition."""
+class Repetition:
+    """One walk of one size class: which bit moves on at (step, word), the sampled steps, where windows start, hashes and their windows."""
 
-    item_ids: list
-    words: list[np.ndarray]
-    vocabulary: dict[str, int]
-    moves: np.ndarray  # [repetition, step, word] -> 0 or 1
-    samples: np.ndarray  # [repetition] -> sampled steps
-    anchors: list[np.ndarray]  # [repetition] -> whether a window may start at a word
-    keys: list[np.ndarray]  # [repetition] -> sorted hashes
-    places: list[list[tuple[int, int]]]  # [repetition] -> (item, offset) by hash
-    max_edits: float
-
-    def hashes(self, tokens: np.ndarray, at: np.ndarray, repetition: int) -> np.ndarray:
+    moves: np.ndarray
+    samples: np.ndarray
+    anchors: np.ndarray
+    keys: np.ndarray
+    places: list[tuple[int, int]]
+
+    def hashes(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The sampled words of the walks from the positions ``at``, as one number each."""
         spot, key, last = at.copy(), np.zeros(len(at), np.uint64), len(tokens) - 1
-        wanted = set(self.samples[repetition].tolist())
-        for j in range(STEPS):
+        wanted, until = set(self.samples.tolist()), int(self.samples[-1])
+        for j in range(until + 1):
             word = tokens[np.minimum(spot, last)]
             if j in wanted:
                 key = (key ^ word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
-            spot = spot + self.moves[repetition, j, word]
+            spot += self.moves[j].take(word)
         return key
 
+    def candidates(self, tokens: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, start of its window) that share a hash."""
+        at = np.flatnonzero(self.anchors.take(tokens))
+        if len(at) and len(self.keys):
+            hashed = self.hashes(tokens, at)
+            low, high = np.searchsorted(self.keys, hashed), np.searchsorted(self.keys, hashed, "right")
+            for p in np.flatnonzero(high > low).tolist():
+                for k in range(low[p], high[p]):
+                    item, offset = self.places[k]
+                    yield item, int(at[p]) - offset
+
+
+@dataclass
+class Index:
+    """Items of one block, the repetitions of their size classes and the pieces of items that are found by these."""
+
+    item_ids: list
+    words: list[np.ndarray]
+    vocabulary: dict[str, int]
+    repetitions: list[Repetition]
+    pieces: dict[int, list[tuple[int, int, tuple[int, ...], int]]]  # rarest word of a piece -> (item, offset of the piece, the piece, place of the word in it)
+    piece_words: np.ndarray
+    slack: list[int]
+
     def candidates(self, tokens: np.ndarray) -> set[tuple[int, int]]:
-        """(item, start of its window) that share a hash in some repetition."""
-        found: set[tuple[int, int]] = set()
-        for r, keys in enumerate(self.keys):
-            at = np.flatnonzero(self.anchors[r][tokens])
-            if len(at) and len(keys):
-                hashed = self.hashes(tokens, at, r)
-                low = np.searchsorted(keys, hashed)
-                for p in np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == hashed).tolist():
-                    k = int(low[p])
-                    while k < len(keys) and keys[k] == hashed[p]:
-                        item, offset = self.places[r][k]
-                        found.add((item, int(at[p]) - offset))
-                        k += 1
+        """(item, start of its window) of every repetition and every piece."""
+        found = {c for r in self.repetitions for c in r.candidates(tokens)}
+        for at in np.flatnonzero(self.piece_words.take(tokens)).tolist() if self.pieces else ():
+            for item, offset, piece, place in self.pieces[int(tokens[at])]:
+                low = at - place
+                if low >= 0 and tuple(tokens[low : low + len(piece)].tolist()) == piece:
+                    found.add((item, low - offset))
         return found
 
     def tokens(self, text: str | None) -> np.ndarray:
@@ -111,11 +134,10 @@ class Index:
         tokens = self.tokens(text)
         if not len(tokens):
             return {}
-        pad = np.concatenate([tokens, np.zeros(STEPS + 1, np.int64)])
         best: dict[int, tuple[int, int]] = {}
-        for item, start in sorted(self.candidates(pad)):
+        for item, start in sorted(self.candidates(tokens)):
             n = len(self.words[item])
-            slack = int(self.max_edits * n)
+            slack = self.slack[item]
             if item in best and best[item][0] == 0:
                 continue
             low, high = max(0, start - slack), min(len(tokens), start + n + slack)
@@ -135,46 +157,69 @@ class Index:
 
 
 def build_index(items: list[tuple[int, str]], max_edits: float, min_words: int, target_recall: float, seed: int = 7) -> Index:
-    """Index of items of ``min_words`` words at least; repetitions as the target recall needs."""
-    kept = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if len(w) >= min_words]
+    """Index of a block's items; repetitions as the target recall needs."""
+    kept = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in kept for w in ws}), 1)}
     coded = [np.array([vocabulary[w] for w in ws], np.int64) for _, ws in kept]
-    rng = np.random.default_rng(seed)
-    moves = rng.integers(0, 2, (MAX_REPETITIONS, STEPS, len(vocabulary) + 1))
-    samples = np.array([np.concatenate([[0], np.sort(rng.choice(np.arange(1, STEPS), SAMPLES, replace=False))]) for _ in range(MAX_REPETITIONS)])
-    index = Index([i for i, _ in kept], coded, vocabulary, moves, samples, [], [], [], max_edits)
     length = np.array([0, *map(len, sorted(vocabulary))])
-    offsets = [np.argsort(-length[c[: max(1, len(c) - 3)]], kind="stable") for c in coded]
-    copies = [(i, edited(c, max_edits, rng, len(vocabulary))) for i, c in enumerate(coded) for _ in range(max(1, 400 // max(1, len(coded))))]
+    slack = [int(max_edits * len(c)) if len(c) >= min_words else 0 for c in coded]
+    index = Index([i for i, _ in kept], coded, vocabulary, [], {}, np.zeros(len(vocabulary) + 1, bool), slack)
+    rng = np.random.default_rng(seed)
+    lost: list[int] = [i for i, c in enumerate(coded) if len(c) < min_words]
+    for size in sorted({len(c).bit_length() - 1 for c in coded if len(c) >= min_words}):
+        own = [i for i, c in enumerate(coded) if len(c) >= min_words and len(c).bit_length() - 1 == size]
+        new, missed = repetitions_of(own, coded, size, length, max_edits, target_recall, rng)
+        index.repetitions += new
+        lost += missed
+    for i in lost:
+        item, n = coded[i].tolist(), len(coded[i])
+        cuts = np.linspace(0, n, slack[i] + 2).astype(int).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            place = int(length[item[a:b]].argmax())
+            index.pieces.setdefault(item[a + place], []).append((i, a, tuple(item[a:b]), place))
+            index.piece_words[item[a + place]] = True
+    return index
+
+
+def repetitions_of(own: list[int], coded: list[np.ndarray], size: int, length: np.ndarray, max_edits: float, target_recall: float, rng: np.random.Generator) -> tuple[list[Repetition], list[int]]:
+    """(repetitions of the items ``own`` of one size class, those of them with copies that all miss)."""
+    steps, n_words = 2 << size, len(length)
+    copies = [(i, edited(coded[i], max_edits, rng, n_words)) for i in own for _ in range(max(2, 400 // len(own)))]
+    inside = {i: max(1, len(coded[i]) - (1 << size) // 2) for i in own}
+    offsets = {i: np.argsort(-length[coded[i][: inside[i]]], kind="stable") for i in own}
+    out: list[Repetition] = []
     missing = copies
-    for r in range(MAX_REPETITIONS):
+    while len(out) < MAX_REPETITIONS and (len(out) < 4 or len(missing) > (1 - target_recall) * len(copies)):
+        r = len(out)
+        samples = np.concatenate([[0], np.sort(rng.choice(np.arange(1, steps), SAMPLES, replace=False, p=early(steps)))])
+        one = Repetition(rng.integers(0, 2, (steps, n_words), dtype=np.int64).astype(np.int8), samples, np.zeros(n_words, bool), np.zeros(0, np.uint64), [])
         rows = []
-        for i, c in enumerate(coded):
+        for i in own:
             o = int(offsets[i][r % len(offsets[i])])
-            pad = np.concatenate([c, np.zeros(STEPS + 1, np.int64)])
-            rows.append((int(index.hashes(pad, np.array([o]), r)[0]), i, o))
+            rows.append((int(one.hashes(np.append(coded[i], 0), np.array([o]))[0]), i, o))
+            one.anchors[coded[i][o]] = True
         rows.sort()
-        index.keys.append(np.array([k for k, _, _ in rows], np.uint64))
-        index.places.append([(i, o) for _, i, o in rows])
-        anchor = np.zeros(len(vocabulary) + 1, bool)
-        anchor[[int(coded[i][o]) for _, i, o in rows]] = True
-        index.anchors.append(anchor)
-        alone = Index(index.item_ids, coded, vocabulary, moves[r : r + 1], samples[r : r + 1], index.anchors[-1:], index.keys[-1:], index.places[-1:], max_edits)
-        missing = [(i, c) for i, c in missing if i not in {x for x, _ in alone.candidates(c)}]
-        if r >= 3 and len(missing) <= (1 - target_recall) * len(copies):
-            break
-    return index
+        one.keys, one.places = np.array([k for k, _, _ in rows], np.uint64), [(i, o) for _, i, o in rows]
+        out.append(one)
+        missing = [(i, c) for i, c in missing if i not in {x for x, _ in one.candidates(c)}]
+    return out, sorted({i for i, _ in missing}) if len(missing) > (1 - target_recall) * len(copies) else []
+
+
+def early(steps: int) -> np.ndarray:
+    """Weights of the steps 1 to steps - 1: every step of the window may be sampled, early ones, before most edits, more often."""
+    w = 1.0 / np.arange(1, steps)
+    return w / w.sum()
 
 
 def edited(item: np.ndarray, rate: float, rng: np.random.Generator, n_words: int) -> np.ndarray:
-    """A copy with ``rate`` of its words substituted, deleted or doubled by unknown ones, padded for the walk."""
+    """A copy with ``rate`` of its words substituted, deleted or doubled, among other words of the vocabulary."""
     out = item.tolist()
     for _ in range(int(rate * len(item))):
         at, what = int(rng.integers(len(out))), int(rng.integers(3))
-        out[at : at + 1] = [[0], [], [out[at], 0]][what]
+        out[at : at + 1] = [[int(rng.integers(n_words))], [], [out[at], int(rng.integers(n_words))]][what]
         if not out:
             break
-    return np.array([*out, *[0] * (STEPS + 1)], np.int64)
+    return np.concatenate([rng.integers(0, n_words, 8), np.array(out, np.int64), rng.integers(0, n_words, len(item) + 8)])
 
 
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -201,9 +246,10 @@ def find(df: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, min_words:
 
     ``distance`` is the least word edit distance found; ``end_word`` counts the words up to the end
     of that stretch. Null and empty texts hold nothing; items with fewer than ``min_words`` words
-    are not searched, as such phrases occur by chance. Items with one text under several ids are
-    found under each. Rows of documents may repeat; other columns are not read; an empty table on
-    either side gives an empty result.
+    must stand there word by word, as similar phrases occur by chance; items without a word are in
+    no text. Items with one text under several ids are found under each. Rows of documents may
+    repeat, and come back as often; very long texts are searched whole; other columns are not read;
+    an empty table on either side gives an empty result.
     """
     docs = documents_of(df, id_col, text_col)
     schema = "doc_id long, item_id long, distance int, item_words int, end_word int"
@@ -222,7 +268,11 @@ def find(df: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, min_words:
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, min_words: int = 8, target_recall: float = 0.95, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, whose text holds no item."""
+    """The rows of ``df``, all columns whatever their names, whose text holds no item.
+
+    Null and empty texts and rows with a null id stay, repeated rows stay as often as they come; an
+    empty table on either side changes nothing.
+    """
 
     def kept(index: Index) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,11 +10,12 @@ the shortest code is predicted. Letters are lower-cased first.
 
 Frozen trees of all languages are laid out as one automaton: a table from the last three bytes to
 the longest context that any tree holds, and the code length of each byte there in each language.
-The table is exact and bounded by ``max_cells``: if the trees would exceed it, the rarest
-three-byte contexts are cut.
+Where that table would have more than ``MAX_CELLS`` cells, as with very many languages or letters,
+the same lengths come from the sorted counts themselves: slower, nothing cut.
 
-The classifier is fitted on a bounded sample: per language, of the distinct texts of at most
-``max_chars`` characters, the ``per_language`` ones with the smallest text hashes.
+The classifier is fitted on a bounded sample: per language, of the distinct texts the
+``per_language`` ones with the smallest text hashes, as far as they hold ``total_chars`` characters
+in all; texts of any length are drawn.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import documents_of, store, text_rows, worker_cache
+from ._common import documents_of, text_rows, worker_cache
 
 ORDER = 3
 STEP = 1 << 20
+MAX_CELLS = 12_000_000
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -41,7 +43,7 @@ class SampleBound:
     """Documented bound of the fit."""
 
     per_language: int = 400
-    max_chars: int = 10_000
+    total_chars: int = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -85,19 +87,19 @@ def learn(texts: dict[str, list[str]]) -> Trees:
     return Trees(tuple(raw), symbols, tuple(grams), mark)
 
 
-def automaton(trees: Trees, max_cells: int = 12_000_000) -> tuple[np.ndarray, np.ndarray]:
+def cells_of(trees: Trees) -> int:
+    """Cells of the automaton's table."""
+    n = trees.n_symbols
+    return n * len(trees.languages) * sum(len(np.unique(np.concatenate([per[k][0] // n for per in trees.grams]))) for k in range(ORDER + 1) if trees.grams)
+
+
+def automaton(trees: Trees) -> tuple[np.ndarray, np.ndarray]:
     """(state of each triple of symbols, code length in bits by state * symbols + symbol and language)."""
     n, langs = trees.n_symbols, len(trees.languages)
     contexts = []  # by order: numbers of the contexts that any tree holds
     for k in range(ORDER + 1):
-        found = [(g // n, c) for g, c in (per[k] for per in trees.grams)]
-        codes = np.concatenate([g for g, _ in found]) if found else np.zeros(0, np.int64)
-        number, where = np.unique(codes, return_inverse=True)
-        total = np.bincount(where, np.concatenate([c for _, c in found]) if found else None, len(number))
-        room = max(0, max_cells // (n * max(langs, 1)) - sum(map(len, contexts)))
-        if len(number) > room:
-            number = np.sort(number[np.lexsort((number, -total))[:room]])
-        contexts.append(number)
+        codes = np.concatenate([per[k][0] // n for per in trees.grams]) if trees.grams else np.zeros(0, np.int64)
+        contexts.append(np.unique(codes))
     start = np.cumsum([0, *map(len, contexts)])
     cost = np.full((int(start[-1]) or 1, n, max(langs, 1)), 8.0, np.float32)
     states = np.zeros(n**ORDER, np.int32)
@@ -123,11 +125,47 @@ def automaton(trees: Trees, max_cells: int = 12_000_000) -> tuple[np.ndarray, np
     return states, cost.reshape(-1, max(langs, 1))
 
 
-def code_lengths(texts: list[str], trees: Trees, states: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bits by text and language, bytes by text)."""
+def sparse_tables(trees: Trees) -> list[list[tuple[np.ndarray, ...]]]:
+    """By language and order: sorted grams and counts, sorted contexts with how often they were seen and how many bytes followed."""
+    out = []
+    for per in trees.grams:
+        rows = []
+        for gram, count in per:
+            context, first, distinct = np.unique(gram // trees.n_symbols, return_index=True, return_counts=True)
+            rows.append((gram, count, context, np.add.reduceat(count, first) if len(first) else count, distinct))
+        out.append(rows)
+    return out
+
+
+def sparse_costs(x: np.ndarray, trees: Trees, tables: list[list[tuple[np.ndarray, ...]]]) -> np.ndarray:
+    """Code length of each symbol from the fourth on, by language, straight from the counts."""
+    n, here = trees.n_symbols, x[ORDER:]
+    each = np.full((len(here), len(tables)), 8.0, np.float32)
+    context, whole = np.zeros(len(here), np.int64), np.ones(len(here), bool)
+    for k in range(ORDER + 1):
+        if k:
+            before = x[ORDER - k : len(x) - k]
+            context = before * n ** (k - 1) + context
+            whole &= before > 0
+        for i, rows in enumerate(tables):
+            gram, count, known, seen, distinct = rows[k]
+            if not len(known):
+                continue
+            at = np.minimum(np.searchsorted(known, context), len(known) - 1)
+            met = whole & (known[at] == context)
+            place = np.minimum(np.searchsorted(gram, context * n + here), len(gram) - 1)
+            held = met & (gram[place] == context * n + here)
+            total = (seen + distinct)[at]
+            each[:, i] += np.where(met, -np.log2(distinct[at] / total), 0.0).astype(np.float32)
+            each[held, i] = -np.log2(count[place[held]] / total[held])
+    return each
+
+
+def code_lengths(texts: list[str], trees: Trees, states: np.ndarray, cost: np.ndarray, tables: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bits by text and language, bytes by text); with ``tables`` from them in place of the automaton."""
     n = trees.n_symbols
     raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    bits, size = np.zeros((len(texts), cost.shape[1])), np.array([len(r) for r in raw], np.int64)
+    bits, size = np.zeros((len(texts), len(tables) if tables else cost.shape[1])), np.array([len(r) for r in raw], np.int64)
     held: list[tuple[int, bytes]] = []
     pad = b"\0" * ORDER
     nothing = np.zeros(ORDER, np.int64)
@@ -137,8 +175,11 @@ def code_lengths(texts: list[str], trees: Trees, states: np.ndarray, cost: np.nd
         for _, part in held:
             parts += [nothing if part[:ORDER] == pad else trees.symbols[np.frombuffer(part[:ORDER], np.uint8)], trees.symbols[np.frombuffer(part[ORDER:], np.uint8)]]
         x = np.concatenate(parts)
-        state = states[(x[: -ORDER] * n + x[1 : 1 - ORDER]) * n + x[2:-1]]
-        each = cost[state.astype(np.int64) * n + x[ORDER:]]
+        if tables:
+            each = sparse_costs(x, trees, tables)
+        else:
+            state = states[(x[: -ORDER] * n + x[1 : 1 - ORDER]) * n + x[2:-1]]
+            each = cost[state.astype(np.int64) * n + x[ORDER:]]
         first = np.cumsum([0, *(len(part) for _, part in held)])[:-1]
         sums = np.add.reduceat(np.concatenate([each, np.zeros((ORDER, each.shape[1]), np.float32)]), np.stack([first, first + [len(p) - ORDER for _, p in held]], 1).reshape(-1), axis=0, dtype=np.float64)[::2]
         for (i, part), s in zip(held, sums, strict=True):
@@ -169,15 +210,16 @@ def fit(df: DataFrame, bound: SampleBound | None = None, text_col: str = "text",
     """Learn from the rows whose text and language are not null."""
     bound = bound or SampleBound()
     rows = df.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text is not null and lang is not null")
-    short = rows.where(F.length("text") <= bound.max_chars)
-    keyed = store(short.select("lang", F.xxhash64("text").alias("h")).distinct())
-    languages = sorted(r.lang for r in keyed.select("lang").distinct().collect())
-    drawn = [(lang, r.h) for lang in languages for r in keyed.where(F.col("lang") == lang).orderBy("h").limit(bound.per_language).select("h").collect()]
+    keyed = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.max(F.length("text")).cast("long").alias("size"))
+    own = Window.partitionBy("lang").orderBy("h")
+    first = keyed.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= bound.per_language)
+    within = first.withColumn("before", F.sum("size").over(own) - F.col("size"))  # per_language rows for each language
+    drawn = [(r.lang, r.h) for r in within.where((F.col("rank") == 1) | (F.col("before") + F.col("size") <= bound.total_chars)).select("lang", "h").collect()]
     if not drawn:
         return learn({})
     chosen = df.sparkSession.createDataFrame(drawn, "lang string, h long")
     texts: dict[str, list[str]] = {}
-    found = short.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"])  # per_language rows for each language
+    found = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"])  # per_language rows for each language
     for r in sorted(found.groupBy("lang", "h").agg(F.first("text").alias("text")).collect()):
         texts.setdefault(r.lang, []).append(r.text)
     return learn(texts)
@@ -192,10 +234,12 @@ def predict(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
     Repeated rows and other columns change nothing.
     """
 
+    dense = cells_of(trees) <= MAX_CELLS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states, cost = worker_cache(f"ppm:{trees.key}", lambda: automaton(trees))
+        states, cost, tables = worker_cache(f"ppm:{trees.key}", lambda: (*automaton(trees), None) if dense else (np.zeros(0), np.zeros((0, 0)), sparse_tables(trees)))
         for ids, texts in text_rows(batches, "doc_id", "text"):
-            bits, size = code_lengths([t or "" for t in texts], trees, states, cost)
+            bits, size = code_lengths([t or "" for t in texts], trees, states, cost, tables)
             known = np.array([bool(trees.languages) and has_letter(t) for t in texts])
             best = bits.argmin(axis=1)
             scale = np.minimum(1.0, 32 / np.maximum(size, 1))

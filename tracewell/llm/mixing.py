@@ -3,12 +3,15 @@
 Documents fall into cells (source, language, topic). The cells' token weights are raked: in turn,
 the weights of each source, language and topic are scaled to that marginal's target share, a fixed
 number of rounds. A document is then kept with its cell's probability: the raked share of the token
-budget over the tokens that the cell has, at most 1. The draw is a hash of the id, so it repeats.
+budget over the tokens that the cell has. Where that exceeds 1 the whole cell is kept, and what it
+cannot give is asked of the other cells in proportion, again and again, so that the expected tokens
+still meet the budget. The draw is a hash of the id, so it repeats.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +31,7 @@ class Mix:
     temper: float = 0.7
     budget: float = 0.8
     rounds: int = 10
+    fills: int = 8
     targets: tuple[tuple[str, tuple[tuple[str, float], ...]], ...] = ()
 
 
@@ -52,7 +56,7 @@ def target_shares(cells: DataFrame, dimension: str, mix: Mix) -> DataFrame:
         total = sum(share for _, share in named)
         return cells.sparkSession.sql("VALUES " + ", ".join(f"('{str(k).replace(chr(39), chr(39) * 2)}', {float(v) / total}D)" for k, v in named)).toDF(dimension, "target")
     own = cells.groupBy(dimension).agg(F.sum("tokens").alias("t")).withColumn("t", F.pow(F.col("t").cast("double"), F.lit(mix.temper)))
-    return own.select(dimension, (F.col("t") / F.sum("t").over(Window.partitionBy(F.lit(0)))).alias("target"))
+    return own.crossJoin(F.broadcast(own.agg(F.sum("t").alias("all_t")))).select(dimension, (F.col("t") / F.col("all_t")).alias("target"))  # one row
 
 
 def raked(cells: DataFrame, mix: Mix) -> DataFrame:
@@ -64,11 +68,28 @@ def raked(cells: DataFrame, mix: Mix) -> DataFrame:
     for _ in range(mix.rounds):
         for d in DIMENSIONS:
             fitted = fitted.withColumn("w", F.coalesce(F.col("w") * F.try_divide(F.col(f"to_{d}"), F.sum("w").over(Window.partitionBy(d))), F.lit(0.0)))
-    whole = Window.partitionBy(F.lit(0))
-    share = F.coalesce(F.try_divide(F.col("w"), F.sum("w").over(whole)), F.lit(0.0))
-    fitted = fitted.withColumn("share", share).crossJoin(F.broadcast(total))  # one row
-    p = F.least(F.lit(1.0), mix.budget * F.col("all_tokens") * F.col("share") / F.col("tokens"))
-    return fitted.select(*DIMENSIONS, "tokens", "share", F.round(p, 6).alias("probability"))
+    fitted = fitted.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(fitted.agg(F.sum("w").alias("all_w"))))  # one row each
+    share = F.coalesce(F.try_divide(F.col("w"), F.col("all_w")), F.lit(0.0))
+    asked = mix.budget * F.col("all_tokens") * F.col("share") / F.col("tokens")
+    fitted = store(fitted.withColumn("share", share).select(*DIMENSIONS, "tokens", "share", asked.alias("asked"), (mix.budget * F.col("all_tokens")).alias("wanted")))
+    factor = 1.0
+    for _ in range(mix.fills):  # two sums at a time reach the driver
+        p = F.col("asked") * factor
+        r = fitted.agg(F.sum(F.when(p < 1, p * F.col("tokens")).otherwise(0.0)).alias("free"), F.sum(F.when(p < 1, 0).otherwise(F.col("tokens"))).alias("whole"), F.max("wanted").alias("wanted")).first()
+        more = max(1.0, (r.wanted - r.whole) / r.free) if r.free else 1.0
+        factor *= more
+        if more == 1.0:
+            break
+    return fitted.select(*DIMENSIONS, "tokens", "share", F.least(F.lit(1.0), F.col("asked") * factor).alias("probability"))
+
+
+def marginal_errors(cells: DataFrame, mix: Mix, column: str = "share") -> DataFrame:
+    """(dimension, category, target, got): each marginal's target share and what the cells' ``column`` sums to."""
+    out = []
+    for d in DIMENSIONS:
+        got = cells.groupBy(d).agg(F.sum(column).alias("got")).join(target_shares(cells, d, mix), d, "left")
+        out.append(got.select(F.lit(d).alias("dimension"), F.col(d).alias("category"), F.coalesce("target", F.lit(0.0)).alias("target"), "got"))
+    return reduce(DataFrame.unionAll, out)
 
 
 def draw(id_col: Column) -> Column:
@@ -80,27 +101,26 @@ def mix_documents(df: DataFrame, mix: Mix | None = None, id_col: str = "doc_id",
     """(doc_id, source, lang, topic, tokens, probability, kept) of every row.
 
     Null sources and languages are the empty category, null texts count one token. Rows that share
-    an id are kept or left together if they share a cell; null ids draw as one. Other columns are
-    not read; an empty table gives an empty result.
+    an id are kept or left together if they share a cell; null ids draw as one. Very long texts
+    count whole. ``probability`` is rounded, the draw is not. Other columns are not read; an empty
+    table gives an empty result.
     """
     mix = mix or Mix()
     rows = weighed(df, id_col, text_col, source_col, lang_col)
     cells = store(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     fitted = store(raked(cells, mix).select(*DIMENSIONS, "probability"))
-    return rows.join(fitted, list(DIMENSIONS)).select("doc_id", *DIMENSIONS, "tokens", "probability", (draw(F.col("doc_id")) < F.col("probability")).alias("kept"))
+    return rows.join(fitted, list(DIMENSIONS)).select("doc_id", *DIMENSIONS, "tokens", F.round("probability", 6).alias("probability"), (draw(F.col("doc_id")) < F.col("probability")).alias("kept"))
 
 
 def sample_documents(df: DataFrame, mix: Mix | None = None) -> DataFrame:
-    """The rows of ``df`` (columns of documents) that the mix keeps."""
+    """The rows of ``df`` (columns of documents, others stay) that the mix keeps; odd rows as in ``mix_documents``."""
     mix = mix or Mix()
-    names = {d: f"__mix_{d}" for d in DIMENSIONS}
-    rows = weighed(df)
-    cells = store(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
-    fitted = store(raked(cells, mix).select(*(F.col(d).alias(names[d]) for d in DIMENSIONS), "probability").withColumnRenamed("probability", "__mix_p"))
+    cells = store(weighed(df).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
+    fitted = store(raked(cells, mix).select(F.struct(*DIMENSIONS).alias("cell"), "probability"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = {"source": F.coalesce(F.col("source").cast("string"), F.lit("")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "topic": topic_of(text)}
-    met = df.withColumns({names[d]: c for d, c in own.items()}).join(fitted, list(names.values()))
-    return met.where(draw(F.col("doc_id")) < F.col("__mix_p")).select(*(F.col(f"`{c}`") for c in df.columns))
+    cell = F.struct(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), topic_of(text).alias("topic"))
+    met = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), cell.alias("cell"), draw(F.col("doc_id")).alias("draw")).join(fitted, "cell")
+    return met.where(F.col("draw") < F.col("probability")).select(*(F.col("row")[c].alias(c) for c in df.columns))
 
 
 def oracle_sql(mix: Mix | None = None) -> str:
@@ -118,7 +138,10 @@ cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens
         for d in DIMENSIONS:
             parts.append(f"f{k + 1} AS MATERIALIZED (SELECT f.* REPLACE (w * target / sum(w) OVER (PARTITION BY f.{d}) AS w) FROM f{k} AS f JOIN t_{d} USING ({d}))")
             k += 1
-    parts.append(f"fitted AS MATERIALIZED (SELECT source, lang, topic, round(least(1.0, {mix.budget} * sum(tokens) OVER () * w / sum(w) OVER () / tokens), 6) AS probability FROM f{k})")
+    parts.append(f"p0 AS MATERIALIZED (SELECT source, lang, topic, tokens, {mix.budget} * sum(tokens) OVER () AS wanted, {mix.budget} * sum(tokens) OVER () * w / sum(w) OVER () / tokens AS q, 1.0::DOUBLE AS f FROM f{k})")
+    for k in range(mix.fills):
+        parts.append(f"p{k + 1} AS MATERIALIZED (SELECT c.* REPLACE (f * greatest(1.0, coalesce((wanted - whole) / nullif(free, 0), 1.0)) AS f) FROM p{k} AS c, (SELECT sum(CASE WHEN q * f < 1 THEN q * f * tokens ELSE 0 END) AS free, sum(CASE WHEN q * f < 1 THEN 0 ELSE tokens END) AS whole FROM p{k}))")
+    parts.append(f"fitted AS (SELECT source, lang, topic, least(1.0, q * f) AS p FROM p{mix.fills})")
     return "WITH " + ",\n".join(parts) + """
-SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, probability, ('0x' || md5(doc_id::VARCHAR)[1:8])::BIGINT / 4294967296.0 < probability AS kept
+SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, round(p, 6) AS probability, ('0x' || md5(doc_id::VARCHAR)[1:8])::BIGINT / 4294967296.0 < p AS kept
 FROM rows JOIN fitted USING (source, lang, topic)"""

@@ -50,13 +50,44 @@ FOR = {
 AGAINST = "version|isbn|issn|order|invoice|serial|part|sku|doi|build"
 CONTEXT = 40
 STEP = 0.3
+#: Pieces whose positions are summed at a time; even, so that a chunk starts with a piece outside matches.
+CHUNK = 64
+#: Country -> characters of its account numbers.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24,
+    "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
-def proposals(text: Column, kind: str, rank: int) -> Column:
-    """Leftmost non-overlapping matches of the kind's pattern, in order."""
-    parts = F.split(F.regexp_replace(text, PATTERNS[kind], f"{MARK}$0{MARK}"), MARK)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(SPAN).alias("found"))
+def proposals(docs: DataFrame) -> DataFrame:
+    """One column of spans for each kind beside ``docs``: leftmost non-overlapping matches of its pattern in ``t``, in order.
+
+    Pieces and matches alternate. Positions are running lengths: of whole chunks of pieces first,
+    then within each chunk, so that a text of very many matches costs little more than its length.
+    Each step is a projection of its own, so that none is computed again for every chunk.
+    """
+    names = [c for c in docs.columns if c not in PATTERNS]
+    length = lambda chunk: F.aggregate(chunk, F.lit(0), lambda n, p: n + F.length(p))
+    cut = docs.select(*names, *(F.split(F.regexp_replace("t", PATTERNS[k], f"{MARK}$0{MARK}"), MARK).alias(k) for k in PATTERNS))
+    few = {k: F.size(k) <= CHUNK for k in PATTERNS}
+
+    def chunked(k: str) -> Column:
+        starts = F.sequence(F.lit(1), F.size(k), F.lit(CHUNK))
+        return F.when(few[k], F.array(F.col(k))).otherwise(F.transform(starts, lambda at: F.slice(k, at, CHUNK)))
+
+    chunks = cut.select(*names, *(chunked(k).alias(k) for k in PATTERNS))
+    running = lambda k: F.aggregate(F.transform(k, length), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    begun = chunks.select(*names, *PATTERNS, *(F.when(F.size(k) == 1, F.array(F.lit(0))).otherwise(running(k)).alias(f"{k}_at") for k in PATTERNS))
+    spans = lambda k, rank: F.flatten(F.filter(F.zip_with(k, f"{k}_at", lambda chunk, at: inside(chunk, at, k, rank)), lambda x: x.isNotNull()))
+    return begun.select(*names, *(spans(k, rank).alias(k) for rank, k in enumerate(PATTERNS)))
+
+
+def inside(parts: Column, begin: Column, kind: str, rank: int) -> Column:
+    """The spans of every second part, the first of which starts at ``begin``."""
+    start = F.struct(begin.alias("at"), F.lit(False).alias("inside"), F.array().cast(SPAN).alias("found"))
 
     def step(a: Column, part: Column) -> Column:
         end = a["at"] + F.length(part)
@@ -91,6 +122,15 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def shortened(span: Column) -> Column:
+    """An account number's span without words after it: as many characters as its country's numbers have."""
+    size = F.lit(None).cast("int")
+    for n in sorted(set(IBAN_LENGTHS.values())):
+        size = F.when(F.substring(span["value"], 1, 2).isin([c for c, k in IBAN_LENGTHS.items() if k == n]), F.lit(n)).otherwise(size)
+    own = F.coalesce(F.call_function("regexp_extract", span["value"], F.concat(F.lit("^(?:[A-Z0-9] ?){"), (size - 1).cast("string"), F.lit("}[A-Z0-9](?![A-Z0-9])")), F.lit(0)), span["value"])
+    return F.struct(span["start"].alias("start"), span["rank"].alias("rank"), span["kind"].alias("kind"), (span["start"] + F.length(own)).alias("end"), own.alias("value"))
+
+
 def context_score(text: Column, kind: Column, start: Column) -> Column:
     """Prior of the kind, more with a word for it nearby and less with a word against; 0 to 1."""
     first = F.greatest(start - CONTEXT, F.lit(0))
@@ -110,11 +150,11 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_scor
     Start and end are code points of the whole text, end exclusive. Null texts count as empty and
     give empty arrays; rows and ids may repeat; other columns are not read.
     """
-    docs = documents_of(df, id_col, text_col).select("doc_id", F.translate(F.coalesce("text", F.lit("")), MARK, STAND_IN).alias("t"))
-    ranks = {k: i for i, k in enumerate(PATTERNS)}
+    docs = proposals(documents_of(df, id_col, text_col).select("doc_id", F.translate(F.coalesce("text", F.lit("")), MARK, STAND_IN).alias("t")))
 
     def confirmed(kind: str) -> Column:
-        return F.filter(proposals(F.col("t"), kind, ranks[kind]), lambda s: valid(kind, s["value"]))
+        spans = F.col(kind)
+        return F.filter(F.transform(spans, shortened) if kind == "iban" else spans, lambda s: valid(kind, s["value"]))
 
     found = docs.select("doc_id", "t", *(confirmed(k).alias(k) for k in PATTERNS))
     based = found.select("doc_id", "t", *PATTERNS, F.array_sort(F.concat(*BASE)).alias("base"))

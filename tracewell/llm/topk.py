@@ -1,22 +1,25 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Candidates of a batch are sorted by length (Euclidean norm) and cut into buckets of similar
-length. Per query and bucket, the k-th best score so far over the product of the query's length
-and the bucket's greatest length is the local cosine threshold. Above 1 the bucket is pruned
-whole, and so are the shorter ones after it. A high threshold makes coordinate pruning worth
-its cost: the product over the query block's heaviest coordinates plus the Cauchy-Schwarz bound of
-the rest drops candidates before the full product; otherwise lengths alone prune. Survivors get
-their exact product.
-
-Queries are taken in blocks of at most ``BLOCK`` vectors, the only thing sent to all executors;
-each block meets every candidate in one pass, each task keeps k rows for a query, and a final
-ranking joins those. Nothing else is shuffled.
+Vectors are range-partitioned and sorted by length (Euclidean norm), once for the whole table. The
+longest range, about ``LONGEST`` of the rows, is searched first; the k-th best scores found there are
+the queries' thresholds for all shorter ranges, of which those too short for any query are not read.
+Within a task, vectors come in buckets of similar length. Per query and bucket, the k-th best score
+so far over the product of the query's length and the bucket's greatest length is the local cosine
+threshold. Above 1 the bucket is pruned whole, and so are the shorter ones after it. A high
+threshold makes coordinate pruning worth its cost: the product over the query block's heaviest
+coordinates plus the Cauchy-Schwarz bound of the rest drops candidates before the full product;
+otherwise lengths alone prune. Survivors get their exact product. Products that double precision
+cannot hold exactly are computed with whole numbers of any size.
+
+Queries are taken in blocks of at most ``BLOCK`` vectors, the only thing sent to all executors; each
+task keeps k rows for a query, and a final ranking joins those.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ from ._common import store
 BLOCK = 4096
 BUCKET = 2048
 FOCUS = 16
+#: Share of the rows in the range that is searched first.
+LONGEST = 0.1
 #: Local cosine threshold from which coordinates prune.
 HIGH = 0.5
 EXACT = 2.0**53
@@ -37,12 +42,13 @@ def quantized(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     """(vec_id, v): floor(scale * x) of each component x as double.
 
     Null vectors and those with a null or non-finite component are left out, as are rows with a
-    null id; empty vectors stay (their products are 0).
+    null id; empty vectors stay (their products are 0). From 2^53 on a double has no fraction, so
+    scale * x stands for its floor there.
     """
     v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
     usable = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("x")).where("vec_id is not null and x is not null")
     finite = ~F.exists("x", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return usable.where(F.coalesce(finite, F.lit(False))).select("vec_id", F.transform("x", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    return usable.where(F.coalesce(finite, F.lit(False))).select("vec_id", F.transform("x", lambda x: F.when(F.abs(x * scale) < EXACT, F.floor(x * scale).cast("double")).otherwise(x * scale)).alias("v"))
 
 
 def vectors_of(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -58,6 +64,7 @@ class Best:
     def __init__(self, n: int, k: int):
         self.score = np.full((n, k), -np.inf)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
+        self.floor = np.full(n, -np.inf)  # scores below are not asked for
 
     def add(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
         k = self.score.shape[1]
@@ -77,7 +84,7 @@ def search_batch(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, ve
     query_rest = np.sqrt((queries[:, rest] ** 2).sum(axis=1))
     for a in range(0, len(ids), BUCKET):
         v, own, n = vectors[a : a + BUCKET], ids[a : a + BUCKET], length[a : a + BUCKET]
-        least = best.score[:, -1]
+        least = np.maximum(best.score[:, -1], best.floor)
         reach = query_length * n[0]
         open_ = np.flatnonzero(reach * (1 + 1e-9) >= least)  # else even the same direction scores less
         if not len(open_):
@@ -99,30 +106,50 @@ def search_batch(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, ve
         if len(plain):
             scores = queries[plain] @ v.T
             for q, row in zip(plain.tolist(), scores, strict=True):
-                keep = (row >= best.score[q, -1]) & (own != query_ids[q])
+                keep = (row >= max(best.score[q, -1], best.floor[q])) & (own != query_ids[q])
                 if keep.any():
                     best.add(q, row[keep], own[keep])
 
 
+def whole_products(query: np.ndarray, vectors: np.ndarray) -> list[int]:
+    """Inner products as whole numbers of any size."""
+    q = [int(x) for x in query]
+    return [sum(map(mul, q, map(int, v))) for v in vectors.tolist()]
+
+
+def search_exactly(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, best: list[list[tuple[int, int]]]) -> None:
+    """Offer each candidate to each query by whole numbers; ``best`` holds (minus score, id), ascending, k of them after each call."""
+    for i, q in enumerate(queries):
+        other = ids != query_ids[i]
+        best[i] = sorted([*best[i], *((-s, j) for s, j in zip(whole_products(q, vectors[other]), ids[other].tolist(), strict=True))])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k greatest inner products of each query, all if fewer.
 
     Both sides are (vec_id, v). A query meets every candidate of its dimension but those with its
     own id. Ranks start at 1; ties go to the smaller id. A query given twice counts once; a
-    candidate row given twice stands twice. Exact while products stay below 2^53;
-    larger ones are refused. Empty inputs give an empty result.
+    candidate row given twice stands twice. Scores are exact; beyond the range of a long they are
+    given as its end. Infinite components count as the greatest double. Empty inputs give an empty result.
     """
     spark = vectors.sparkSession
-    once = queries.select("vec_id", "v").distinct()
+    limit = float(np.finfo(float).max)
+    once = queries.select("vec_id", F.transform("v", lambda x: F.greatest(F.lit(-limit), F.least(F.lit(limit), x))).alias("v")).distinct()
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    sized = vectors.select("vec_id", F.transform("v", lambda x: F.greatest(F.lit(-limit), F.least(F.lit(limit), x))).alias("v")).withColumn("length", length)
+    ranged = store(sized.repartitionByRange(F.desc("length")).sortWithinPartitions(F.desc("length")))
+    cut = ranged.agg(F.percentile_approx("length", 1 - LONGEST)).first()[0]
     blocks = max(1, -(-once.count() // BLOCK))
     marked = once.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     marked = store(marked) if blocks > 1 else marked
     found = []
-    for b in range(blocks):
+    for b in range(blocks if cut is not None else 0):
         block = marked.where(F.col("b") == b).select("vec_id", "v").collect()  # about BLOCK vectors
         for start in range(0, len(block), BLOCK):
-            near = one_block(vectors, sorted((r.vec_id, r.v) for r in block[start : start + BLOCK]), k)
-            found.append(store(near) if blocks > 1 else near)
+            own = sorted((r.vec_id, r.v) for r in block[start : start + BLOCK])
+            first = store(one_block(ranged.where(F.col("length") >= cut), own, k, {}))
+            least = {r.query_id: r.least for r in first.groupBy("query_id").agg(F.count("*").alias("n"), F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("least")).where(F.col("n") >= k).select("query_id", "least").collect()} if k else {}  # a number for each query of the block; lists have k entries for each task
+            found += [first, store(one_block(ranged.where(F.col("length") < cut).where(F.col("length") >= shortest(own, least)), own, k, least))]
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     near = reduce(DataFrame.unionAll, found)
@@ -130,26 +157,71 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def one_block(vectors: DataFrame, block: list[tuple[int, list[float]]], k: int) -> DataFrame:
+def shortest(block: list[tuple[int, list[float]]], least: dict[int, int]) -> float:
+    """The length below which no candidate reaches any query's threshold; 0 where some query has none above 0."""
+    bounds = [least.get(i, 0) / n if (n := float(np.linalg.norm(v))) > 0 else 0.0 for i, v in block]
+    return max(0.0, min(bounds, default=0.0) * (1 - 1e-9))
+
+
+def one_block(vectors: DataFrame, block: list[tuple[int, list[float]]], k: int, least: dict[int, int]) -> DataFrame:
+    """(query_id, vec_id, score): up to k best of each task for each query; those below ``least`` may be missing."""
     sizes = sorted({len(v) for _, v in block})
     own_size = {n: [(i, v) for i, v in block if len(v) == n] for n in sizes}
     sides = {n: (np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], float).reshape(len(own), n)) for n, own in own_size.items()}
+    bound = 1 << 63
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {n: Best(len(q), k) for n, (q, _) in sides.items()}
+        best, whole = {}, {}
+        for n, (query_ids, _) in sides.items():
+            best[n] = Best(len(query_ids), k)
+            whole[n] = [[] for _ in query_ids]
+            best[n].floor = np.array([least.get(i, -np.inf) for i in query_ids.tolist()], float)
+        held: dict[int, list] = {n: [] for n in sides}
+        waiting = dict.fromkeys(sides, 0)
+
+        def search(n: int) -> None:
+            if not held[n]:
+                return
+            query_ids, queries = sides[n]
+            ids, v = np.concatenate([i for i, _ in held[n]]), np.concatenate([x for _, x in held[n]])
+            held[n], waiting[n] = [], 0
+            ample = np.abs(queries).max(axis=1, initial=0)
+            large = np.abs(v).max(axis=1, initial=0)
+            wide = ample > 2.0**26
+            over = max(n, 1) * large * ample[~wide].max(initial=0) >= EXACT
+            for q in np.flatnonzero(wide).tolist():
+                one = [whole[n][q]]
+                search_exactly(queries[q : q + 1], query_ids[q : q + 1], ids, v, one)
+                whole[n][q] = one[0][:k]
+            narrow = np.flatnonzero(~wide)
+            if over.any():
+                own = [whole[n][q] for q in narrow.tolist()]
+                search_exactly(queries[narrow], query_ids[narrow], ids[over], v[over], own)
+                for q, rows in zip(narrow.tolist(), own, strict=True):
+                    whole[n][q] = rows[:k]
+            if len(narrow) and not over.all():
+                part = Best(0, k)
+                part.score, part.id, part.floor = best[n].score[narrow], best[n].id[narrow], best[n].floor[narrow]
+                search_batch(queries[narrow], query_ids[narrow], ids[~over], v[~over], part)
+                best[n].score[narrow], best[n].id[narrow] = part.score, part.id
+
         for batch in batches:
             ids, own = vectors_of(batch)
             dims = np.array([len(v) for v in own])
-            for n, (query_ids, queries) in sides.items():
+            for n in sides:
                 at = np.flatnonzero(dims == n)
                 if len(at):
-                    v = np.stack([own[i] for i in at]).reshape(len(at), n)
-                    if n * np.abs(queries).max(initial=0) * np.abs(v).max(initial=0) >= EXACT:
-                        raise ValueError("products of 2^53 and more are not exact")
-                    search_batch(queries, query_ids, ids[at], v, best[n])
+                    held[n].append((ids[at], np.stack([own[i] for i in at]).reshape(len(at), n)))
+                    waiting[n] += len(at)
+                    if waiting[n] >= BUCKET:  # whole buckets, however the session cuts its batches
+                        search(n)
         for n, (query_ids, _) in sides.items():
+            search(n)
             got = np.isfinite(best[n].score)
             rows, _ = np.nonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array(query_ids[rows]), pa.array(best[n].id[got]), pa.array(best[n].score[got].astype(np.int64))], ["query_id", "vec_id", "score"])
+            exact = [(int(i), j, min(bound - 1, max(-bound, -s))) for i, own in zip(query_ids, whole[n], strict=True) for s, j in own]
+            if exact:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*exact, strict=True)], ["query_id", "vec_id", "score"])
 
-    return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
+    return vectors.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")

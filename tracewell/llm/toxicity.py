@@ -31,10 +31,21 @@ PREFIXES = (4, 5, 6)
 
 @dataclass(frozen=True)
 class SampleBound:
-    """Documented bound of the fit: texts per class, and the length of a text that may be drawn."""
+    """Documented bound of the fit: texts of a class, and their characters in all; texts of any length are drawn."""
 
     per_class: int = 3000
-    max_chars: int = 10_000
+    total_chars: int = 20_000_000
+
+
+def within(drawn: list, total: int) -> list:
+    """The first of the drawn rows whose sizes stay within the total, one at least."""
+    chars, out = 0, []
+    for r in drawn:
+        chars += r.size
+        if out and chars > total:
+            break
+        out.append(r)
+    return out
 
 
 @dataclass(frozen=True)
@@ -107,10 +118,10 @@ def fit_noisy_or(texts: list[str], labels: np.ndarray, weight: np.ndarray, round
 def labelled_sample(documents: DataFrame, labels: DataFrame, bound: SampleBound) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """(text, label) of at most ``2 * per_class`` distinct texts, and the number of distinct texts of each class."""
     marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    keyed = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
+    keyed = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("size"))  # whole texts of any length
     distinct = keyed.join(marks, "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"), F.max("size").alias("size"))
     counts = {int(r.toxic): r.n for r in distinct.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    drawn = [r for c in (0, 1) for r in distinct.where((F.col("toxic") == c) & (F.col("size") <= bound.max_chars)).orderBy("h").limit(bound.per_class).select("doc_id", "h", "toxic").collect()]
+    drawn = [r for c in (0, 1) for r in within(distinct.where(F.col("toxic") == c).orderBy("h").limit(bound.per_class).select("doc_id", "h", "toxic", "size").collect(), bound.total_chars)]
     if not drawn:
         return [], counts
     chosen = documents.sparkSession.createDataFrame([(r.doc_id, r.h, r.toxic) for r in drawn], "doc_id long, h long, toxic int")
@@ -185,7 +196,11 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
 
 
 def drop_toxic(df: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, whose text scores below the threshold."""
+    """The rows of ``df``, all columns whatever their names, whose text scores below the threshold.
+
+    Null, empty and wordless texts and rows with a null id stay; very long texts are scored whole;
+    repeated rows stay or go together; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(model)

@@ -1,8 +1,10 @@
 """URL filters: explicit rules first, then a path-template tree per host, by DataFrame functions alone.
 
 Template: each run of digits in a path is a wildcard. Segments are then generalised level by
-level: where a node of a host's tree has more than ``MAX_CHILDREN`` distinct children, they become
-one wildcard; what lies below ``DEPTH`` segments is one tail. Labels are the verdicts of the rules
+level: where the children of a node of a host's tree have fewer than ``CHILD_SUPPORT`` urls each on
+average (and are ``MANY`` at least), their names say nothing and become one wildcard; the statistic
+does not depend on the size of the crawl. The first ``LEVELS`` segments are levels of their own; all
+that lies below is the last level, compared whole. Labels are the verdicts of the rules
 (urls that a rule fits). Branches of a host with as many segments are sorted by their share of
 blocked labels, and neighbours whose shares do not differ significantly (two-proportion test at
 ``SIMILAR`` standard deviations) are merged: their counts are pooled. A template is rejected when
@@ -17,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CHILDREN = 16
-DEPTH = 4
+CHILD_SUPPORT, MANY = 3.0, 3
+LEVELS = 4
 SIMILAR = 1.0
 SUPPORT = 5
 REJECT = 0.8
@@ -53,15 +55,15 @@ def longest_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...])
 def template_tree(urls: DataFrame) -> DataFrame:
     """(host, shape, template, n_block, n_allow, purity, rejected) of (host, shape, verdict or null)."""
     count = lambda v: F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).alias(f"n_{v}")
-    leaves = urls.groupBy("host", "shape").agg(count("block"), count("allow"))
+    leaves = urls.groupBy("host", "shape").agg(F.count("*").alias("urls"), count("block"), count("allow"))
     segments = F.split(F.regexp_replace("shape", "^/", ""), "/")
-    tail = F.when(F.size("s") > DEPTH, F.lit("**")).otherwise("")
-    leaves = leaves.withColumn("s", segments).withColumns({"depth": F.size("s"), "tail": tail, **{f"s{i}": F.coalesce(F.get("s", F.lit(i)), F.lit("")) for i in range(DEPTH)}})
-    for i in range(DEPTH):
+    below = F.array_join(F.slice("s", LEVELS + 1, F.greatest(F.size("s") - LEVELS, F.lit(0))), "/")
+    leaves = leaves.withColumn("s", segments).withColumns({"depth": F.size("s"), **{f"s{i}": F.coalesce(F.get("s", F.lit(i)), F.lit("")) for i in range(LEVELS)}, f"s{LEVELS}": below})
+    for i in range(LEVELS + 1):
         node = ["host", "depth", *(f"s{j}" for j in range(i))]
-        wide = leaves.groupBy(*node, f"s{i}").agg(F.lit(1).alias("one")).groupBy(*node).agg(F.count("*").alias("children")).where(F.col("children") > MAX_CHILDREN)
+        wide = leaves.groupBy(*node, f"s{i}").agg(F.sum("urls").alias("n")).groupBy(*node).agg(F.count("*").alias("children"), F.sum("n").alias("n")).where((F.col("children") >= MANY) & (F.col("n") < CHILD_SUPPORT * F.col("children"))).drop("n")
         leaves = leaves.join(wide, node, "left").withColumn(f"s{i}", F.when(F.col("children").isNotNull(), F.lit("*")).otherwise(F.col(f"s{i}"))).drop("children")
-    template = F.concat_ws("/", *(f"s{i}" for i in range(DEPTH)), "tail")
+    template = F.concat_ws("/", *(f"s{i}" for i in range(LEVELS + 1)))
     leaves = leaves.withColumn("template", template)
     pooled = leaves.groupBy("host", "depth", "template").agg(F.sum("n_block").alias("b"), F.sum("n_allow").alias("a"))
     pooled = pooled.withColumn("n", F.col("a") + F.col("b")).withColumn("rate", F.when(F.col("n") > 0, F.col("b") / F.col("n")))
@@ -106,12 +108,12 @@ def oracle_sql(rules: tuple[tuple[str, str], ...] = RULES) -> str:
     parts = [f"""cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parsed AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
 ruled AS (SELECT *, CASE{cases["rule"]} END AS rule, CASE{cases["ruled"]} END AS ruled, regexp_replace(path, '[0-9]+', '*', 'g') AS shape FROM parsed),
-leaves AS (SELECT host, shape, count(*) FILTER (ruled = 'block') AS n_block, count(*) FILTER (ruled = 'allow') AS n_allow, string_split(regexp_replace(shape, '^/', ''), '/') AS s FROM ruled GROUP BY host, shape),
-l0 AS (SELECT host, shape, n_block, n_allow, len(s) AS depth, CASE WHEN len(s) > {DEPTH} THEN '**' ELSE '' END AS tail, {", ".join(f"coalesce(s[{i + 1}], '') AS s{i}" for i in range(DEPTH))} FROM leaves)"""]
-    for i in range(DEPTH):
+leaves AS (SELECT host, shape, count(*) AS urls, count(*) FILTER (ruled = 'block') AS n_block, count(*) FILTER (ruled = 'allow') AS n_allow, string_split(regexp_replace(shape, '^/', ''), '/') AS s FROM ruled GROUP BY host, shape),
+l0 AS (SELECT host, shape, urls, n_block, n_allow, len(s) AS depth, {", ".join(f"coalesce(s[{i + 1}], '') AS s{i}" for i in range(LEVELS))}, array_to_string(s[{LEVELS + 1}:], '/') AS s{LEVELS} FROM leaves)"""]
+    for i in range(LEVELS + 1):
         node = ", ".join(["host", "depth", *(f"s{j}" for j in range(i))])
-        parts.append(f"l{i + 1} AS (SELECT l.* REPLACE (CASE WHEN w.k > {MAX_CHILDREN} THEN '*' ELSE l.s{i} END AS s{i}) FROM l{i} AS l JOIN (SELECT {node}, count(DISTINCT s{i}) AS k FROM l{i} GROUP BY {node}) AS w USING ({node}))")
-    parts.append(f"""named AS (SELECT *, concat_ws('/', {", ".join(f"s{i}" for i in range(DEPTH))}, tail) AS template FROM l{DEPTH}),
+        parts.append(f"l{i + 1} AS (SELECT l.* REPLACE (CASE WHEN w.k >= {MANY} AND w.n < {CHILD_SUPPORT} * w.k THEN '*' ELSE l.s{i} END AS s{i}) FROM l{i} AS l JOIN (SELECT {node}, count(DISTINCT s{i}) AS k, sum(urls) AS n FROM l{i} GROUP BY {node}) AS w USING ({node}))")
+    parts.append(f"""named AS (SELECT *, concat_ws('/', {", ".join(f"s{i}" for i in range(LEVELS + 1))}) AS template FROM l{LEVELS + 1}),
 pooled AS (SELECT host, depth, template, sum(n_block)::DOUBLE AS b, sum(n_allow)::DOUBLE AS a, sum(n_block + n_allow)::DOUBLE AS n FROM named GROUP BY ALL),
 sorted AS (SELECT *, lag(b) OVER w AS b0, lag(n) OVER w AS n0 FROM pooled WINDOW w AS (PARTITION BY host, depth ORDER BY CASE WHEN n > 0 THEN b / n END ASC NULLS FIRST, template)),
 steps AS (SELECT *, CASE WHEN n > 0 AND n0 > 0 AND pow(b / n - b0 / n0, 2) <= {SIMILAR * SIMILAR} * ((b + b0) / (n + n0)) * (1 - (b + b0) / (n + n0)) * (1 / n + 1 / n0) THEN 0 ELSE 1 END AS step FROM sorted),
