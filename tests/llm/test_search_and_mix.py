@@ -249,8 +249,9 @@ def test_top_k_of_large_values_and_repeats(spark):
     whole = [(i, [int(math.floor(x * 256)) if abs(x) < 2**40 else int(x * 256) for x in v]) for i, v in rows]
     for q in (0, 50):
         own = next(v for i, v in whole if i == q)
-        want = sorted(((min(2**63 - 1, sum(a * b for a, b in zip(own, v, strict=True))), i) for i, v in whole if i != q and len(v) == 3), key=lambda x: (-x[0], x[1]))[:5]
-        assert got[q] == [(i, s) for s, i in want]
+        best = sorted(((-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, v in whole if i != q and len(v) == 3))[:5]  # whole products choose
+        want = sorted((-min(2**63 - 1, -s), i) for s, i in best)  # and are given as far as a long goes
+        assert got[q] == [(i, -s) for s, i in want]
 
 
 def test_top_k_does_not_depend_on_arrow_batches(spark):
