@@ -61,22 +61,22 @@ def target_shares(cells: DataFrame, dimension: str, mix: Mix) -> DataFrame:
 
 def raked(cells: DataFrame, mix: Mix) -> DataFrame:
     """Cells with (share, probability). ``cells`` has the dimensions and tokens, one row each."""
-    total = cells.agg(F.sum("tokens").alias("all_tokens"))
     fitted = cells.withColumn("w", F.col("tokens").cast("double"))
     for d in DIMENSIONS:
         fitted = fitted.join(target_shares(cells, d, mix).withColumnRenamed("target", f"to_{d}"), d, "left").fillna(0.0, [f"to_{d}"])
     for _ in range(mix.rounds):
         for d in DIMENSIONS:
             fitted = fitted.withColumn("w", F.coalesce(F.col("w") * F.try_divide(F.col(f"to_{d}"), F.sum("w").over(Window.partitionBy(d))), F.lit(0.0)))
-    fitted = fitted.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(fitted.agg(F.sum("w").alias("all_w"))))  # one row each
-    share = F.coalesce(F.try_divide(F.col("w"), F.col("all_w")), F.lit(0.0))
-    asked = mix.budget * F.col("all_tokens") * F.col("share") / F.col("tokens")
-    fitted = store(fitted.withColumn("share", share).select(*DIMENSIONS, "tokens", "share", asked.alias("asked"), (mix.budget * F.col("all_tokens")).alias("wanted")))
+    fitted = store(fitted.select(*DIMENSIONS, "tokens", "w"))
+    sums = fitted.agg(F.sum("tokens").alias("tokens"), F.sum("w").alias("w")).first()
+    wanted = mix.budget * float(sums.tokens or 0)
+    share = F.col("w") / sums.w if sums.w else F.lit(0.0)
+    fitted = fitted.withColumn("share", share).withColumn("asked", wanted * F.col("share") / F.col("tokens"))
     factor = 1.0
     for _ in range(mix.fills):  # two sums at a time reach the driver
         p = F.col("asked") * factor
-        r = fitted.agg(F.sum(F.when(p < 1, p * F.col("tokens")).otherwise(0.0)).alias("free"), F.sum(F.when(p < 1, 0).otherwise(F.col("tokens"))).alias("whole"), F.max("wanted").alias("wanted")).first()
-        more = max(1.0, (r.wanted - r.whole) / r.free) if r.free else 1.0
+        r = fitted.agg(F.sum(F.when(p < 1, p * F.col("tokens")).otherwise(0.0)).alias("free"), F.sum(F.when(p < 1, 0).otherwise(F.col("tokens"))).alias("whole")).first()
+        more = max(1.0, (wanted - r.whole) / r.free) if r.free else 1.0
         factor *= more
         if more == 1.0:
             break

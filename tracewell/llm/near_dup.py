@@ -191,6 +191,8 @@ LONG_WORDS = 32
 MARGIN = 3.5
 #: Members of a bucket that meet in one task.
 BLOCK = 1024
+#: Words of the bitmap that keeps texts which nobody asks for out of a shuffle.
+SLOTS = 1 << 17
 ODD = np.random.default_rng(11).integers(1, 1 << 63, (2, LONG_WORDS + WIDE_SEGMENTS * MINS), dtype=np.uint64) | np.uint64(1)
 WORDS = [f"f{k}" for k in range(WIDE_WORDS)]
 
@@ -383,6 +385,19 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return known.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "bits")
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct (doc_id, text) of the documents with these ids.
+
+    A bitmap of the ids' hashes, of SLOTS words whatever their number and so safe to broadcast, keeps
+    most other texts out of the shuffle; the join decides.
+    """
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(64 * SLOTS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
+    bitmap = nodes.groupBy(F.floor(h / 64).alias("slot")).agg(F.bit_or(bit).alias("word"))
+    likely = docs.withColumn("slot", F.floor(h / 64)).join(F.broadcast(bitmap), "slot").where(F.col("word").bitwiseAND(bit) != 0).select("doc_id", "text")
+    return likely.join(nodes, "doc_id", "left_semi").distinct()
+
+
 def similar_groups(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): components of texts whose sets of distinct shingles are at least that similar.
 
@@ -404,9 +419,7 @@ def similar_groups(df: DataFrame, width: int = 5, similarity: float = 0.8, id_co
     known = work.store(prints.join(reps.where("rid is not null").select(F.col("rid").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).withColumnRenamed("doc_id", "rid"))
     keys = known.select("rid", F.explode("keys").alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("leader")).where("n > 1")
-    members = work.store(keys.join(buckets.select("key", "leader"), "key"))
-    texts = work.store(docs.join(members.select(F.col("rid").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct())
-
+    members = work.store(keys.join(buckets, "key"))
     edges = roots = None
 
     def connect(found: DataFrame) -> None:
@@ -416,14 +429,17 @@ def similar_groups(df: DataFrame, width: int = 5, similarity: float = 0.8, id_co
         roots = work.store(components(edges))
 
     led = work.store(near_enough(members.where("rid <> leader").select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct(), known, similarity))
+    texts = work.store(texts_of(docs, led.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
     connect(nearest(led))
     connect(apart(led, roots))
-    opened = work.store(open_members(members.join(roots, members.rid == roots.node, "left").select("key", "rid", F.coalesce("root", "rid").alias("root"))))
-    prints_of_open = long_fingerprints(texts.join(opened.select(F.col("rid").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
-    rest = work.store(open_pairs(opened, prints_of_open, similarity).join(led.select("a", "b"), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        connect(nearest(rest))
-        connect(apart(rest, roots))
+    crowded = members.where("n > 2").join(roots, F.col("rid") == roots.node, "left").select("key", "rid", F.coalesce("root", "rid").alias("root"))  # the pair of a bucket of two is among the led
+    opened = work.store(open_members(crowded))
+    if not opened.isEmpty():
+        texts = work.store(texts_of(docs, opened.select(F.col("rid").alias("doc_id")).distinct()))
+        rest = work.store(open_pairs(opened, long_fingerprints(texts, width), similarity).join(led.select("a", "b"), ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            connect(nearest(rest))
+            connect(apart(rest, roots))
     groups = reps.join(roots, reps.rid == roots.node, "left").select("digest", F.coalesce("root", "rid").alias("component_id"))
     return work.last(prints.select("doc_id", "digest").join(groups, "digest").select("doc_id", "component_id"))
 

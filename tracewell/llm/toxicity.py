@@ -13,6 +13,7 @@ texts and all rows.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ class SampleBound:
     """Documented bound of the fit: texts of a class, and their characters in all; texts of any length are drawn."""
 
     per_class: int = 3000
-    total_chars: int = 20_000_000
+    total_chars: int = 6_000_000
 
 
 def within(drawn: list, total: int) -> list:
@@ -86,7 +87,7 @@ def fit_noisy_or(texts: list[str], labels: np.ndarray, weight: np.ndarray, round
     del seen
     kept = sorted(gain, key=lambda f: (-gain[f], f))[:max_features]
     index = {f: i for i, f in enumerate(kept)}
-    at_sentence, at_feature, bag_of = [], [], []
+    at_sentence, at_feature, bag_of = array("i"), array("i"), array("i")
     for b, text in enumerate(texts):
         for words in sentences_of(text):
             for w in words:
@@ -97,7 +98,7 @@ def fit_noisy_or(texts: list[str], labels: np.ndarray, weight: np.ndarray, round
             bag_of.append(b)
     if not kept:
         return ToxicityModel({}, -20.0)
-    rows, cols, bag_at = np.array(at_sentence), np.array(at_feature), np.array(bag_of)
+    rows, cols, bag_at = (np.frombuffer(x, np.int32) for x in (at_sentence, at_feature, bag_of))
     w, b = np.zeros(len(kept)), -6.0
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     total = weight.sum()
