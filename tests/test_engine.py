@@ -11,7 +11,7 @@ from tracewell import compat, errors
 from tracewell.functions import kernels as K
 from tracewell.operators import metrics, models, quantize, rank, stats
 from tracewell.plans.graph import parse
-from tracewell.plans.propagation import Beliefs
+from tracewell.plans.propagation import Beliefs, infer
 from tracewell.sources import traces as sources
 
 RNG = np.random.default_rng(3)
@@ -344,3 +344,26 @@ def test_dense_moments_equal_two_passes(spark):
         want = {(x.grp, x["sample"]): [x.n, x["mean"], *x.cs] for x in stats.central_moments(stats.by_group(t, g), 6).collect()}
         got = {(x.grp, x["sample"]): [x.n, x["mean"], *x.cs] for x in other.collect()}
         assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-3) for k in want)
+
+
+def test_blocks_of_executions_change_nothing(spark):
+    """A single key from 600 executions, whose losing classes lie far below the smallest double of a product."""
+    r = np.random.default_rng(5)
+    g = parse("NC 4\nVAR SINGLE k\nVAR MULTI x\nPUB SINGLE c\nPROPERTY x = k ^ c")
+    p = r.dirichlet([4, 3, 3, 3], 600)
+    given = spark.createDataFrame([(i, "x", v.tolist()) for i, v in enumerate(p)], "exec long, node string, probs array<double>")
+    shown = spark.createDataFrame([(None, "c", 3)], "exec long, node string, value int")
+    logs = np.log(np.maximum(p, 1e-40)).sum(axis=0)[np.arange(4) ^ 3]
+    want = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+    for blocks in (1, 64):
+        (row,) = infer(g, given, ["k"], publics=shown, blocks=blocks).collect()
+        assert np.allclose(row.probs, want, rtol=1e-6, atol=0)
+
+
+def test_labels_of_their_own(spark):
+    t = spark.createDataFrame([(1, [1]), (2, [2])], "trace_id long, samples array<int>")
+    good = spark.createDataFrame([(1, [0]), (2, [1])], "trace_id long, labels array<int>")
+    assert sources.join_labels(t, good).count() == 2
+    for rows in ([(1, [0]), (1, [0])], [(1, [0])], [(1, [0]), (2, [1]), (3, [1])]):
+        with pytest.raises(errors.ShapeError):
+            sources.join_labels(t, spark.createDataFrame(rows, "trace_id long, labels array<int>"))

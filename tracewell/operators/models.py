@@ -306,10 +306,10 @@ class ClusteredModel:
         return int(self.centres[d.argmin()]), float(d.min())
 
     def close_centres(self, point: np.ndarray, budget: int) -> list[int]:
-        """Nearest centres, by number, as long as their members together stay within the budget."""
+        """Nearest centres, by number, as long as their members together stay below the budget."""
         d = ((self.model.means()[self.centres] - point) ** 2).sum(axis=1)
         order = np.argsort(d, kind="stable")
-        return order[np.cumsum(self.weights[order]) <= budget].tolist()
+        return order[np.cumsum(self.weights[order]) < budget].tolist()
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, int(c), int(w), np.flatnonzero(self.owner == i).tolist() if self.owner is not None else None) for i, (c, w) in enumerate(zip(self.centres, self.weights, strict=True))]

@@ -101,7 +101,13 @@ class Graph:
         """Every factor (or the one named) holds for the values; arrays give one value for each execution."""
         values = {k: np.asarray(v, np.int64) for k, v in {**publics, **assignment}.items()}
         for f in [self.factors[factor]] if factor else self.factors.values():
-            v = [values[o.name] for o in f.operands]
+            if not np.all(self.holds(f.name, values, generic)):
+                raise GraphError(f"factor {f.name} does not hold")
+
+    def holds(self, factor: str, values: dict, generic: dict | None = None) -> np.ndarray:
+        """Whether a factor holds, for each execution of the values by name."""
+        for f in [self.factors[factor]]:
+            v = [np.asarray(values[o.name], np.int64) for o in f.operands]
             flip = [o.flip for o in f.operands]
             if f.kind == "generic":
                 rows, weights = sparse_rows((generic or {})[f.table], self.nc, len(f.operands))
@@ -127,8 +133,7 @@ class Graph:
                 else:
                     result, got = v[0], self.tables[f.table][v[1]]
                 ok = result == got
-            if not np.all(ok):
-                raise GraphError(f"factor {f.name} does not hold")
+            return np.asarray(ok)
 
 
 def sparse_rows(factor, nc: int, arity: int) -> tuple[np.ndarray, np.ndarray]:

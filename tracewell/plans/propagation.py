@@ -3,13 +3,16 @@
 ``Beliefs`` holds the messages of one batch of executions as NumPy arrays (executions, classes);
 None is uniform. On Spark, whole schedules run for blocks of executions in one grouped job: without
 SINGLE variables blocks are independent; towards a SINGLE variable of an acyclic graph each block
-sends one log-product, which are summed and joined with what is single.
+sends the sum of its executions' log-messages, so the result does not depend on the blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -246,17 +249,45 @@ class Beliefs:
             else:
                 self.propagate_factor(node, [to], clear_intermediates)
 
+    def log_messages(self, dest: str) -> np.ndarray:
+        """(nc,): the sum over executions of the logarithms of what the factors tell a SINGLE variable of an acyclic graph."""
+        total = np.zeros(self.graph.nc)
+        for kind, node, to in self.graph.order_towards(dest):
+            if kind == "f":
+                self.propagate_factor(node, [to], True)
+            elif node != dest:
+                self.propagate_var(node, [to], True)
+        for f in self.graph.factors_of(dest):
+            m = self.to_var.get((dest, f))
+            if m is not None:
+                total += np.log(np.maximum(m, MIN_PROBABILITY)).sum(axis=0)
+        return total
+
     def debug(self) -> dict:
         """Everything held, by name."""
         return {"evidence": self.evidence, "state": self.state, "to_var": self.to_var, "from_var": self.from_var}
 
 
+def checked_rows(graph: Graph, rows: DataFrame, generic: dict | None = None) -> DataFrame:
+    """One boolean column a factor: whether it holds for each row, whose columns are the graph's variables and publics."""
+    names = [*graph.variables, *graph.publics]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = {n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names}
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(graph.holds(f, values, generic), (batch.num_rows,))) for f in graph.factors], list(graph.factors))
+
+    return rows.select(*(F.col(n).cast("long").alias(n) for n in names)).mapInArrow(run, ", ".join(f"`{f}` boolean" for f in graph.factors))
+
+
 def infer(graph: Graph, evidence: DataFrame, dest: list[str], iterations: int | None = None, publics: DataFrame | None = None, single_evidence: dict | None = None, generic: dict | None = None, blocks: int = 64) -> DataFrame:
     """(exec, node, probs) of the variables ``dest`` from evidence (exec, node, probs).
 
-    ``publics`` is (exec, node, value). With ``iterations`` propagation is loopy, else exact. Blocks
-    of executions run in parallel. Graphs with SINGLE variables: exact inference towards one of
-    them sums the blocks' log-products; anything else needs all executions in one block.
+    ``publics`` is (exec, node, value), with a null exec for SINGLE values, which go to every block.
+    ``generic`` has a factor's array, or for a MULTI one a list or dict of arrays by exec. With
+    ``iterations`` propagation is loopy, else exact. Blocks of executions run in parallel. Graphs
+    with SINGLE variables: exact inference towards one of them sums the logarithms of the messages
+    of all executions; anything else needs all executions in one block.
     """
     multi = all(graph.variables.values())
     alone = all(f.multi for f in graph.factors.values()) and set(single_evidence or {}) <= set(dest)
@@ -266,16 +297,20 @@ def infer(graph: Graph, evidence: DataFrame, dest: list[str], iterations: int |
     if iterations is None and graph.is_cyclic(2):
         raise NotAcyclicError("the graph has a cycle")
     rows = evidence.select("exec", "node", "probs", F.lit(None).cast("int").alias("value"))
+    shared = {}
     if publics is not None:
-        rows = rows.unionByName(publics.select("exec", "node", F.lit(None).cast("array<double>").alias("probs"), F.col("value").cast("int")))
+        single = [p for p, multi_ in graph.publics.items() if not multi_]
+        shared = {r.node: [r.value] for r in publics.where(F.col("exec").isNull() & F.col("node").isin(single)).select("node", "value").distinct().collect()} if single else {}  # a value for each SINGLE public
+        rows = rows.unionByName(publics.where(F.col("exec").isNotNull()).select("exec", "node", F.lit(None).cast("array<double>").alias("probs"), F.col("value").cast("int")))
     block = F.pmod(F.xxhash64("exec"), F.lit(blocks)).alias("block")
     single_evidence = single_evidence or {}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         execs = np.sort(pdf["exec"].unique())
         shown = {n: g.sort_values("exec")["value"].to_numpy(np.int64) for n, g in pdf[pdf["probs"].isna()].groupby("node")}
-        shown = {n: v if graph.publics[n] else v[:1] for n, v in shown.items()}
-        state = Beliefs(graph, len(execs), shown, generic)
+        shown = {n: v if graph.publics[n] else v[:1] for n, v in shown.items()} | shared
+        own_generic = {n: [g[e] for e in execs.tolist()] if graph.generics.get(n) else g for n, g in (generic or {}).items()}
+        state = Beliefs(graph, len(execs), shown, own_generic)
         for node, g in pdf[pdf["probs"].notna()].groupby("node"):
             own = dict(zip(g["exec"], g["probs"], strict=True))
             state.set_evidence(node, np.stack([np.asarray(own.get(e, np.full(graph.nc, 1.0 / graph.nc)), float) for e in execs]))
@@ -284,6 +319,9 @@ def infer(graph: Graph, evidence: DataFrame, dest: list[str], iterations: int |
                 state.set_evidence(node, d)
         out = []
         for d in dest:
+            if towards_single:
+                out.append((-1, d, state.log_messages(d).tolist()))
+                continue
             if iterations is None:
                 state.bp_acyclic(d, clear_intermediates=True)
             else:
@@ -296,7 +334,7 @@ def infer(graph: Graph, evidence: DataFrame, dest: list[str], iterations: int |
     found = rows.withColumn("block", block).groupBy("block").applyInPandas(run, "exec long, node string, probs array<double>")
     if not towards_single:
         return found.withColumn("exec", F.when(F.col("exec") >= 0, F.col("exec")))
-    logs = found.select("node", F.posexplode("probs").alias("class", "p")).groupBy("node", "class").agg(F.sum(F.log(F.greatest("p", F.lit(MIN_PROBABILITY)))).alias("l"))
+    logs = found.select("node", F.posexplode("probs").alias("class", "l")).groupBy("node", "class").agg(F.sum("l").alias("l"))
     for node, d in single_evidence.items():
         own = evidence.sparkSession.createDataFrame([(node, i, float(p)) for i, p in enumerate(d)], "node string, class int, q double")
         logs = logs.join(own, ["node", "class"], "left").withColumn("l", F.col("l") + F.log(F.greatest(F.coalesce("q", F.lit(1.0)), F.lit(MIN_PROBABILITY)))).drop("q")

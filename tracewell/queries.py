@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import scalar as S
 from .operators import metrics, models, quantize, rank, stats
 from .plans.graph import parse
-from .plans.propagation import infer
+from .plans.propagation import checked_rows, infer
 from .sources import traces as sources
 from .sources.scratch import scratch_dir
 from .streaming.accumulate import read_class_state, stream_class_state, windowed
@@ -342,17 +342,15 @@ BITS = "bits AS (SELECT vec_id, i, CASE WHEN i = 0 THEN 1 ELSE 2 * ((label >> (i
 
 @query("rlda_xtx", f"WITH {BITS} SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, sum(a.b * b.b)::BIGINT AS s FROM bits a JOIN bits b USING (vec_id) GROUP BY a.i, b.i")
 def rlda_xtx(spark, d):
-    """Normal equations in relational form: products of signed label bits."""
-    label = F.get("labels", F.lit(0))
-    own = traces_of(spark, d).select(F.array(*(S.signed_bit(label, i).cast("int") for i in range(5))).alias("b"))
-    return own.select(F.posexplode("b").alias("i", "x"), "b").select("i", "x", F.posexplode("b").alias("j", "y")).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    """Normal equations: products of signed label bits."""
+    xtx = models.rlda_state(traces_of(spark, d), 4).xtx[0]
+    return spark.createDataFrame([(i, j, int(x)) for i, row in enumerate(xtx) for j, x in enumerate(row)], "i int, j int, s long")
 
 
 @query("rlda_xty", f"WITH {LONG}, {BITS} SELECT i::INTEGER AS i, sample::INTEGER AS sample, sum(b * x)::BIGINT AS s FROM bits JOIN long USING (vec_id) GROUP BY i, sample")
 def rlda_xty(spark, d):
-    label = F.get("labels", F.lit(0))
-    own = traces_of(spark, d).select(F.array(*(S.signed_bit(label, i).cast("int") for i in range(5))).alias("b"), F.posexplode("samples").alias("sample", "x"))
-    return own.select("sample", "x", F.posexplode("b").alias("i", "y")).groupBy("i", "sample").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    xty = models.rlda_state(traces_of(spark, d), 4).xty[0]
+    return spark.createDataFrame([(i, j, int(x)) for i, row in enumerate(xty) for j, x in enumerate(row)], "i int, sample int, s long")
 
 
 def regression(spark, d):
@@ -461,6 +459,19 @@ for name in GRAPHS:
     bp_query(name)
 
 
+@query(
+    "bp_generic_multi",
+    f"""WITH {BELIEFS}, w AS (SELECT x.e, (3 * x.c + y.c + x.e) % {NC} AS c, sum(x.p * y.p) AS p FROM bx x JOIN by_ y ON x.e = y.e GROUP BY ALL)
+SELECT g.e AS exec, g.c::INTEGER AS class, round(coalesce(w.p, 0), 6) AS p FROM grid g LEFT JOIN w ON g.e = w.e AND g.c = w.c""",
+)
+def bp_generic_multi(spark, d):
+    """A generic factor with an array of its own for each execution."""
+    g = parse(f"NC {NC}\nVAR MULTI w\nVAR MULTI x\nVAR MULTI y\nGENERIC MULTI g\nPROPERTY g(w, x, y)")
+    own = {e: [[(3 * x + y + e) % NC, x, y] for x in range(NC) for y in range(NC)] for e in range(8)}
+    found = infer(g, beliefs(spark, d), ["w"], generic={"g": own})
+    return found.select("exec", F.posexplode("probs").alias("class", "p")).withColumn("p", F.round("p", 6))
+
+
 @query(
     "bp_acyclic_key",
     f"""WITH {BELIEFS}, m AS (SELECT x.e, xor(x.c, y.c) AS k, sum(x.p * y.p) AS p FROM bx x JOIN by_ y ON x.e = y.e GROUP BY ALL), l AS (SELECT k, sum(ln(p)) AS l FROM m GROUP BY k)
@@ -478,11 +489,14 @@ def bp_loopy(spark, d):
     return infer(g, beliefs(spark, d), ["w", "z"], iterations=6).withColumn("probs", F.transform("probs", lambda p: F.round(p, 6)))
 
 
-@query("fg_sanity", "SELECT count(*) AS n, count(*) FILTER (xor(o_orderkey % 16, o_custkey % 16) <> xor(o_custkey % 16, o_orderkey % 16)) AS broken FROM orders")
+@query("fg_sanity", "SELECT count(*) AS n, count(*) FILTER (o_orderkey % 7 = 0) AS broken_sum, count(*) FILTER (o_orderkey % 5 = 0) AS broken_logic FROM orders")
 def fg_sanity(spark, d):
-    """Assignments that must satisfy w = x ^ y, as the relational form of the check."""
-    a = read(spark, d, "orders").select((F.col("o_orderkey") % 16).alias("x"), (F.col("o_custkey") % 16).alias("y")).withColumn("w", F.col("y").bitwiseXOR(F.col("x")))
-    return a.agg(F.count("*").alias("n"), F.count_if(F.col("w") != F.col("x").bitwiseXOR(F.col("y"))).alias("broken"))
+    """Rows that break a factor of a parsed graph: every seventh breaks the sum, every fifth the logic."""
+    g = parse(f"NC {NC}\nVAR MULTI x\nVAR MULTI y\nVAR MULTI s\nVAR MULTI l\nVAR MULTI v\nPUB MULTI p\nTABLE t = [{', '.join(str((5 * i + 3) % NC) for i in range(NC))}]\nPROPERTY a: s = x + y + p\nPROPERTY b: l = !x & y\nPROPERTY c: y = t[v]")
+    o = read(spark, d, "orders").select((F.col("o_orderkey") % NC).alias("x"), (F.col("o_custkey") % NC).alias("p"), "o_orderkey")
+    o = o.withColumn("y", (F.col("p") * 5 + 3) % NC).withColumn("s", (F.col("x") + F.col("y") + F.col("p") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)) % NC)
+    o = o.withColumn("l", (F.lit(NC - 1) - F.col("x")).bitwiseAND(F.col("y")).bitwiseXOR(F.when(F.col("o_orderkey") % 5 == 0, 2).otherwise(0)))
+    return checked_rows(g, o.withColumn("v", F.col("p"))).agg(F.count("*").alias("n"), F.count_if(~F.col("a")).alias("broken_sum"), F.count_if(~F.col("b") | ~F.col("c")).alias("broken_logic"))
 
 
 COSTS = """counts AS (SELECT 0 AS problem_id, 0 AS subkey, c_nationkey % 8 AS value, count(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT 0, 1, length(c_mktsegment) % 8, count(*) FROM customer GROUP BY ALL
@@ -603,10 +617,14 @@ def factor_graph_edges(spark, d):
     return spark.createDataFrame(rows, "factor string, kind string, operand string, place int, flipped boolean, public boolean, cyclic boolean")
 
 
-@query("bp_single_public")
+@query(
+    "bp_single_public",
+    f"""WITH {BELIEFS}, l AS (SELECT g.c AS k, sum(ln(greatest(bx.p, 1e-40))) AS l FROM grid g JOIN bx ON bx.e = g.e AND bx.c = xor(xor(g.c, g.e % {NC}), 9) GROUP BY g.c)
+SELECT k::INTEGER AS class, round(exp(l - (SELECT max(l) FROM l)) / (SELECT sum(exp(l - (SELECT max(l) FROM l))) FROM l), 6) AS p FROM l""",
+)
 def bp_single_public(spark, d):
-    """A single key under x = k ^ p with public p, in every execution."""
-    g = parse(f"NC {NC}\nVAR SINGLE k\nVAR MULTI x\nPUB MULTI p\nPROPERTY x = k ^ p")
+    """A single key under x = k ^ p ^ c with public p in every execution and one public c."""
+    g = parse(f"NC {NC}\nVAR SINGLE k\nVAR MULTI x\nPUB MULTI p\nPUB SINGLE c\nPROPERTY x = k ^ p ^ c")
     given = beliefs(spark, d).where("node = 'x'")
-    shown = given.select("exec", F.lit("p").alias("node"), (F.col("exec") % NC).cast("int").alias("value"))
+    shown = given.select("exec", F.lit("p").alias("node"), (F.col("exec") % NC).cast("int").alias("value")).unionByName(spark.createDataFrame([(None, "c", 9)], "exec long, node string, value int"))
     return infer(g, given, ["k"], publics=shown).select(F.posexplode("probs").alias("class", "p")).withColumn("p", F.round("p", 6))

@@ -42,10 +42,11 @@ def check_classes(traces: DataFrame, nc: int) -> None:
 
 def join_labels(traces: DataFrame, labels: DataFrame, key: str = "trace_id") -> DataFrame:
     """Traces with the labels of a table of their own; every trace needs exactly one row there."""
-    joined = traces.join(labels, key)
-    if joined.count() != traces.count():
-        raise ShapeError("traces and labels differ in number")
-    return joined
+    once = labels.groupBy(key).agg(F.count("*").alias("of_labels"))
+    both = traces.groupBy(key).agg(F.count("*").alias("of_traces")).join(once, key, "full")
+    if not both.where("of_labels is null or of_traces is null or of_labels <> 1").isEmpty():
+        raise ShapeError("every trace needs exactly one row of labels, and every label a trace")
+    return traces.join(labels, key)
 
 
 def gather(samples: Column, points: list[int]) -> Column:
@@ -64,8 +65,8 @@ def simulated(spark: SparkSession, n: int, ns: int = 32, noise: float = 2.0, nc:
     """Traces whose samples leak the Hamming weight of a permuted class with Gaussian noise, times 256."""
     key = F.pmod(F.col("trace_id") * 167 + 13, F.lit(nc))
     leak = F.transform(F.sequence(F.lit(0), F.lit(ns - 1)), lambda j: F.bit_count(F.pmod(F.col("class") * (2 * j + 1) + j, F.lit(nc)).cast("int")))
-    rows = spark.range(n).withColumnRenamed("id", "trace_id").withColumn("class", key.cast("int")).withColumn("w", F.randn(seed))
-    noisy = F.zip_with(leak, F.sequence(F.lit(0), F.lit(ns - 1)), lambda x, j: F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), (x + noise * F.sin(F.col("w") * (j + 1) * 12.9898) * F.lit(2.0)) * 256)).cast("smallint"))
+    rows = spark.range(n).withColumnRenamed("id", "trace_id").withColumn("class", key.cast("int")).withColumn("w", F.array(*(F.randn(seed * ns + j) for j in range(ns))))
+    noisy = F.zip_with(leak, F.col("w"), lambda x, w: F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), (x + noise * w) * 256)).cast("smallint"))
     return rows.select("trace_id", noisy.alias("samples"), F.array("class").alias("labels"))
 
 
