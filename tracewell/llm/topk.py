@@ -18,6 +18,7 @@ task keeps k rows for a query, and a final ranking joins those.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import reduce
 from operator import mul
 
@@ -129,8 +130,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Both sides are (vec_id, v). A query meets every candidate of its dimension but those with its
     own id. Ranks start at 1; ties go to the smaller id. A query given twice counts once; a
-    candidate row given twice stands twice. Scores are exact; beyond the range of a long they are
-    given as its end. Infinite components count as the greatest double. Empty inputs give an empty result.
+    candidate row given twice stands twice. Scores are exact and ranked so up to 38 digits; beyond
+    the range of a long they are given as its end. Infinite components count as the greatest double. Empty inputs give an empty result.
     """
     spark = vectors.sparkSession
     limit = float(np.finfo(float).max)
@@ -148,13 +149,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         for start in range(0, len(block), BLOCK):
             own = sorted((r.vec_id, r.v) for r in block[start : start + BLOCK])
             first = store(one_block(ranged.where(F.col("length") >= cut), own, k, {}))
-            least = {r.query_id: r.least for r in first.groupBy("query_id").agg(F.count("*").alias("n"), F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("least")).where(F.col("n") >= k).select("query_id", "least").collect()} if k else {}  # a number for each query of the block; lists have k entries for each task
+            least = {r.query_id: int(r.least) for r in first.groupBy("query_id").agg(F.count("*").alias("n"), F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("least")).where(F.col("n") >= k).select("query_id", "least").collect()} if k else {}  # a number for each query of the block; lists have k entries for each task
             found += [first, store(one_block(ranged.where(F.col("length") < cut).where(F.col("length") >= shortest(own, least)), own, k, least))]
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     near = reduce(DataFrame.unionAll, found)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))  # k rows for each task and query
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    low, high = (F.lit(x).cast("decimal(38,0)") for x in (-(1 << 63), (1 << 63) - 1))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.greatest(low, F.least(high, F.col("score"))).cast("long").alias("score"))
 
 
 def shortest(block: list[tuple[int, list[float]]], least: dict[int, int]) -> float:
@@ -168,7 +170,7 @@ def one_block(vectors: DataFrame, block: list[tuple[int, list[float]]], k: int,
     sizes = sorted({len(v) for _, v in block})
     own_size = {n: [(i, v) for i, v in block if len(v) == n] for n in sizes}
     sides = {n: (np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], float).reshape(len(own), n)) for n, own in own_size.items()}
-    bound = 1 << 63
+    bound = 10**38 - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, whole = {}, {}
@@ -219,9 +221,9 @@ def one_block(vectors: DataFrame, block: list[tuple[int, list[float]]], k: int,
             search(n)
             got = np.isfinite(best[n].score)
             rows, _ = np.nonzero(got)
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[rows]), pa.array(best[n].id[got]), pa.array(best[n].score[got].astype(np.int64))], ["query_id", "vec_id", "score"])
-            exact = [(int(i), j, min(bound - 1, max(-bound, -s))) for i, own in zip(query_ids, whole[n], strict=True) for s, j in own]
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[rows]), pa.array(best[n].id[got]), pa.array(best[n].score[got].astype(np.int64)).cast(pa.decimal128(38, 0))], ["query_id", "vec_id", "score"])
+            exact = [(int(i), j, Decimal(min(bound, max(-bound, -s)))) for i, own in zip(query_ids, whole[n], strict=True) for s, j in own]
             if exact:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*exact, strict=True)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*exact, strict=True), (pa.int64(), pa.int64(), pa.decimal128(38, 0)), strict=True)], ["query_id", "vec_id", "score"])
 
-    return vectors.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+    return vectors.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score decimal(38,0)")
