@@ -135,6 +135,14 @@ def test_long_texts_teach_a_language(spark):
     assert langid.fit(docs, langid.SampleBound(total_chars=10)).languages == ("de", "en")
 
 
+def test_shares_of_a_hot_language_draw_as_the_whole_would(spark):
+    rows = [(f"satz {i} mit {i % 7}", "de") for i in range(300)] + [(f"phrase {i}", "fr") for i in range(3)]
+    df = spark.createDataFrame(rows * 2, "text string, lang string").repartition(7)
+    hashed = df.distinct().selectExpr("lang", "text", "xxhash64(text) AS h").collect()
+    want = {c: [r.text for r in sorted((r for r in hashed if r.lang == c), key=lambda r: r.h)[:20]] for c in ("de", "fr")}
+    assert langid.fit(df, langid.SampleBound(20)).key == langid.learn(want).key
+
+
 def test_predictions_and_odd_rows(spark):
     rows = [(i, t + f" {i}", lang, "x") for lang, own in SAMPLES.items() for i, t in enumerate(own * 3)]
     docs = spark.createDataFrame([*rows, (50, "unlabelled", None, "x"), (51, None, "dd", "x")], "doc_id long, text string, lang string, lang_pred string")

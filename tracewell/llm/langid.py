@@ -20,6 +20,7 @@ in all; texts of any length are drawn.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +35,8 @@ from ._common import documents_of, text_rows, worker_cache
 ORDER = 3
 STEP = 1 << 20
 MAX_CELLS = 12_000_000
+#: Parts of a language that are drawn from on their own before the language is.
+SHARES = 16
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -83,8 +86,11 @@ def learn(texts: dict[str, list[str]]) -> Trees:
                 whole &= part > 0
             per_order.append(np.unique(code[whole], return_counts=True))
         grams.append(tuple(per_order))
-    mark = str(hash((tuple(raw), tuple(int(c.sum()) * 31 + len(g) for per in grams for g, c in per))))
-    return Trees(tuple(raw), symbols, tuple(grams), mark)
+    mark = hashlib.sha256(repr((tuple(raw), symbols.tolist())).encode())  # of all that is learnt: workers keep tables by it
+    for per in grams:
+        for g, c in per:
+            mark.update(g.tobytes() + c.tobytes())
+    return Trees(tuple(raw), symbols, tuple(grams), mark.hexdigest())
 
 
 def cells_of(trees: Trees) -> int:
@@ -211,7 +217,9 @@ def fit(df: DataFrame, bound: SampleBound | None = None, text_col: str = "text",
     bound = bound or SampleBound()
     rows = df.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text is not null and lang is not null")
     keyed = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.max(F.length("text")).cast("long").alias("size"))
-    own = Window.partitionBy("lang").orderBy("h")
+    # a language may hold most rows: each share gives per_language of its own first, so that no task meets a whole language
+    share, own = Window.partitionBy("lang", F.pmod("h", F.lit(SHARES))).orderBy("h"), Window.partitionBy("lang").orderBy("h")
+    keyed = keyed.withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= bound.per_language)
     first = keyed.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= bound.per_language)
     within = first.withColumn("before", F.sum("size").over(own) - F.col("size"))  # per_language rows for each language
     drawn = [(r.lang, r.h) for r in within.where((F.col("rank") == 1) | (F.col("before") + F.col("size") <= bound.total_chars)).select("lang", "h").collect()]
