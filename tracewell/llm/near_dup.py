@@ -385,17 +385,27 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return known.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "bits")
 
 
+def bitmap_place(doc_id: Column) -> tuple[Column, Column]:
+    """(slot, bit) of an id in a bitmap of SLOTS words."""
+    h = F.pmod(F.xxhash64(doc_id), F.lit(64 * SLOTS))
+    return F.floor(h / 64), F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
+
+
+def bitmap_of(nodes: DataFrame) -> DataFrame:
+    """(slot, word): the bits of these ids' hashes; SLOTS rows at most, whatever their number, and so safe to broadcast."""
+    slot, bit = bitmap_place(F.col("doc_id"))
+    return nodes.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("word"))
+
+
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The distinct (doc_id, text) of the documents with these ids.
+    """The distinct (doc_id, text) of the documents with these distinct ids.
 
-    A bitmap of the ids' hashes, of SLOTS words whatever their number and so safe to broadcast, keeps
-    most other texts out of the shuffle; the join decides.
+    A bitmap keeps most other texts out of the shuffle; the join decides. It is an inner one, as a
+    semi-join would be pushed below the bitmap and shuffle every text.
     """
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(64 * SLOTS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
-    bitmap = nodes.groupBy(F.floor(h / 64).alias("slot")).agg(F.bit_or(bit).alias("word"))
-    likely = docs.withColumn("slot", F.floor(h / 64)).join(F.broadcast(bitmap), "slot").where(F.col("word").bitwiseAND(bit) != 0).select("doc_id", "text")
-    return likely.join(nodes, "doc_id", "left_semi").distinct()
+    slot, bit = bitmap_place(F.col("doc_id"))
+    likely = docs.withColumn("slot", slot).join(F.broadcast(bitmap_of(nodes)), "slot").where(F.col("word").bitwiseAND(bit) != 0).select("doc_id", "text")
+    return likely.join(nodes, "doc_id").distinct()
 
 
 def similar_groups(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -445,10 +455,18 @@ def similar_groups(df: DataFrame, width: int = 5, similarity: float = 0.8, id_co
 
 
 def keep_one_of_each(df: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``df``, all columns, without those whose group of similar texts holds a smaller doc_id."""
+    """The rows of ``df``, all columns, without those whose group of similar texts holds a smaller doc_id.
+
+    Only rows whose id may be among the dropped ones, by a bitmap, are shuffled.
+    """
     groups = similar_groups(df, width, similarity)
     dropped = groups.where("doc_id > component_id").select("doc_id").distinct()
-    return df.join(dropped, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+    marked = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col("doc_id"))
+    slot, bit = bitmap_place(F.col("doc_id"))
+    known = marked.withColumn("slot", slot).join(F.broadcast(bitmap_of(dropped)), "slot", "left")
+    likely = F.coalesce(F.col("word").bitwiseAND(bit) != 0, F.lit(False))
+    rows = known.where(~likely).select("row").unionByName(known.where(likely).join(dropped, "doc_id", "left_anti").select("row"))
+    return rows.select("row.*")
 
 
 def fingerprint_hex(fp: Column) -> Column:
