@@ -312,20 +312,22 @@ def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray
 
 
 def long_fingerprints(texts: DataFrame, width: int) -> DataFrame:
-    """(rid, size, long, own_keys): each text's set size, its fingerprint of 2048 bits, the short one first, and its keys, ascending and padded."""
+    """(rid, size, long): each text's set size and its fingerprint of 2048 bits, the short one first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_cache("golay", golay_table)
         for ids, own in text_rows(batches, "doc_id", "text"):
             sets = [shingle_set(t, width) for t in own]
-            words = [wide_fingerprint(s, LONG_WORDS) for s in sets]
-            keys = np.zeros((len(ids), WIDE_SEGMENTS * 6), np.uint64)
-            for i, (w, s) in enumerate(zip(words, sets, strict=True)):
-                found = np.unique(wide_keys(w[:WIDE_WORDS].copy(), s, table)) if len(s) else []
-                keys[i, : len(found)] = found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())], ["rid", "size", "long", "own_keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_fingerprint(s, LONG_WORDS).tobytes() for s in sets], pa.binary())], ["rid", "size", "long"])
+
+    return texts.mapInArrow(run, "rid long, size long, long binary")
+
 
-    return texts.mapInArrow(run, "rid long, size long, long binary, own_keys binary")
+def padded(lists: np.ndarray) -> np.ndarray:
+    """Lists of keys as rows of one table, with zeros after each."""
+    sizes = np.array([len(k) for k in lists], np.int64)
+    out = np.zeros((len(lists), int(sizes.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.concatenate(lists) if len(lists) else []
+    return out.view(np.uint64)
 
 
 def open_members(members: DataFrame) -> DataFrame:
@@ -337,7 +339,8 @@ def open_members(members: DataFrame) -> DataFrame:
 def open_pairs(opened: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     """(a, b, bits), a < b: near pairs of one bucket whose roots differ, by sizes and long fingerprints.
 
-    A pair that shares several buckets comes from the one with its smallest common key alone.
+    A pair that shares several open buckets comes from the one with its smallest common key alone.
+    A text meets its fingerprint once, with the list of its open buckets (it has at most 72 keys).
 
     The members of the bucket's largest root are not compared with each other, so a group that is
     connected costs its size, not its square. A bucket is dealt out over blocks of its members;
@@ -348,7 +351,7 @@ def open_pairs(opened: DataFrame, prints: DataFrame, similarity: float) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in by_group(batches):
             words = np.frombuffer(b"".join(g["long"]), np.uint64).reshape(-1, LONG_WORDS)
-            keys = np.frombuffer(b"".join(g["own_keys"]), np.uint64).reshape(len(words), -1)
+            keys = padded(g["own_keys"])
             rid, root, size, key = g["rid"], g["root"], g["size"], g["key"].view(np.uint64)
             edges = np.concatenate([[0], np.flatnonzero((g["key"][1:] != g["key"][:-1]) | (g["block"][1:] != g["block"][:-1])) + 1, [len(words)]]).tolist()
             found = []
@@ -366,7 +369,9 @@ def open_pairs(opened: DataFrame, prints: DataFrame, similarity: float) -> DataF
                 pairs = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int32))], ["a", "b", "bits"])
 
-    dealt, blocks, what = opened.join(prints, "rid"), F.ceil(F.col("n") / BLOCK).cast("int"), ("rid", "root", "size", "long", "own_keys")
+    own = opened.groupBy("rid", "root").agg(F.collect_list(F.struct("key", "n", "largest")).alias("open"))
+    dealt = prints.join(own, "rid").select("rid", "root", "size", "long", F.col("open.key").alias("own_keys"), F.explode("open").alias("o")).select("*", "o.*")
+    blocks, what = F.ceil(F.col("n") / BLOCK).cast("int"), ("rid", "root", "size", "long", "own_keys")
     here = dealt.select("key", F.pmod(F.xxhash64("rid"), blocks).cast("int").alias("block"), F.lit(False).alias("roams"), *what)
     everywhere = dealt.where("root <> largest").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("roams"), *what)
     met = here.unionByName(everywhere).repartition("key", "block").sortWithinPartitions("key", "block")
