@@ -145,6 +145,28 @@ def test_whole_cells_pass_on_what_they_cannot_give(spark):
     assert all(abs(r.target - r.got) < 1e-9 for r in mixing.marginal_errors(mixing.raked(cells, mix), mix).collect())
 
 
+def test_raking_takes_no_more_stages_for_more_rounds(spark):
+    cells = spark.createDataFrame([(f"s{i % 20}", f"l{i % 3}", "prose", 10 + i) for i in range(60)], "source string, lang string, topic string, tokens long")
+    stages = []
+    for rounds in (1, 10):
+        spark.sparkContext.setJobGroup(group := f"raking {rounds}", "")
+        mixing.raked(cells, mixing.Mix(rounds=rounds, fills=1)).collect()
+        tracker = spark.sparkContext.statusTracker()
+        stages.append(sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("", "")
+    assert stages[0] == stages[1]
+
+
+def test_more_cells_than_one_task_takes(spark, monkeypatch):
+    rows = [((f"s{R.randrange(9)}", R.choice(["en", "de", ""]), R.choice(["prose", "short"])), 5 + i) for i in range(300)]
+    cells = spark.createDataFrame([(*k, t) for k, t in rows], "source string, lang string, topic string, tokens long").groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    mix = mixing.Mix(rounds=4)
+    p, _, _ = brute_mix(rows, mix)
+    for most in (mixing.ONE_TASK, 0):
+        monkeypatch.setattr(mixing, "ONE_TASK", most)
+        assert {(r.source, r.lang, r.topic): r.probability for r in mixing.raked(cells, mix).collect()} == pytest.approx(p, rel=1e-9)
+
+
 def test_mix_of_odd_rows(spark):
     """Null ids draw as one, rows that share an id and a cell stay together, clashing columns come back."""
     rows = [(None, "a", "en", "s", 1), (None, "a", "en", "s", 2), (5, "b", "en", "s", 3), (5, "b", "en", "s", 4), (6, None, None, None, 5), (7, "word " * 200_000, "en", "s", 6)]

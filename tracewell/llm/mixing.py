@@ -16,12 +16,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import store
+from ._common import Scratch, store
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Topic -> what a text of it contains, the first that fits.
 TOPICS = (("table", " | "), ("contact", "@"), ("legal", "icense"))
 WORD = "[^ \t\n\r]+"
+#: Up to so many cells are raked in one task, where windows need no exchange; of more, each round is a plan of its own.
+ONE_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -60,14 +62,23 @@ def target_shares(cells: DataFrame, dimension: str, mix: Mix) -> DataFrame:
 
 
 def raked(cells: DataFrame, mix: Mix) -> DataFrame:
-    """Cells with (share, probability). ``cells`` has the dimensions and tokens, one row each."""
+    """Cells with (share, probability). ``cells`` has the dimensions and tokens, one row each.
+
+    All rounds in one plan with exchanges would cost the driver memory by rounds and partitions.
+    """
+    scratch, few = Scratch(cells.sparkSession), cells.count() <= ONE_TASK
+    cells = cells.coalesce(1) if few else cells
     fitted = cells.withColumn("w", F.col("tokens").cast("double"))
     for d in DIMENSIONS:
         fitted = fitted.join(target_shares(cells, d, mix).withColumnRenamed("target", f"to_{d}"), d, "left").fillna(0.0, [f"to_{d}"])
+    fitted = scratch.last(fitted)
+    fitted = fitted.coalesce(1) if few else fitted
     for _ in range(mix.rounds):
         for d in DIMENSIONS:
             fitted = fitted.withColumn("w", F.coalesce(F.col("w") * F.try_divide(F.col(f"to_{d}"), F.sum("w").over(Window.partitionBy(d))), F.lit(0.0)))
-    fitted = store(fitted.select(*DIMENSIONS, "tokens", "w"))
+        if not few:
+            fitted = scratch.last(fitted)
+    fitted = scratch.last(fitted.select(*DIMENSIONS, "tokens", "w"))
     sums = fitted.agg(F.sum("tokens").alias("tokens"), F.sum("w").alias("w")).first()
     wanted = mix.budget * float(sums.tokens or 0)
     share = F.col("w") / sums.w if sums.w else F.lit(0.0)
