@@ -143,6 +143,40 @@ def test_shares_of_a_hot_language_draw_as_the_whole_would(spark):
     assert langid.fit(df, langid.SampleBound(20)).key == langid.learn(want).key
 
 
+def test_draw_of_the_smallest_hashes(spark):
+    """A language with most rows, a small one, one whose hashes all lie high, so that more has to be asked for."""
+    draw = random.Random(12)
+    rows = [("a", draw.randrange(-(1 << 63), 1 << 63)) for _ in range(3000)] + [("b", 7)] + [("c", (1 << 63) - 1 - i) for i in range(100)]
+    keyed = spark.createDataFrame([(lang, h, i) for i, (lang, h) in enumerate(rows)], "lang string, h long, size long")
+    for most in (1, 20, 5000):
+        want = {lang: sorted((h, i) for i, (own, h) in enumerate(rows) if own == lang)[:most] for lang in "abc"}
+        assert langid.smallest_hashes(keyed, most) == want
+    assert langid.smallest_hashes(keyed.limit(0), 5) == {}
+
+
+def test_no_task_of_the_fit_meets_a_language(spark):
+    """With 64 partitions for 6,000 texts, nearly all of one language, no task reads several times its share."""
+    own = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    df = spark.createDataFrame([(f"text number {i}", "en" if i % 20 else "de") for i in range(6000)], "text string, lang string")
+    sc, most = spark.sparkContext, 0
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("fit", "")
+        langid.fit(df)
+    finally:
+        sc.setJobGroup("", "")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    for job in sc.statusTracker().getJobIdsForGroup("fit"):
+        for stage in sc.statusTracker().getJobInfo(job).stageIds:
+            tasks = sc._jsc.sc().statusStore().taskList(stage, 0, 10_000)
+            most = max([most, *(tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size()))])
+    assert 6000 / 64 <= most < 250
+
+
 def test_predictions_and_odd_rows(spark):
     rows = [(i, t + f" {i}", lang, "x") for lang, own in SAMPLES.items() for i, t in enumerate(own * 3)]
     docs = spark.createDataFrame([*rows, (50, "unlabelled", None, "x"), (51, None, "dd", "x")], "doc_id long, text string, lang string, lang_pred string")

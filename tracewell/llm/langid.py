@@ -27,16 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents_of, text_rows, worker_cache
+from ._common import documents_of, store, text_rows, worker_cache
 
 ORDER = 3
 STEP = 1 << 20
 MAX_CELLS = 12_000_000
-#: Parts of a language that are drawn from on their own before the language is.
-SHARES = 16
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -212,17 +210,36 @@ def has_letter(text: str | None) -> bool:
     return bool(found) and (found.group().isalpha() or any(map(str.isalpha, text)))
 
 
+def smallest_hashes(keyed: DataFrame, most: int) -> dict[str, list[tuple[int, int]]]:
+    """(h, size) of each language's ``most`` smallest h, ascending, of (lang, h, size) with h distinct in a language.
+
+    A language may hold most rows, so none is gathered in a task: hashes spread evenly, and those below
+    the value that about twice ``most`` do not exceed reach the driver. Languages where that gives too few ask for more.
+    """
+    left, found, factor = {r.lang: r.n for r in keyed.groupBy("lang").agg(F.count("*").alias("n")).collect()}, {}, 2
+    while left:
+        below = [(lang, min((1 << 63) - 1, (factor * most << 64) // n - (1 << 63))) for lang, n in left.items()]
+        limits = keyed.sparkSession.createDataFrame(below, "lang string, below long")
+        got: dict[str, list[tuple[int, int]]] = {lang: [] for lang in left}
+        for r in keyed.join(F.broadcast(limits), "lang").where("h <= below").select("lang", "h", "size").collect():  # a row for each language is broadcast
+            got[r.lang].append((r.h, r.size))
+        for lang, own in got.items():
+            if len(own) >= min(most, left[lang]):
+                found[lang] = sorted(own)[:most]
+                del left[lang]
+        factor *= 2
+    return found
+
+
 def fit(df: DataFrame, bound: SampleBound | None = None, text_col: str = "text", lang_col: str = "lang") -> Trees:
     """Learn from the rows whose text and language are not null."""
     bound = bound or SampleBound()
     rows = df.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text is not null and lang is not null")
-    keyed = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.max(F.length("text")).cast("long").alias("size"))
-    # a language may hold most rows: each share gives per_language of its own first, so that no task meets a whole language
-    share, own = Window.partitionBy("lang", F.pmod("h", F.lit(SHARES))).orderBy("h"), Window.partitionBy("lang").orderBy("h")
-    keyed = keyed.withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= bound.per_language)
-    first = keyed.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= bound.per_language)
-    within = first.withColumn("before", F.sum("size").over(own) - F.col("size"))  # per_language rows for each language
-    drawn = [(r.lang, r.h) for r in within.where((F.col("rank") == 1) | (F.col("before") + F.col("size") <= bound.total_chars)).select("lang", "h").collect()]
+    keyed = store(rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.max(F.length("text")).cast("long").alias("size")))
+    drawn = []
+    for lang, own in sorted(smallest_hashes(keyed, bound.per_language).items()):
+        ends = np.cumsum([size for _, size in own])
+        drawn += [(lang, h) for i, (h, _) in enumerate(own) if not i or ends[i] <= bound.total_chars]
     if not drawn:
         return learn({})
     chosen = df.sparkSession.createDataFrame(drawn, "lang string, h long")
