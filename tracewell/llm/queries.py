@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, near_dup, pii, token_counts, token_store, topk, toxicity, url_filter
+from . import clustering, decontam, langid, mixing, near_dup, pii, token_counts, token_store, topk, toxicity, url_filter
 from ._common import held_out, read
 
 
@@ -58,6 +58,10 @@ def op10_norm_bucket_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op11_gemm_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_noisy_or_toxicity": op1_noisy_or_toxicity,
     "op2_cgk_decontamination": op2_cgk_decontamination,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_personal_data": op9_personal_data,
     "op10_norm_bucket_top_k": op10_norm_bucket_top_k,
+    "op11_gemm_centroids": op11_gemm_centroids,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -81,4 +86,5 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_z
   FROM usable AS q JOIN usable AS c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
 SELECT * FROM ranked WHERE rank <= 5""",
+    "op11_gemm_centroids": clustering.oracle_sql(),
 }
