@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clustering, decontam, langid, mixing, near_dup, pii, prefix_trie, token_counts, token_store, topk, toxicity, url_filter
+from . import clustering, decontam, langid, mixing, near_dup, pii, prefix_trie, quality, token_counts, token_store, topk, toxicity, url_filter
 from ._common import held_out, read
 
 
@@ -62,6 +62,10 @@ def op11_gemm_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clusters(read(spark, sf_dir, "embeddings"))
 
 
+def op12_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_norm_bucket_top_k": op10_norm_bucket_top_k,
     "op11_gemm_centroids": op11_gemm_centroids,
+    "op12_robust_outliers": op12_robust_outliers,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -92,5 +97,6 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_z
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
 SELECT * FROM ranked WHERE rank <= 5""",
     "op11_gemm_centroids": clustering.oracle_sql(),
+    "op12_robust_outliers": quality.oracle_sql(),
     "op13_prefix_trie": prefix_trie.oracle_sql(),
 }
