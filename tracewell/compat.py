@@ -318,7 +318,7 @@ class RLDAClassifier:
         return self.solved[var].probabilities(np.asarray(traces))
 
     def get_clustered_model(self, var: int, t: float, max_clusters: int = 10_000_000, store_associated_classes: bool = True):
-        return self.solved[var].clustered(t, max_clusters, store_associated_classes)
+        return self.solved[var].clustered(session(), t, max_clusters, store_associated_classes)
 
 
 class RLDAInformationEstimator:
@@ -326,10 +326,10 @@ class RLDAInformationEstimator:
         self.model, self.budget = model, max_popped_classes
         self.n, self.sums = 0, np.zeros(4)
 
-    def fit_u(self, traces, x):
-        low, high = (np.log2(p) for p in self.model.bounded(np.asarray(traces), np.asarray(x), self.budget))
-        self.n += len(low)
-        self.sums += [low.sum(), high.sum(), (low**2).sum(), (high**2).sum()]
+    def fit_u(self, traces, x=None):
+        r = models.information_sums(as_traces(traces, x, np.uint64), self.model, self.budget).first()
+        self.n += r.n
+        self.sums += [r.lower or 0.0, r.upper or 0.0, r.lower2 or 0.0, r.upper2 or 0.0]
         return self
 
     def get_information(self) -> tuple[float, float]:

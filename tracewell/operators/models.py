@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EmptyClassError, ShapeError, SingularError
+from .centres import CentreTree, chunk_tables, class_points, leaders, owners, spans, squared_pairs
 
 
 def matrix_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -259,37 +260,62 @@ class RldaModel:
     nb: int
     proj: np.ndarray  # (p, samples)
     coefs: np.ndarray  # (p, nb + 1)
-    centres: np.ndarray | None = field(default=None, repr=False)
+    chunks: list[np.ndarray] | None = field(default=None, repr=False)
+
+    def points(self, classes: np.ndarray) -> np.ndarray:
+        """(n, p) projected means of the given classes, from tables of 256 sums for each byte: nothing grows with 2^nb."""
+        if self.chunks is None:
+            self.chunks = chunk_tables(self.coefs)
+        return class_points(self.chunks, classes) + 0.0
 
     def means(self) -> np.ndarray:
         """(2^nb, p) projected class means."""
-        if self.centres is None:
-            self.centres = bits_of(np.arange(1 << self.nb), self.nb) @ self.coefs.T
-        return self.centres
+        return self.points(np.arange(1 << self.nb))
+
+    def project(self, x: np.ndarray) -> np.ndarray:
+        return x.astype(float) @ self.proj.T
+
+    def distances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Squared distance of each projected trace to its own class's mean."""
+        return squared_pairs(self.project(x), self.points(y))
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        y, c = x.astype(float) @ self.proj.T, self.means()
+        y, c = self.project(x), self.means()
         return softmax(-0.5 * ((y**2).sum(axis=1)[:, None] - 2 * y @ c.T + (c**2).sum(axis=1)))
 
-    def clustered(self, radius: float, max_clusters: int = 10_000_000, keep_members: bool = True) -> ClusteredModel:
-        """Greedy leaders in class order: a class joins the nearest centre within the radius, else founds one."""
-        means, centres, owner = self.means(), [], np.empty(1 << self.nb, np.int64)
-        held = np.empty((min(1 << self.nb, 1024), means.shape[1]))
-        for c, m in enumerate(means):
-            if centres:
-                d = ((held[: len(centres)] - m) ** 2).sum(axis=1)
-                at = int(d.argmin())
-                if d[at] <= radius * radius:
-                    owner[c] = at
-                    continue
-            if len(centres) >= max_clusters:
-                raise ShapeError("more clusters than allowed")
-            if len(centres) == len(held):
-                held = np.concatenate([held, np.empty_like(held)])
-            held[len(centres)] = m
-            owner[c] = len(centres)
-            centres.append(c)
-        return ClusteredModel(self, np.array(centres), np.bincount(owner, minlength=len(centres)), owner if keep_members else None, radius)
+    def clustered(self, spark: SparkSession, radius: float, max_clusters: int = 10_000_000, keep_members: bool = True) -> ClusteredModel:
+        """Greedy leaders in class order: a class joins the nearest centre within the radius, else founds one.
+
+        Leaders and members are found by tasks; what reaches the driver is ``max_clusters`` centres and
+        weights at most and, where members are kept, four bytes a class.
+        """
+        if keep_members and self.nb > MEMBER_BITS:
+            raise ShapeError(f"members are kept for {MEMBER_BITS} bits at most")
+        ids = np.sort(column(leaders(spark, self.coefs, radius, max_clusters), "class_id"))
+        found = owners(spark, self.coefs, ids, radius)
+        owner = None
+        if keep_members:
+            rows = found.toArrow()
+            owner = np.empty(1 << self.nb, np.int32)
+            owner[rows.column("class_id").to_numpy()] = np.searchsorted(ids, rows.column("leader").to_numpy())
+            weights = np.bincount(owner, minlength=len(ids))
+        else:
+            rows = found.groupBy("leader").agg(F.count("*").alias("n")).toArrow()
+            weights = rows.column("n").to_numpy()[np.argsort(rows.column("leader").to_numpy())]
+        return ClusteredModel(self, ids, weights, owner, radius)
+
+    def cluster_rows(self, spark: SparkSession, radius: float, max_clusters: int = 10_000_000) -> DataFrame:
+        """(class_id, leader): every class with the centre that it joins."""
+        ids = np.sort(column(leaders(spark, self.coefs, radius, max_clusters), "class_id"))
+        return owners(spark, self.coefs, ids, radius)
+
+
+#: Up to so many bits a clustered model can keep its members.
+MEMBER_BITS = 26
+
+
+def column(df: DataFrame, name: str) -> np.ndarray:
+    return df.select(name).toArrow().column(name).to_numpy()
 
 
 @dataclass
@@ -299,40 +325,85 @@ class ClusteredModel:
     weights: np.ndarray
     owner: np.ndarray | None
     radius: float
+    _tree: CentreTree | None = field(default=None, repr=False)
+    _members: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
+
+    @property
+    def tree(self) -> CentreTree:
+        if self._tree is None:
+            self._tree = CentreTree(self.model.points(self.centres), self.weights)
+        return self._tree
+
+    def members(self) -> tuple[np.ndarray, np.ndarray]:
+        """(classes by centre, where each centre's begin)."""
+        if self._members is None:
+            self._members = np.argsort(self.owner, kind="stable"), np.concatenate([[0], np.cumsum(self.weights)])
+        return self._members
+
+    def get_size(self) -> int:
+        return len(self.centres)
+
+    def get_max_sqdist(self) -> float:
+        return self.radius * self.radius
 
     def nearest(self, point: np.ndarray) -> tuple[int, float]:
         """(class of the nearest centre, squared distance)."""
-        d = ((self.model.means()[self.centres] - point) ** 2).sum(axis=1)
-        return int(self.centres[d.argmin()]), float(d.min())
+        at, d = self.tree.nearest(np.asarray(point, float)[None, :])
+        return int(self.centres[at[0]]), float(d[0])
 
     def close_centres(self, point: np.ndarray, budget: int) -> list[int]:
         """Nearest centres, by number, as long as their members together stay below the budget."""
-        d = ((self.model.means()[self.centres] - point) ** 2).sum(axis=1)
-        order = np.argsort(d, kind="stable")
-        return order[np.cumsum(self.weights[order]) < budget].tolist()
+        if self.owner is None:
+            raise ShapeError("the model was clustered without members")
+        _, at, _ = self.tree.closest(np.asarray(point, float)[None, :], budget)
+        return at[np.cumsum(self.weights[at]) < budget].tolist()
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(i, int(c), int(w), np.flatnonzero(self.owner == i).tolist() if self.owner is not None else None) for i, (c, w) in enumerate(zip(self.centres, self.weights, strict=True))]
+        classes, starts = self.members() if self.owner is not None else (None, None)
+        rows = [(i, int(c), int(w), classes[starts[i] : starts[i + 1]].tolist() if classes is not None else None) for i, (c, w) in enumerate(zip(self.centres, self.weights, strict=True))]
         return spark.createDataFrame(rows, "cluster_id int, class_id long, weight long, members array<long>")
 
     def bounded(self, x: np.ndarray, y: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-        """(lower, upper) probability of each trace's own class; members of near centres are counted exactly."""
-        means = self.model.means()
-        low, high = np.empty(len(x)), np.empty(len(x))
-        for i, (t, c) in enumerate(zip(x.astype(float) @ self.model.proj.T, y, strict=True)):
-            e = ((means[self.centres] - t) ** 2).sum(axis=1)
-            near = np.zeros(len(e), bool)
-            if self.owner is not None:
-                near[self.close_centres(t, budget)] = True
-            root = np.sqrt(e[~near])
-            exact = np.exp(-0.5 * ((means[near[self.owner]] - t) ** 2).sum(axis=1)).sum() if near.any() else 0.0
-            least = exact + (np.exp(-0.5 * (root + self.radius) ** 2) * self.weights[~near]).sum()
-            most = exact + (np.exp(-0.5 * np.maximum(root - self.radius, 0) ** 2) * self.weights[~near]).sum()
-            own = np.exp(-0.5 * ((means[int(c)] - t) ** 2).sum())
-            low[i], high[i] = own / most, own / least
+        """(lower, upper) probability of each trace's own class; members of near centres are counted exactly.
+
+        Traces go through the tree together. Each has its exponents shifted by that of its nearest
+        centre's upper bound, so that far traces neither vanish nor divide by zero; centres whose shifted
+        upper bound is 0 in double precision are not visited. Where even the lower sum vanishes, the upper
+        probability is 1.
+        """
+        at, own, tree = self.model.project(x), self.model.distances(x, y), self.tree
+        low, high = np.empty(len(at)), np.empty(len(at))
+        step = max(1, min(1024, PAIRS // max(1, len(self.centres))))
+        for a in range(0, len(at), step):
+            q = at[a : a + step]
+            _, first = tree.nearest(q)
+            shift = 0.5 * np.maximum(np.sqrt(first) - self.radius, 0) ** 2
+            rows, points, d = tree.within(q, (self.radius + np.sqrt(2 * (VANISH + shift))) * (1 + 1e-9))
+            root, weight = np.sqrt(d), self.weights[points]
+            exact = np.zeros(len(q))
+            near = np.zeros(len(rows), bool)
+            if self.owner is not None and budget > 1:
+                upto = np.cumsum(weight)
+                begin = np.searchsorted(rows, np.arange(len(q)))
+                before = np.where(begin > 0, upto[np.maximum(begin - 1, 0)], 0)
+                near = upto - before[rows] < budget
+                classes, starts = self.members()
+                which, place = spans(starts[points[near]], starts[points[near] + 1])
+                own_rows = rows[near][which]
+                exact = np.bincount(own_rows, np.exp(shift[own_rows] - 0.5 * squared_pairs(q[own_rows], self.model.points(classes[place]))), len(q))
+            r, w, s, root = rows[~near], weight[~near], shift[rows[~near]], root[~near]
+            least = exact + np.bincount(r, np.exp(s - 0.5 * (root + self.radius) ** 2) * w, len(q))
+            most = exact + np.bincount(r, np.exp(s - 0.5 * np.maximum(root - self.radius, 0) ** 2) * w, len(q))
+            p = np.exp(shift - 0.5 * own[a : a + step])
+            low[a : a + step] = p / most
+            high[a : a + step] = np.divide(p, least, out=np.ones(len(q)), where=least > 0)
         return low, high
 
 
+#: Pairs of traces and centres that are held at a time, about; exponents beyond VANISH are 0 in double precision.
+PAIRS, VANISH = 1 << 22, 750.0
+
+
 def rlda_state(traces: DataFrame, nb: int) -> RldaState:
     """Normal equations over all traces; each task sends its matrices as rows that are summed by key."""
     cut = traces.select(F.col("samples").cast("array<long>").alias("samples"), F.col("labels").cast("array<long>").alias("labels"))
@@ -375,9 +446,22 @@ def rlda_predict(traces: DataFrame, model: RldaModel, var: int = 0) -> DataFrame
     return per_trace(traces, "array<double>", lambda x, y: [(var, model.probabilities(x))])
 
 
+def rlda_distances(traces: DataFrame, model: RldaModel, var: int = 0) -> DataFrame:
+    """(trace_id, var, value): squared distance of the projected trace to the mean of its own class, for any number of bits."""
+    return per_trace(traces, "double", lambda x, y: [(var, model.distances(x, y[:, var]))])
+
+
+def information_sums(traces: DataFrame, clustered: ClusteredModel, budget: int, var: int = 0) -> DataFrame:
+    """One row (n, lower, upper, lower2, upper2): sums of the bounds' log2 and of its square, which merge."""
+    clustered.tree, clustered.owner is not None and clustered.members()  # made once, sent to all
+    held = traces.sparkSession.sparkContext.broadcast(clustered)
+    both = per_trace(traces, "array<double>", lambda x, y: [(var, np.stack(held.value.bounded(x, y[:, var], budget), axis=1))])
+    logs = both.select(F.log2(F.get("value", F.lit(0))).alias("l"), F.log2(F.get("value", F.lit(1))).alias("h"))
+    return logs.agg(F.count("*").alias("n"), F.sum("l").alias("lower"), F.sum("h").alias("upper"), F.sum(F.col("l") * F.col("l")).alias("lower2"), F.sum(F.col("h") * F.col("h")).alias("upper2"))
+
+
 def information(traces: DataFrame, clustered: ClusteredModel, budget: int, var: int = 0) -> DataFrame:
     """One row: (n, lower, upper, deviation_lower, deviation_upper) of the estimated information in bits."""
-    nb = clustered.model.nb
-    both = per_trace(traces, "array<double>", lambda x, y: [(var, np.stack(clustered.bounded(x, y[:, var], budget), axis=1))])
-    logs = both.select(F.log2(F.get("value", F.lit(0))).alias("l"), F.log2(F.get("value", F.lit(1))).alias("h"))
-    return logs.agg(F.count("*").alias("n"), (nb + F.avg("l")).alias("lower"), (nb + F.avg("h")).alias("upper"), F.stddev_pop("l").alias("deviation_lower"), F.stddev_pop("h").alias("deviation_upper"))
+    nb, n = clustered.model.nb, F.col("n")
+    spread = lambda c: F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col(f"{c}2"), n) - F.try_divide(F.col(c), n) ** 2)).alias(f"deviation_{c}")
+    return information_sums(traces, clustered, budget, var).select("n", *((nb + F.try_divide(F.col(c), n)).alias(c) for c in ("lower", "upper")), spread("lower"), spread("upper"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -364,15 +365,90 @@ def rlda_predict(spark, d):
     return models.rlda_predict(t, m)
 
 
-@query("rlda_clusters")
+def inverse_sql(n: int, out: str) -> list[str]:
+    """SQL columns, each from those before it, of the inverse of the symmetric matrix a00, a10, a11, ... by its Cholesky factor."""
+    pairs, columns = [(i, j) for i in range(n) for j in range(i + 1)], []
+    for i, j in pairs:
+        less = "".join(f" - l{i}{m} * l{j}{m}" for m in range(j))
+        columns.append(f"sqrt(a{i}{i}{less}) AS l{i}{i}" if i == j else f"(a{i}{j}{less}) / l{j}{j} AS l{i}{j}")
+    for i, j in pairs:
+        columns.append(f"1 / l{i}{i} AS k{i}{i}" if i == j else f"-({' + '.join(f'l{i}{m} * k{m}{j}' for m in range(j, i))}) / l{i}{i} AS k{i}{j}")
+    return columns + [f"{' + '.join(f'k{m}{i} * k{m}{j}' for m in range(i, n))} AS {out}{i}{j}" for i, j in pairs]
+
+
+#: Three samples, so that the projection keeps all of them and SQL can follow the solution.
+RLDA_POINTS, RLDA_BITS, RADIUS, BUDGET = [5, 17, 40], 4, 0.12, 5
+low = lambda i, j: f"{max(i, j)}{min(i, j)}"
+RLDA = f"""wide AS (SELECT vec_id, label, 1 AS b0, {", ".join(f"2 * ((label >> {i}) & 1) - 1 AS b{i + 1}" for i in range(RLDA_BITS))}, {", ".join(f"CAST(trunc(embedding[{p + 1}]::DOUBLE * 4096) AS BIGINT) AS x{k}" for k, p in enumerate(RLDA_POINTS))} FROM embeddings),
+sums AS (SELECT count(*)::DOUBLE AS n, {", ".join(f"sum(b{i} * b{j})::DOUBLE AS a{i}{j}" for i in range(5) for j in range(i + 1))}, {", ".join(f"sum(b{i} * x{s})::DOUBLE AS r{i}{s}" for i in range(5) for s in range(3))}, {", ".join(f"sum(x{s} * x{t})::DOUBLE AS t{s}{t}" for s in range(3) for t in range(s + 1))} FROM wide),
+normal AS (SELECT *, {", ".join(inverse_sql(5, "v"))} FROM sums),
+fitted AS MATERIALIZED (SELECT n, {", ".join(f"r{i}{s}" for i in range(5) for s in range(3))}, {", ".join(f"t{s}{t}" for s in range(3) for t in range(s + 1))}, {", ".join(f"{' + '.join(f'v{low(i, j)} * r{j}{s}' for j in range(5))} AS c{i}{s}" for i in range(5) for s in range(3))} FROM normal),
+spread AS MATERIALIZED (SELECT {", ".join(f"c{i}{s}" for i in range(5) for s in range(3))}, {", ".join(f"(t{s}{t} - ({' + '.join(f'r{i}{s} * c{i}{t}' for i in range(5))})) / n AS a{s}{t}" for s in range(3) for t in range(s + 1))} FROM fitted),
+metric AS MATERIALIZED (SELECT *, {", ".join(inverse_sql(3, "h"))} FROM spread),
+means AS MATERIALIZED (SELECT c.class, {", ".join(f"c0{s}" + "".join(f" + (2 * ((c.class >> {i}) & 1) - 1) * c{i + 1}{s}" for i in range(RLDA_BITS)) + f" AS m{s}" for s in range(3))}, {", ".join(f"h{s}{t}" for s in range(3) for t in range(s + 1))} FROM metric, (SELECT unnest(range({1 << RLDA_BITS})) AS class) AS c)"""
+
+
+def quadratic(a: str, b: str, x: str, y: str) -> str:
+    """Squared distance of a.x0.. and b.y0.. in the metric h of b."""
+    return " + ".join(f"({a}.{x}{s} - {b}.{y}{s}) * ({a}.{x}{t} - {b}.{y}{t}) * {b}.h{low(s, t)}" for s in range(3) for t in range(3))
+
+
+SCORED = f"{RLDA}, scored AS MATERIALIZED (SELECT w.vec_id, w.label, m.class, {quadratic('w', 'm', 'x', 'm')} AS d FROM wide AS w, means AS m)"
+CLUSTERED = f"""apart AS MATERIALIZED (SELECT a.class AS a, b.class AS b, {quadratic("a", "b", "m", "m")} AS d FROM means AS a, means AS b),
+grid AS MATERIALIZED (SELECT list(row ORDER BY a) AS g FROM (SELECT a, list(d ORDER BY b) AS row FROM apart GROUP BY a)),
+lead(i, found) AS (SELECT 0, [0] UNION ALL SELECT i + 1, CASE WHEN len(list_filter(found, lambda f: g[i + 2][f + 1] <= {RADIUS * RADIUS})) > 0 THEN found ELSE list_append(found, i + 1) END FROM lead, grid WHERE i < {(1 << RLDA_BITS) - 1}),
+led AS (SELECT unnest(found) AS class FROM lead WHERE i = {(1 << RLDA_BITS) - 1}),
+owned AS MATERIALIZED (SELECT a AS class_id, CASE WHEN a IN (SELECT class FROM led) THEN a ELSE arg_min(b, d) END AS leader FROM apart WHERE b <= a AND b IN (SELECT class FROM led) GROUP BY a)"""
+
+
+def few_points(spark, d):
+    """The regression on three samples, all of which the projection keeps."""
+    t, _ = sources.prune(traces_of(spark, d), [RLDA_POINTS])
+    return t, models.rlda_state(t, RLDA_BITS).solve(3)[0]
+
+
+@query("rlda_predict_points", f"WITH {SCORED} SELECT vec_id AS trace_id, class::INTEGER AS class, round(exp(-0.5 * d) / sum(exp(-0.5 * d)) OVER (PARTITION BY vec_id), 6) AS p FROM scored")
+def rlda_predict_points(spark, d):
+    t, m = few_points(spark, d)
+    return models.rlda_predict(t, m).select("trace_id", F.posexplode("value").alias("class", "p")).withColumn("p", F.round("p", 6))
+
+
+@query("rlda_clusters", f"WITH RECURSIVE {RLDA}, {CLUSTERED} SELECT class_id, leader::BIGINT AS leader, count(*) OVER (PARTITION BY leader) AS weight FROM owned")
 def rlda_clusters(spark, d):
-    return regression(spark, d)[1].clustered(0.5).table(spark)
+    """Every class with the leader it joins, and how many join it."""
+    rows = few_points(spark, d)[1].cluster_rows(spark, RADIUS)
+    return rows.join(rows.groupBy("leader").agg(F.count("*").alias("weight")), "leader")
 
 
-@query("rlda_information")
+@query(
+    "rlda_information",
+    f"""WITH RECURSIVE {SCORED}, {CLUSTERED}, weights AS (SELECT leader, count(*) AS w FROM owned GROUP BY leader),
+ranked AS (SELECT s.vec_id, s.class AS leader, s.d, w.w, sum(w.w) OVER (PARTITION BY s.vec_id ORDER BY s.d, s.class) AS upto FROM scored AS s JOIN weights AS w ON s.class = w.leader),
+near AS (SELECT r.vec_id, sum(exp(-0.5 * s.d)) AS e FROM ranked AS r JOIN owned AS o USING (leader) JOIN scored AS s ON s.vec_id = r.vec_id AND s.class = o.class_id WHERE r.upto < {BUDGET} GROUP BY r.vec_id),
+far AS (SELECT vec_id, sum(w * exp(-0.5 * power(sqrt(d) + {RADIUS}, 2))) AS least, sum(w * exp(-0.5 * power(greatest(0.0, sqrt(d) - {RADIUS}), 2))) AS most FROM ranked WHERE upto >= {BUDGET} GROUP BY vec_id),
+bounds AS (SELECT s.vec_id, log2(exp(-0.5 * s.d) / (coalesce(e, 0) + coalesce(most, 0))) AS l, log2(exp(-0.5 * s.d) / (coalesce(e, 0) + coalesce(least, 0))) AS h FROM scored AS s LEFT JOIN near USING (vec_id) LEFT JOIN far USING (vec_id) WHERE s.class = s.label)
+SELECT count(*) AS n, round({RLDA_BITS} + avg(l), 6) AS lower, round({RLDA_BITS} + avg(h), 6) AS upper, round(stddev_pop(l), 6) AS deviation_lower, round(stddev_pop(h), 6) AS deviation_upper FROM bounds""",
+)
 def rlda_information(spark, d):
-    t, m = regression(spark, d)
-    return models.information(t, m.clustered(0.2), 8)
+    t, m = few_points(spark, d)
+    found = models.information(t, m.clustered(spark, RADIUS), BUDGET)
+    return found.select("n", *(F.round(c, 6).alias(c) for c in ("lower", "upper", "deviation_lower", "deviation_upper")))
+
+
+WIDE_BITS, WIDE_LABEL = 32, "(vec_id * 2654435761) % 4294967296"
+WIDE_COEFS = [[((7 * i + 5 * s) % 11 - 5) * 8.0 for i in range(WIDE_BITS + 1)] for s in range(3)]
+
+
+@query(
+    "rlda_wide_distance",
+    f"SELECT vec_id AS trace_id, round({' + '.join(f'power(trunc(embedding[{p + 1}]::DOUBLE * 4096) - ({c[0]} + ' + ' + '.join(f'(2 * ((({WIDE_LABEL}) >> {i}) & 1) - 1) * {w}' for i, w in enumerate(c[1:])) + '), 2)' for p, c in zip(RLDA_POINTS, WIDE_COEFS, strict=True))}, 3) AS distance FROM embeddings",
+)
+def rlda_wide_distance(spark, d):
+    """Labels of 32 bits under a given model: the distance to one class's mean, from four tables of 256 sums."""
+    t, _ = sources.prune(traces_of(spark, d), [RLDA_POINTS])
+    t = t.withColumn("labels", F.array(F.expr(WIDE_LABEL.replace("vec_id", "trace_id"))))
+    model = models.RldaModel(WIDE_BITS, np.eye(3), np.array(WIDE_COEFS))
+    return models.rlda_distances(t, model).select("trace_id", F.round("value", 3).alias("distance"))
 
 
 @query(
