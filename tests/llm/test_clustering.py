@@ -1,15 +1,13 @@
-"""Centroid clustering against whole numbers of any size, and against SQL."""
+"""Centroid clustering against whole numbers of any size."""
 
 import hashlib
 import random
 
-import duckdb
 import numpy as np
 
-from tracewell.llm import clustering, queries
+from tracewell.llm import clustering
 
 R = random.Random(11)
-DATA = "/root/testdata/sf0.001"
 
 
 def brute(rows, shape):
@@ -72,13 +70,3 @@ def test_each_tier_of_magnitudes_is_exact():
             for row, a, e in zip(v.tolist(), at.tolist(), list(d)):
                 own = [sum((int(x) - y) ** 2 for x, y in zip(row, c)) for c in some]
                 assert (own.index(min(own)), min(own)) == (a, int(e))
-
-
-def test_query_equals_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
-    cursor = con.execute(queries.ORACLE_SQL["op11_gemm_centroids"])
-    names = [c[0] for c in cursor.description]
-    got = queries.op11_gemm_centroids(spark, DATA)
-    assert sorted(names) == sorted(got.columns)
-    assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(cursor.fetchall())

@@ -1,17 +1,15 @@
-"""The prefix trie against a plain dictionary of prefixes, and against SQL."""
+"""The prefix trie against a plain dictionary of prefixes."""
 
 import hashlib
 import random
 import zlib
 from collections import defaultdict
 
-import duckdb
 import pytest
 
-from tracewell.llm import prefix_trie, queries
+from tracewell.llm import prefix_trie
 
 R = random.Random(13)
-DATA = "/root/testdata/sf0.001"
 
 
 def brute(rows):
@@ -90,13 +88,3 @@ def test_sums_across_partitions():
 def test_empty(spark, rows):
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
     assert prefix_trie.prefix_trie(df).collect() == []
-
-
-def test_query_equals_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{DATA}/conversations.parquet'")
-    cursor = con.execute(queries.ORACLE_SQL["op13_prefix_trie"])
-    names = [c[0] for c in cursor.description]
-    got = queries.op13_prefix_trie(spark, DATA)
-    assert sorted(names) == sorted(got.columns)
-    assert sorted((tuple(r[n] for n in names) for r in got.collect()), key=str) == sorted(cursor.fetchall(), key=str)

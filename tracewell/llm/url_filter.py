@@ -1,26 +1,36 @@
 """URL filters: explicit rules first, then a path-template tree per host, by DataFrame functions alone.
 
-Template: each run of digits in a path is a wildcard. Segments are then generalised level by
-level: where the children of a node of a host's tree have fewer than ``CHILD_SUPPORT`` urls each on
-average (and are ``MANY`` at least), their names say nothing and become one wildcard; the statistic
-does not depend on the size of the crawl. The first ``LEVELS`` segments are levels of their own; all
-that lies below is the last level, compared whole. Labels are the verdicts of the rules
-(urls that a rule fits). Branches of a host with as many segments are sorted by their share of
-blocked labels, and neighbours whose shares do not differ significantly (two-proportion test at
-``SIMILAR`` standard deviations) are merged: their counts are pooled. A template is rejected when
-it has ``SUPPORT`` labels at least and its smoothed purity reaches ``REJECT``.
-
-The tree is built from urls aggregated to (host, template) counts, so a host with a third of all
-urls costs what its templates cost; its rows meet their template again in a plain equi-join.
+Template: each run of digits in a path is a wildcard. The segments of each host's paths are then
+walked level by level, at any depth: where the children of a node have fewer than ``CHILD_SUPPORT``
+urls each on average (and are ``MANY`` at least), their names say nothing and become one wildcard; the
+statistic does not depend on the size of the crawl. Nodes with fewer than ``MANY`` shapes below them
+can have no wildcard any more and keep what follows as it stands, so there are as many rounds as
+segments that ``MANY`` shapes of a host share. Each round's rows are written and read again.
+
+Labels are the verdicts of the rules (urls that a rule fits). Templates with one parent are siblings.
+Each is tested against all others together (two-proportion test at ``SIMILAR`` standard deviations):
+those that do not differ are one branch, those with a greater share of blocked labels and those with a
+smaller one are two more, and each of the three is split so once again. A branch's counts are pooled. A
+template is rejected when its branch has ``SUPPORT`` labels at least and its smoothed purity reaches
+``REJECT``.
+
+The tree is built from urls aggregated to (host, template) counts, and siblings meet their totals in
+plain equi-joins, without windows, so a host with a third of all urls costs what its templates cost and
+Spark can split it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import Scratch
+
 CHILD_SUPPORT, MANY = 3.0, 3
-LEVELS = 4
+#: Levels that the SQL for DuckDB follows; the walk itself has no limit.
+SQL_LEVELS = 8
 SIMILAR = 1.0
 SUPPORT = 5
 REJECT = 0.8
@@ -52,32 +62,55 @@ def longest_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...])
     return rule, verdict
 
 
-def template_tree(urls: DataFrame) -> DataFrame:
+def walked(leaves: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, shape, n_block, n_allow, depth, parent, template) of leaves (host, shape, urls, n_block, n_allow)."""
+    rows, level, done = leaves.withColumn("s", F.split(F.regexp_replace("shape", "^/", ""), "/")).withColumn("prefix", F.lit("")), 0, []
+    while True:
+        child, last, before = F.get("s", F.lit(level)), F.size("s") == level + 1, ["prefix"] if level else []
+        node = ["host", "prefix"]
+        children = rows.groupBy(*node, child.alias("child")).agg(F.sum("urls").alias("n"), F.count("*").alias("shapes"))
+        nodes = children.groupBy(*node).agg(F.count("*").alias("children"), F.sum("n").alias("n"), F.sum("shapes").alias("shapes"))
+        few = F.col("shapes") < MANY
+        name = F.when((F.col("children") >= MANY) & (F.col("n") < CHILD_SUPPORT * F.col("children")), F.lit("*")).otherwise(child)
+        rest = lambda leave: F.array_join(F.concat(F.array(*before), F.slice("s", F.lit(level + 1), F.greatest(F.lit(0), F.size("s") - level - leave))), "/")
+        step = rows.join(nodes, node).select(
+            "host", "shape", "urls", "n_block", "n_allow", "s", (few | last).alias("ended"),
+            F.when(few, rest(1)).otherwise(F.col("prefix")).alias("parent"),
+            F.when(few, rest(0)).otherwise(F.concat_ws("/", *before, name)).alias("prefix"),
+        )
+        step = scratch.store(step)
+        done.append(step.where("ended").select("host", "shape", "n_block", "n_allow", F.size("s").alias("depth"), "parent", F.col("prefix").alias("template")))
+        rows, level = step.where("not ended").drop("parent", "ended"), level + 1
+        if rows.isEmpty():
+            return reduce(DataFrame.unionAll, done)
+
+
+SIBLINGS = ["host", "depth", "parent"]
+#: SQL of a template's side of its siblings: 0 where its labels do not differ from all others' (or there are none on either side).
+SIDE = f"""CASE WHEN n = 0 OR all_n = n THEN 0 WHEN power(b / n - (all_b - b) / (all_n - n), 2) <= {SIMILAR * SIMILAR} * (all_b / all_n) * (1 - all_b / all_n) * (1 / n + 1 / (all_n - n)) THEN 0
+  WHEN b / n < (all_b - b) / (all_n - n) THEN -1 ELSE 1 END"""
+
+
+def pooled_branches(done: DataFrame) -> DataFrame:
+    """(host, depth, parent, template, n_block, n_allow, purity, rejected): each template with its branch's counts."""
+    nodes = done.groupBy(*SIBLINGS, "template").agg(F.sum("n_block").cast("double").alias("b"), F.sum(F.col("n_block") + F.col("n_allow")).cast("double").alias("n"))
+    for key in ("first", "second"):
+        own = [*SIBLINGS, *([] if key == "first" else ["first"])]
+        totals = nodes.groupBy(*own).agg(F.sum("b").alias("all_b"), F.sum("n").alias("all_n"))
+        nodes = nodes.join(totals, own).withColumn(key, F.expr(SIDE)).drop("all_b", "all_n")
+    own = [*SIBLINGS, "first", "second"]
+    totals = nodes.groupBy(*own).agg(F.sum("b").alias("n_block"), F.sum(F.col("n") - F.col("b")).alias("n_allow"))
+    purity = (F.col("n_block") + PRIOR * STRENGTH) / (F.col("n_block") + F.col("n_allow") + STRENGTH)
+    judged = nodes.join(totals, own).withColumn("purity", purity).withColumn("rejected", (F.col("n_block") + F.col("n_allow") >= SUPPORT) & (purity >= REJECT))
+    return judged.select(*SIBLINGS, "template", "n_block", "n_allow", "purity", "rejected")
+
+
+def template_tree(urls: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, shape, template, n_block, n_allow, purity, rejected) of (host, shape, verdict or null)."""
     count = lambda v: F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).alias(f"n_{v}")
-    leaves = urls.groupBy("host", "shape").agg(F.count("*").alias("urls"), count("block"), count("allow"))
-    segments = F.split(F.regexp_replace("shape", "^/", ""), "/")
-    below = F.array_join(F.slice("s", LEVELS + 1, F.greatest(F.size("s") - LEVELS, F.lit(0))), "/")
-    leaves = leaves.withColumn("s", segments).withColumns({"depth": F.size("s"), **{f"s{i}": F.coalesce(F.get("s", F.lit(i)), F.lit("")) for i in range(LEVELS)}, f"s{LEVELS}": below})
-    for i in range(LEVELS + 1):
-        node = ["host", "depth", *(f"s{j}" for j in range(i))]
-        wide = leaves.groupBy(*node, f"s{i}").agg(F.sum("urls").alias("n")).groupBy(*node).agg(F.count("*").alias("children"), F.sum("n").alias("n")).where((F.col("children") >= MANY) & (F.col("n") < CHILD_SUPPORT * F.col("children"))).drop("n")
-        leaves = leaves.join(wide, node, "left").withColumn(f"s{i}", F.when(F.col("children").isNotNull(), F.lit("*")).otherwise(F.col(f"s{i}"))).drop("children")
-    template = F.concat_ws("/", *(f"s{i}" for i in range(LEVELS + 1)))
-    leaves = leaves.withColumn("template", template)
-    pooled = leaves.groupBy("host", "depth", "template").agg(F.sum("n_block").alias("b"), F.sum("n_allow").alias("a"))
-    pooled = pooled.withColumn("n", F.col("a") + F.col("b")).withColumn("rate", F.when(F.col("n") > 0, F.col("b") / F.col("n")))
-    order = Window.partitionBy("host", "depth").orderBy(F.col("rate").asc_nulls_first(), "template")
-    b0, n0 = F.lag("b").over(order), F.lag("n").over(order)
-    pool = (F.col("b") + b0) / (F.col("n") + n0)
-    near = (F.col("n") > 0) & (n0 > 0) & (F.pow(F.col("b") / F.col("n") - b0 / n0, F.lit(2)) <= SIMILAR * SIMILAR * pool * (1 - pool) * (1 / F.col("n") + 1 / n0))
-    with_steps = pooled.withColumn("step", F.when(F.coalesce((F.col("n") > 0) & (n0 > 0), F.lit(False)), F.when(near, 0).otherwise(1)).otherwise(1))
-    merged = with_steps.withColumn("branch", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    own = Window.partitionBy("host", "depth", "branch")
-    totals = merged.withColumn("n_block", F.sum("b").over(own)).withColumn("n_allow", F.sum("a").over(own))
-    purity = (F.col("n_block") + PRIOR * STRENGTH) / (F.col("n_block") + F.col("n_allow") + STRENGTH)
-    judged = totals.withColumn("purity", purity).withColumn("rejected", (F.col("n_block") + F.col("n_allow") >= SUPPORT) & (purity >= REJECT))
-    return leaves.select("host", "shape", "depth", "template").join(judged.select("host", "depth", "template", "n_block", "n_allow", "purity", "rejected"), ["host", "depth", "template"]).drop("depth")
+    leaves = scratch.store(urls.groupBy("host", "shape").agg(F.count("*").alias("urls"), count("block"), count("allow")))
+    done = walked(leaves, scratch)
+    return scratch.store(done.drop("n_block", "n_allow").join(scratch.store(pooled_branches(done)), [*SIBLINGS, "template"]).drop("depth", "parent"))
 
 
 def judge(df: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -85,16 +118,19 @@ def judge(df: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str
 
     The verdict is the longest fitting rule's, else block where the url's template is rejected,
     else allow. Null and malformed urls have empty host and path and are judged like any other.
-    Rows and ids may repeat; other columns are not read; an empty table gives an empty result.
+    Rows and ids may repeat; very long urls are taken whole, a segment is never cut; ties cannot
+    arise, as siblings are tested one by one; other columns are not read; an empty table gives an
+    empty result.
     """
+    scratch = Scratch(df.sparkSession)
     host, path = host_and_path(F.col("url"))
     pages = df.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     ruled = pages.select("*", rule.alias("rule"), verdict.alias("ruled"), F.regexp_replace("path", "[0-9]+", "*").alias("shape"))
-    tree = template_tree(ruled.select("host", "shape", F.col("ruled").alias("verdict")))
+    tree = template_tree(ruled.select("host", "shape", F.col("ruled").alias("verdict")), scratch)
     joined = ruled.join(tree.select("host", "shape", "template", "purity", "rejected"), ["host", "shape"], "left")
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
+    return scratch.last(joined.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"), "template", F.round("purity", 6).alias("purity")))
 
 
 def oracle_sql(rules: tuple[tuple[str, str], ...] = RULES) -> str:
@@ -109,17 +145,20 @@ def oracle_sql(rules: tuple[tuple[str, str], ...] = RULES) -> str:
 parsed AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
 ruled AS (SELECT *, CASE{cases["rule"]} END AS rule, CASE{cases["ruled"]} END AS ruled, regexp_replace(path, '[0-9]+', '*', 'g') AS shape FROM parsed),
 leaves AS (SELECT host, shape, count(*) AS urls, count(*) FILTER (ruled = 'block') AS n_block, count(*) FILTER (ruled = 'allow') AS n_allow, string_split(regexp_replace(shape, '^/', ''), '/') AS s FROM ruled GROUP BY host, shape),
-l0 AS (SELECT host, shape, urls, n_block, n_allow, len(s) AS depth, {", ".join(f"coalesce(s[{i + 1}], '') AS s{i}" for i in range(LEVELS))}, array_to_string(s[{LEVELS + 1}:], '/') AS s{LEVELS} FROM leaves)"""]
-    for i in range(LEVELS + 1):
-        node = ", ".join(["host", "depth", *(f"s{j}" for j in range(i))])
-        parts.append(f"l{i + 1} AS (SELECT l.* REPLACE (CASE WHEN w.k >= {MANY} AND w.n < {CHILD_SUPPORT} * w.k THEN '*' ELSE l.s{i} END AS s{i}) FROM l{i} AS l JOIN (SELECT {node}, count(DISTINCT s{i}) AS k, sum(urls) AS n FROM l{i} GROUP BY {node}) AS w USING ({node}))")
-    parts.append(f"""named AS (SELECT *, concat_ws('/', {", ".join(f"s{i}" for i in range(LEVELS + 1))}) AS template FROM l{LEVELS + 1}),
-pooled AS (SELECT host, depth, template, sum(n_block)::DOUBLE AS b, sum(n_allow)::DOUBLE AS a, sum(n_block + n_allow)::DOUBLE AS n FROM named GROUP BY ALL),
-sorted AS (SELECT *, lag(b) OVER w AS b0, lag(n) OVER w AS n0 FROM pooled WINDOW w AS (PARTITION BY host, depth ORDER BY CASE WHEN n > 0 THEN b / n END ASC NULLS FIRST, template)),
-steps AS (SELECT *, CASE WHEN n > 0 AND n0 > 0 AND pow(b / n - b0 / n0, 2) <= {SIMILAR * SIMILAR} * ((b + b0) / (n + n0)) * (1 - (b + b0) / (n + n0)) * (1 / n + 1 / n0) THEN 0 ELSE 1 END AS step FROM sorted),
-branches AS (SELECT *, sum(step) OVER (PARTITION BY host, depth ORDER BY CASE WHEN n > 0 THEN b / n END ASC NULLS FIRST, template ROWS UNBOUNDED PRECEDING) AS branch FROM steps),
-totals AS (SELECT host, depth, template, sum(b) OVER (PARTITION BY host, depth, branch) AS n_block, sum(a) OVER (PARTITION BY host, depth, branch) AS n_allow FROM branches),
+l0 AS MATERIALIZED (SELECT *, false AS ended, '' AS parent, '' AS prefix FROM leaves)"""]
+    for i in range(SQL_LEVELS):
+        kept = "prefix || '/' || " if i else ""
+        rest = lambda leave: f"array_to_string({'[prefix] || ' if i else ''}s[{i + 1}:len(s) - {leave}], '/')"  # noqa: B023, E731
+        parts.append(f"""w{i} AS (SELECT host, prefix, count(DISTINCT s[{i + 1}]) AS k, sum(urls) AS n, count(*) AS shapes FROM l{i} WHERE NOT ended GROUP BY host, prefix),
+l{i + 1} AS MATERIALIZED (SELECT host, shape, urls, n_block, n_allow, s, true AS ended, parent, prefix FROM l{i} WHERE ended
+  UNION ALL SELECT host, shape, urls, n_block, n_allow, s, shapes < {MANY} OR len(s) = {i + 1}, CASE WHEN shapes < {MANY} THEN {rest(1)} ELSE prefix END,
+  CASE WHEN shapes < {MANY} THEN {rest(0)} ELSE {kept}CASE WHEN k >= {MANY} AND n < {CHILD_SUPPORT} * k THEN '*' ELSE s[{i + 1}] END END FROM l{i} JOIN w{i} USING (host, prefix) WHERE NOT ended)""")
+    parts.append(f"""named AS (SELECT host, shape, len(s) AS depth, parent, prefix AS template, n_block, n_allow FROM l{SQL_LEVELS}),
+pooled AS (SELECT host, depth, parent, template, sum(n_block)::DOUBLE AS b, sum(n_block + n_allow)::DOUBLE AS n FROM named GROUP BY ALL),
+first AS (SELECT * EXCLUDE (all_b, all_n), {SIDE} AS first FROM (SELECT *, sum(b) OVER w AS all_b, sum(n) OVER w AS all_n FROM pooled WINDOW w AS (PARTITION BY host, depth, parent))),
+second AS (SELECT * EXCLUDE (all_b, all_n), {SIDE} AS second FROM (SELECT *, sum(b) OVER w AS all_b, sum(n) OVER w AS all_n FROM first WINDOW w AS (PARTITION BY host, depth, parent, first))),
+totals AS (SELECT *, sum(b) OVER w AS n_block, sum(n - b) OVER w AS n_allow FROM second WINDOW w AS (PARTITION BY host, depth, parent, first, second)),
 judged AS (SELECT *, (n_block + {PRIOR * STRENGTH}) / (n_block + n_allow + {STRENGTH}) AS purity FROM totals)
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.ruled, CASE WHEN j.n_block + j.n_allow >= {SUPPORT} AND j.purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, n.template, round(j.purity, 6) AS purity
-FROM ruled AS r LEFT JOIN named AS n ON r.host = n.host AND r.shape = n.shape LEFT JOIN judged AS j ON j.host = n.host AND j.depth = n.depth AND j.template = n.template""")
+FROM ruled AS r LEFT JOIN named AS n ON r.host = n.host AND r.shape = n.shape LEFT JOIN judged AS j ON j.host = n.host AND j.depth = n.depth AND j.parent = n.parent AND j.template = n.template""")
     return "WITH " + ",\n".join(parts)
