@@ -262,6 +262,18 @@ def test_top_k_is_exact(spark, monkeypatch, shape, block):
     assert sorted(map(tuple, got.collect())) == brute_top(plain, [(i, e) for i, e in plain if i % 50 == 0], 5)
 
 
+def test_vectors_of_one_length_are_dealt_over_all_tasks(spark):
+    """A third of the rows are shorter; the others are unit vectors."""
+    rows = spark.range(30_000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("v"), F.when(F.col("id") % 3 == 0, F.col("id") / 30_000).otherwise(1.0).alias("length"))
+    key, before = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(key, "false")
+    try:
+        sizes = [r[1] for r in topk.by_length(rows).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert len(sizes) == 4 and max(sizes) < 1.3 * min(sizes)
+
+
 def test_top_k_of_nothing(spark):
     v = topk.quantized(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(v, v, 5).count() == 0

@@ -138,7 +138,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     once = queries.select("vec_id", F.transform("v", lambda x: F.greatest(F.lit(-limit), F.least(F.lit(limit), x))).alias("v")).distinct()
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     sized = vectors.select("vec_id", F.transform("v", lambda x: F.greatest(F.lit(-limit), F.least(F.lit(limit), x))).alias("v")).withColumn("length", length)
-    ranged = store(sized.repartitionByRange(F.desc("length")).sortWithinPartitions(F.desc("length")))
+    ranged = store(by_length(sized))
     cut = ranged.agg(F.percentile_approx("length", 1 - LONGEST)).first()[0]
     blocks = max(1, -(-once.count() // BLOCK))
     marked = once.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
@@ -159,6 +159,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.greatest(low, F.least(high, F.col("score"))).cast("long").alias("score"))
 
 
+def by_length(sized: DataFrame) -> DataFrame:
+    """Partitions by ranges of length, longest first; vectors of one length, as unit ones are, are dealt over tasks by their ids' hash."""
+    return sized.repartitionByRange(F.desc("length"), F.xxhash64("vec_id")).sortWithinPartitions(F.desc("length"))
+
+
 def shortest(block: list[tuple[int, list[float]]], least: dict[int, int]) -> float:
     """The length below which no candidate reaches any query's threshold; 0 where some query has none above 0."""
     bounds = [least.get(i, 0) / n if (n := float(np.linalg.norm(v))) > 0 else 0.0 for i, v in block]
