@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -9,7 +10,7 @@ from tracewell.llm import bpe, token_counts, token_store
 
 R = random.Random(4)
 TEXTS = [
-    None, "", " ", "a  b", "  lead", "x ", "it's we'll 's", "'sx'rex 've!'s", "<|endoftext|> x", "\n\n\na", "tab\tx y\r\n", "é¼ ²3 日本語", "don’t ’s", "word " * 5000,
+    None, "", " ", "a  b", "  lead", "x ", "it's we'll 's", "'sx'rex 've!'s", "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext| >", "\n\n\na", "tab\tx y\r\n", "é¼ ²3 日本語", "don’t ’s", "word " * 5000,
     *("".join(R.choice(" \n\t'sreldvtm19,.!éß²\xa0\x85aB_ɏɐ") for _ in range(R.randrange(1, 60))) for _ in range(400)),
 ]
 
@@ -17,7 +18,6 @@ TEXTS = [
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(bpe.resolve("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -28,6 +28,32 @@ def test_encoder_equals_library(library):
             assert np.frombuffer(got, "<u4").tolist() == library(text), text
 
 
+def test_special_strings_as_text():
+    t = Tokenizer.from_file(bpe.resolve("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    texts = ["a <|endoftext|> b", "plain"]
+    for text, got in zip(texts, bpe.Encoder("byte_bpe_50k.json", special_as_text=True).encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_go_through_the_library(tmp_path):
+    """A file with a normalizer, another cut or another model is not cut here."""
+    word = Tokenizer.from_file(bpe.resolve("word_bpe_49k.json"))
+    for change in (None, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}):
+        path, own = bpe.resolve("word_bpe_49k.json"), word
+        if change:
+            path = str(tmp_path / f"{next(iter(change))}.json")
+            with open(bpe.resolve("byte_bpe_50k.json")) as f, open(path, "w") as g:
+                json.dump(json.load(f) | change, g)
+            own = Tokenizer.from_file(path)
+        encoder = bpe.Encoder(path)
+        assert not encoder.cuts
+        texts = [t for t in TEXTS if t]
+        for text, got in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+    assert bpe.Encoder("byte_bpe_50k.json").cuts
+
+
 def test_table_starts_anew_when_full(library, monkeypatch):
     monkeypatch.setattr(bpe, "STEP", 64)
     encoder = bpe.Encoder("byte_bpe_50k.json", room=64)

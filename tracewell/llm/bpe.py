@@ -5,13 +5,17 @@ characters lie below U+0250 are cut into the tokenizer's own first pieces with a
 its pattern looks at nothing but whether characters are letters, numbers, white space or others.
 Pieces are looked up by a 64-bit hash in an open-addressing table of ids and compared, character by
 character, with the piece that was stored; those not seen before go through the library together,
-and so do those whose hash another piece has taken. All other texts go through it whole. Both ways
+and so do those whose hash another piece has taken. All other texts go through it whole, and so do
+texts that hold the string of a special token, and every text where the tokenizer's file names a
+normalizer, another cut into pieces or another model than this way of cutting stands for. Both ways
 give the same ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
@@ -73,20 +77,42 @@ def piece_starts(points: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def byte_level(setup: dict) -> bool:
+    """Whether a tokenizer's file maps the bytes of a text as it stands to characters, so that ids stand for bytes."""
+    cut = setup.get("pre_tokenizer") or {}
+    return setup.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space")
+
+
+def cut_stands_for(setup: dict) -> bool:
+    """Whether ``piece_starts`` finds the pieces that a tokenizer with this file would, each coded by itself."""
+    model = setup.get("model") or {}
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    own = byte_level(setup) and setup["pre_tokenizer"].get("use_regex", True)
+    return bool(own and model.get("type") == "BPE" and plain and not setup.get("truncation") and not setup.get("padding"))
+
+
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes. Bounded: the table starts anew when it holds ``room`` pieces."""
+    """Ids as little-endian unsigned 32-bit bytes. Bounded: the table starts anew when it holds ``room`` pieces.
+
+    Special tokens' strings in a text become those tokens, as in the library, unless ``special_as_text``.
+    """
 
-    def __init__(self, tokenizer: str, room: int = 1 << 21):
+    def __init__(self, tokenizer: str, room: int = 1 << 21, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(resolve(tokenizer))
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.lib.encode_special_tokens = special_as_text
+        added = self.lib.get_added_tokens_decoder()
+        found = [t.content for t in added.values() if not (special_as_text and t.special)]
+        self.marked = re.compile("|".join(map(re.escape, found)) or "(?!)")
+        setup = json.loads(self.lib.to_str())
+        self.byte_level, self.cuts = byte_level(setup), cut_stands_for(setup)
         vocab = self.lib.get_vocab()
         self.size = max(vocab.values(), default=-1) + 1
         self.n_bytes = np.zeros(self.size, np.int64)  # byte-level: a character of an entry stands for a byte
         for token, i in vocab.items():
-            self.n_bytes[i] = len(token)
+            self.n_bytes[i] = len(added[i].content.encode()) if i in added else len(token)
         self.room = max(room, STEP)  # one step's pieces always fit
         self.bits = (2 * self.room - 1).bit_length()
         with np.errstate(over="ignore"):
@@ -238,7 +264,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if len(text) >= STEP or not (text.isascii() or np.frombuffer(text.encode("utf-32-le"), np.uint32).max() < LIMIT):
+            if not self.cuts or self.marked.search(text) or len(text) >= STEP or not (text.isascii() or np.frombuffer(text.encode("utf-32-le"), np.uint32).max() < LIMIT):
                 out[i] = self._library([text])[0].astype("<u4").tobytes()
                 continue
             if chars + len(text) + len(held) >= STEP:

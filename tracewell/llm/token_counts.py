@@ -57,7 +57,9 @@ def count_tokens(df: DataFrame, tokenizer: str | None = None, fields: tuple[str,
     Without ``fields`` the sections are the text's lines, each with its newline. With ``fields``
     the document is these columns joined by newlines, each with the newline after it. Start and
     end count code points of the document. Null texts and fields count as empty; a document
-    without a byte has one empty section. Rows and ids may repeat; other columns are not read.
+    without a byte has one empty section. Very long texts are encoded whole; ties of ``majority``
+    go to the first section. Rows and ids may repeat; other columns are not read; an empty table
+    gives an empty result. The tokenizer must be byte-level and change no text.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
@@ -68,6 +70,8 @@ def count_tokens(df: DataFrame, tokenizer: str | None = None, fields: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache(f"bpe:{tokenizer}", lambda: bpe.Encoder(tokenizer))
+        if not encoder.byte_level:
+            raise ValueError(f"{tokenizer}: ids of this tokenizer do not stand for bytes of the text")
         for ids, *columns in text_rows(batches, "doc_id", *(f"f{i}" for i in range(len(names)))):
             texts = ["\n".join(parts) for parts in zip(*columns, strict=True)]
             out: list[list[np.ndarray]] = [[], [], [], [], []]

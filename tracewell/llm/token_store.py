@@ -120,11 +120,11 @@ def unpack(payloads: list[bytes], checkpoints: list[np.ndarray], totals: list[in
     return [out[:, a:b].T.reshape(-1)[:n] for a, b, n in zip(lanes, lanes[1:], totals, strict=False)]
 
 
-def encode_documents(df: DataFrame, tokenizer: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(df: DataFrame, tokenizer: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """(doc_id, ids): the ids of every whole text as little-endian unsigned bytes, two or four an id, with ``end_id`` after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_cache(f"bpe:{tokenizer}", lambda: bpe.Encoder(tokenizer))
+        encoder = worker_cache(f"bpe:{tokenizer}:{special_as_text}", lambda: bpe.Encoder(tokenizer, special_as_text=special_as_text))
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         kind = "<u2" if max(encoder.size, end_id or 0) <= 1 << 16 else "<u4"
         for doc_ids, texts in text_rows(batches, "doc_id", "text"):
@@ -150,15 +150,17 @@ def token_counts(encoded: DataFrame) -> DataFrame:
     return encoded.select("ids", "width").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def write_tokens(df: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(df: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> None:
     """Encode every whole text and write ``codebook`` and ``blocks`` below ``path``.
 
-    Null texts count as empty: the end id alone. Rows that share an id stand side by side, null
-    ids first. An empty table writes no blocks. Other columns are not read.
+    Null texts count as empty: the end id alone. Special tokens' strings in a text become those
+    tokens, as in the library, unless ``special_as_text``. Very long texts are encoded whole. Rows
+    that share an id stand side by side, null ids first. An empty table writes no blocks. Other
+    columns are not read.
     """
     tokenizer = tokenizer or bpe.default_tokenizer()
     spark = df.sparkSession
-    encode_documents(df, tokenizer, end_id, id_col, text_col).write.option("compression", "zstd").parquet(f"{path}/encoded")
+    encode_documents(df, tokenizer, end_id, id_col, text_col, special_as_text).write.option("compression", "zstd").parquet(f"{path}/encoded")
     encoded = spark.read.schema("doc_id long, ids binary, width int").parquet(f"{path}/encoded")
     counted = token_counts(encoded).collect()  # at most one row for each id of the vocabulary
     counts = np.zeros(max((r.token for r in counted), default=0) + 1, np.int64)
