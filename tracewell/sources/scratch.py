@@ -59,3 +59,10 @@ class Scratch:
                 remove(self.spark, path)
         self.paths = self.paths[-1:]
         return kept
+
+    def only(self, kept: DataFrame) -> DataFrame:
+        """Of the tables stored before, all but the last one, which is ``kept``, go."""
+        for path in self.paths[:-1]:
+            remove(self.spark, path)
+        self.paths = self.paths[-1:]
+        return kept
