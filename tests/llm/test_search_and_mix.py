@@ -114,6 +114,37 @@ def brute_mix(rows, mix):
     return p, w, target
 
 
+def test_blocks_go_in_rounds_and_give_the_same(spark, monkeypatch):
+    """Many small indexes, some at a time, find what one finds; so does the filter."""
+    items, docs = planted(0.1)
+    clean = [(1000 + i, " ".join(R.choice(WORDS) for _ in range(100))) for i in range(10)]
+    df, bench = spark.createDataFrame(docs + clean, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    stored = decontam.stored_indexes(bench, 0.2, 8, 0.95, decontam.Scratch(spark))
+    size = stored.agg(F.sum(F.length("payload"))).first()[0]
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 5)
+    monkeypatch.setattr(decontam, "AT_ONCE", size // 3)
+    split = decontam.stored_indexes(bench, 0.2, 8, 0.95, decontam.Scratch(spark))
+    rounds = list(decontam.rounds_of(split))
+    assert len(rounds) > 1 and sum(len(i.item_ids) for held in rounds for i in held) == len(items)
+    hits = {(r.doc_id, r.item_id) for r in decontam.find(df, bench).collect()}
+    assert sum((i, i) in hits for i, _ in items) >= 0.95 * len(items)
+    kept = {r.doc_id for r in decontam.drop_contaminated(df, bench).collect()}
+    assert kept == {d for d, _ in docs + clean} - {d for d, _ in hits}
+
+
+def test_a_long_item(spark):
+    """Six thousand words, found with a tenth of them edited, and not where half differ."""
+    item = [R.choice(WORDS) for _ in range(6000)]
+    near, far = item.copy(), item.copy()
+    for at in R.sample(range(6000), 600):
+        near[at] = "other"
+    for at in R.sample(range(6000), 3000):
+        far[at] = "other"
+    df = spark.createDataFrame([(1, " ".join(["x"] * 50 + near)), (2, " ".join(far)), (3, " ".join(item[:3000]))], "doc_id long, text string")
+    found = decontam.find(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.end_word) for r in found] == [(1, 7, 6050)] and 580 <= found[0].distance <= 600
+
+
 def test_mix_equals_brute_force_and_meets_marginals(spark):
     rows = [(i, R.choice(["one two", "a@b c " * 9, "x | y", None, "long text " * 90]), R.choice(["en", "de", None]), R.choice(["s0"] * 6 + ["s1", None]), i, 0.5) for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens long, probability double")

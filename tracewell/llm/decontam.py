@@ -16,12 +16,14 @@ The number of repetitions is raised until ``target_recall`` of randomly edited c
 themselves, at the full edit rate and among other items' words, are candidates. Items with copies
 that are still missed after ``MAX_REPETITIONS``, and items below ``min_words``, are found without
 loss: by pigeonhole, of one more piece than edits allowed at least one piece stands unchanged in
-the document. Items go to the executors in blocks of bounded size; every block meets all documents
-in one narrow pass, without a shuffle.
+the document. Blocks of items of bounded size are indexed by tasks and stored. As many of these
+indexes as AT_ONCE bytes hold go to the executors at a time and meet all documents in one narrow
+pass, without a shuffle; only a benchmark whose indexes are larger takes another pass.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,10 +31,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents_of, give_back, small_batches, text_rows
+from ._common import Scratch, documents_of, give_back, small_batches, store, text_rows
 
 SAMPLES = 2
 MAX_REPETITIONS = 32
@@ -40,6 +43,8 @@ MAX_REPETITIONS = 32
 UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
 PIECES = re.compile(f"{UNSPACED.pattern}|[^\\s{UNSPACED.pattern[1:-1]}]+")
 BLOCK_ITEMS, BLOCK_CHARS = 5000, 4_000_000
+#: Words of the copies by which a size class's repetitions are chosen, about.
+COPY_WORDS = 200_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -69,11 +74,23 @@ def edit_distance_within(item: dict[int, int], n: int, window: list[int]) -> tup
     return best, end
 
 
+ONE = np.uint64(1)
+
+
+def random_bits(tokens: np.ndarray, seed: int, block: int) -> np.ndarray:
+    """64 bits for each word: whether the walk ``seed`` moves on from it at the steps of a block of 64. No table of steps and words is kept."""
+    with np.errstate(over="ignore"):
+        x = tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed + block * 0xD1342543DE82EF95) & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 @dataclass
 class Repetition:
-    """One walk of one size class: which bit moves on at (step, word), the sampled steps, where windows start, hashes and their windows."""
+    """One walk of one size class: the seed of its moves, the sampled steps, where windows start, hashes and their windows."""
 
-    moves: np.ndarray
+    seed: int
     samples: np.ndarray
     anchors: np.ndarray
     keys: np.ndarray
@@ -83,12 +100,16 @@ class Repetition:
         """The sampled words of the walks from the positions ``at``, as one number each."""
         spot, key, last = at.copy(), np.zeros(len(at), np.uint64), len(tokens) - 1
         wanted, until = set(self.samples.tolist()), int(self.samples[-1])
+        moves = np.zeros(0, np.uint64)
         for j in range(until + 1):
-            word = tokens[np.minimum(spot, last)]
+            if j % 64 == 0:
+                moves = random_bits(tokens, self.seed, j // 64)
+            here = np.minimum(spot, last)
+            word = tokens[here]
             if j in wanted:
                 key = (key ^ word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
-            spot += self.moves[j].take(word)
+            spot += ((moves[here] >> np.uint64(j % 64)) & ONE).astype(np.int64)
         return key
 
     def candidates(self, tokens: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -184,7 +205,8 @@ def build_index(items: list[tuple[int, str]], max_edits: float, min_words: int,
 def repetitions_of(own: list[int], coded: list[np.ndarray], size: int, length: np.ndarray, max_edits: float, target_recall: float, rng: np.random.Generator) -> tuple[list[Repetition], list[int]]:
     """(repetitions of the items ``own`` of one size class, those of them with copies that all miss)."""
     steps, n_words = 2 << size, len(length)
-    copies = [(i, edited(coded[i], max_edits, rng, n_words)) for i in own for _ in range(max(2, 400 // len(own)))]
+    few = max(2, min(400 // len(own), COPY_WORDS // (len(own) << size)))  # copies of each, fewer of long items
+    copies = [(i, edited(coded[i], max_edits, rng, n_words)) for i in own for _ in range(few)]
     inside = {i: max(1, len(coded[i]) - (1 << size) // 2) for i in own}
     offsets = {i: np.argsort(-length[coded[i][: inside[i]]], kind="stable") for i in own}
     out: list[Repetition] = []
@@ -192,7 +214,7 @@ def repetitions_of(own: list[int], coded: list[np.ndarray], size: int, length: n
     while len(out) < MAX_REPETITIONS and (len(out) < 4 or len(missing) > (1 - target_recall) * len(copies)):
         r = len(out)
         samples = np.concatenate([[0], np.sort(rng.choice(np.arange(1, steps), SAMPLES, replace=False, p=early(steps)))])
-        one = Repetition(rng.integers(0, 2, (steps, n_words), dtype=np.int64).astype(np.int8), samples, np.zeros(n_words, bool), np.zeros(0, np.uint64), [])
+        one = Repetition(int(rng.integers(1 << 63)), samples, np.zeros(n_words, bool), np.zeros(0, np.uint64), [])
         rows = []
         for i in own:
             o = int(offsets[i][r % len(offsets[i])])
@@ -213,32 +235,72 @@ def early(steps: int) -> np.ndarray:
 
 def edited(item: np.ndarray, rate: float, rng: np.random.Generator, n_words: int) -> np.ndarray:
     """A copy with ``rate`` of its words substituted, deleted or doubled, among other words of the vocabulary."""
-    out = item.tolist()
-    for _ in range(int(rate * len(item))):
-        at, what = int(rng.integers(len(out))), int(rng.integers(3))
-        out[at : at + 1] = [[int(rng.integers(n_words))], [], [out[at], int(rng.integers(n_words))]][what]
-        if not out:
-            break
-    return np.concatenate([rng.integers(0, n_words, 8), np.array(out, np.int64), rng.integers(0, n_words, len(item) + 8)])
-
-
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """Items by id in blocks of at most BLOCK_ITEMS items and about BLOCK_CHARS characters."""
-    block, chars = [], 0
+    places = np.sort(rng.integers(0, len(item), int(rate * len(item))))
+    parts, done = [rng.integers(0, n_words, 8)], 0
+    for at, what, other in zip(places.tolist(), rng.integers(3, size=len(places)).tolist(), rng.integers(0, n_words, len(places)).tolist(), strict=True):
+        parts.append(item[done : max(done, at)])
+        parts.append(np.array([[other], [], [item[at], other]][what], np.int64))
+        done = max(done, at + 1)
+    return np.concatenate([*parts, item[done:], rng.integers(0, n_words, len(item) + 8)])
+
+
+INDEXED = "block int, part int, payload binary"
+#: Bytes of a row of a stored index, and of the indexes that go to the executors at a time.
+PART, AT_ONCE = 1 << 24, 1 << 26
+
+
+def stored_indexes(benchmark: DataFrame, max_edits: float, min_words: int, target_recall: float, scratch: Scratch, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(block, part, payload): the indexes of all blocks, built by tasks and stored; items are dealt to blocks by their hash."""
     rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("t is not null")
-    for r in rows.orderBy("i", "t").toLocalIterator():
-        block.append((r.i, r.t))
-        chars += len(r.t)
-        if len(block) >= BLOCK_ITEMS or chars >= BLOCK_CHARS:
-            yield block
-            block, chars = [], 0
-    if block:
-        yield block
+    size = rows.agg(F.count("*").alias("items"), F.sum(F.length("t")).alias("chars")).first()
+    blocks = max(1, -(-size["items"] // BLOCK_ITEMS), -(-(size["chars"] or 0) // BLOCK_CHARS))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("int")).repartition(blocks, "block").sortWithinPartitions("block", "i", "t")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def built(block: int, items: list) -> Iterator[pa.RecordBatch]:
+            raw = pickle.dumps(plain(build_index(items, max_edits, min_words, target_recall)), protocol=5)
+            for k, a in enumerate(range(0, len(raw), PART)):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([k], pa.int32()), pa.array([raw[a : a + PART]], pa.binary())], ["block", "part", "payload"])
+
+        now, items = None, []
+        for blocks, ids, texts in text_rows(batches, "block", "i", "t"):
+            for block, i, t in zip(blocks, ids, texts, strict=True):
+                if block != now and items:
+                    yield from built(now, items)
+                    items = []
+                now = block
+                items.append((i, t))
+        if items:
+            yield from built(now, items)
+
+    return scratch.store(dealt.mapInArrow(build, INDEXED))
+
+
+def rounds_of(stored: DataFrame) -> Iterator[list[Index]]:
+    """Indexes of as many blocks as AT_ONCE bytes hold, one at least: what the driver and each executor have at a time."""
+    held, sizes = [], 0
+    for r in stored.groupBy("block").agg(F.sum(F.length("payload")).alias("n")).orderBy("block").collect():  # two numbers a block
+        if held and sizes + r.n > AT_ONCE:
+            yield loaded(stored, held)
+            held, sizes = [], 0
+        held.append(r.block)
+        sizes += r.n
+    if held:
+        yield loaded(stored, held)
+
+
+def loaded(stored: DataFrame, blocks: list[int]) -> list[Index]:
+    rows = stored.where(F.col("block").isin(blocks)).orderBy("block", "part").collect()
+    return [from_plain(pickle.loads(b"".join(r.payload for r in rows if r.block == b))) for b in blocks]  # noqa: S301  our own table
+
+
+def plain(index: Index) -> tuple:
+    """The index as arrays, lists and dictionaries, to be stored."""
+    return (index.item_ids, index.words, index.vocabulary, [(r.seed, r.samples, r.anchors, r.keys, r.places) for r in index.repetitions], index.pieces, index.piece_words, index.slack)
 
 
-def indexes(benchmark: DataFrame, max_edits: float, min_words: int, target_recall: float, item_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    for block in blocks_of(benchmark, item_col, text_col):
-        yield build_index(block, max_edits, min_words, target_recall)
+def from_plain(x: tuple) -> Index:
+    return Index(*x[:3], [Repetition(*r) for r in x[3]], *x[4:])
 
 
 def find(df: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, min_words: int = 8, target_recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -247,24 +309,31 @@ def find(df: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, min_words:
     ``distance`` is the least word edit distance found; ``end_word`` counts the words up to the end
     of that stretch. Null and empty texts hold nothing; items with fewer than ``min_words`` words
     must stand there word by word, as similar phrases occur by chance; items without a word are in
-    no text. Items with one text under several ids are found under each. Rows of documents may
-    repeat, and come back as often; very long texts are searched whole; other columns are not read;
+    no text. Very long items are indexed and verified whole, in time that grows with the square of
+    their words. Items with one text under several ids are found under each; of stretches at one
+    distance the first counts. Rows of documents may repeat, and come back as often; very long texts are searched whole; other columns are not read;
     an empty table on either side gives an empty result.
     """
-    docs = documents_of(df, id_col, text_col)
+    docs, scratch = documents_of(df, id_col, text_col), Scratch(df.sparkSession)
     schema = "doc_id long, item_id long, distance int, item_words int, end_word int"
 
-    def searched(index: Index) -> Callable:
+    def searched(held: Broadcast) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, texts in text_rows(batches, "doc_id", "text"):
-                rows = [(d, index.item_ids[i], k, len(index.words[i]), end) for d, t in zip(ids, texts, strict=True) for i, (k, end) in sorted(index.matches(t).items())]
+                rows = [(d, index.item_ids[i], k, len(index.words[i]), end) for d, t in zip(ids, texts, strict=True) for index in held.value for i, (k, end) in sorted(index.matches(t).items())]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], ["doc_id", "item_id", "distance", "item_words", "end_word"])
 
         return run
 
-    found = [docs.mapInArrow(searched(i), schema) for i in indexes(benchmark, max_edits, min_words, target_recall, item_col)]
-    return reduce(DataFrame.unionAll, found) if found else df.sparkSession.createDataFrame([], schema)
+    stored, found = stored_indexes(benchmark, max_edits, min_words, target_recall, scratch, item_col), []
+    for held in rounds_of(stored):
+        sent = df.sparkSession.sparkContext.broadcast(held)
+        found.append(scratch.store(docs.mapInArrow(searched(sent), schema)))
+        sent.unpersist()
+    if not found:
+        return df.sparkSession.createDataFrame([], schema)
+    return scratch.last(reduce(DataFrame.unionAll, found)) if len(found) > 1 else scratch.only(found[0])
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, min_words: int = 8, target_recall: float = 0.95, text_col: str = "text") -> DataFrame:
@@ -274,18 +343,24 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, max_edits: float = 0.
     empty table on either side changes nothing.
     """
 
-    def kept(index: Index) -> Callable:
+    def kept(held: Broadcast) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
                     texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-                    yield part.filter(pa.array([not index.matches(t) for t in texts], pa.bool_()))
+                    yield part.filter(pa.array([not any(index.matches(t) for index in held.value) for t in texts], pa.bool_()))
             give_back()
 
         return run
 
     small_batches(df.sparkSession)
-    for index in indexes(benchmark, max_edits, min_words, target_recall):
-        df = df.mapInArrow(kept(index), df.schema)
+    stored = stored_indexes(benchmark, max_edits, min_words, target_recall, Scratch(df.sparkSession))
+    before = None
+    for held in rounds_of(stored):
+        if before is not None:
+            df = store(df)
+            before.unpersist()
+        before = df.sparkSession.sparkContext.broadcast(held)
+        df = df.mapInArrow(kept(before), df.schema)
     return df
