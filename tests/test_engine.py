@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell import compat, errors
 from tracewell.functions import kernels as K
-from tracewell.operators import metrics, models, quantize, rank, stats
+from tracewell.operators import metrics, models, quantize, rank, shared, stats
 from tracewell.plans.graph import parse
 from tracewell.plans.propagation import Beliefs, infer
 from tracewell.sources import traces as sources
@@ -138,7 +138,7 @@ def test_lda_scatter_probabilities_and_selection(spark):
         cov = s_w / (len(x) - 4)
         d = np.stack([np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(cov), z - m) for m in mus], axis=1)
         want = models.softmax(-0.5 * d)
-        np.testing.assert_allclose(models.lda_solve([acc.states[v]], len(p))[0].probabilities(x), want, atol=1e-8)
+        np.testing.assert_allclose(shared.lda_models(shared.lda_solve(acc.state, len(p)).where(f"var = {v}"))[0].probabilities(x), want, atol=1e-8)
     lda = compat.Lda(acc, 2)
     w = lda.models[0].w
     np.testing.assert_allclose(w @ (acc.get_sw()[0] / (len(x) - 4)) @ w.T, np.eye(2), atol=1e-8)
@@ -147,8 +147,7 @@ def test_lda_scatter_probabilities_and_selection(spark):
     np.testing.assert_allclose(lda.predict_log2_proba_class(x, y)[1], np.log2(p[1][np.arange(len(x)), y[:, 1]]))
     rows = lda.predict_table(compat.as_traces(x, y)).where("var = 1").orderBy("trace_id").collect()
     np.testing.assert_allclose([r["value"] for r in rows], p[1])
-    again = models.models_from(models.model_table(spark, lda.models))
-    np.testing.assert_allclose(again[0].probabilities(x), p[0])
+    np.testing.assert_allclose(lda.models[0].probabilities(x), p[0])
     with pytest.raises(errors.ShapeError):
         compat.Lda(acc, 9)
     with pytest.raises(errors.EmptyClassError):

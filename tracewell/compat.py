@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import ShapeError
-from .operators import metrics, models, quantize, rank, stats
+from .operators import metrics, models, quantize, rank, shared, stats
 from .plans.graph import Graph, parse
 from .plans.propagation import Beliefs
 from .sources import traces as sources
@@ -197,46 +197,83 @@ class MTtest(_Fitted):
 
 
 class LdaAcc:
+    """The state is a stored table; scatter matrices and means are made by variable when asked for."""
+
     def __init__(self, nc: int, pois: list[list[int]]):
-        self.nc, self.pois, self.states = nc, [list(map(int, p)) for p in pois], None
+        self.nc, self.pois, self.state = nc, [list(map(int, p)) for p in pois], None
 
     def fit_u(self, traces, x=None):
         t = as_traces(traces, x)
-        if sources.shape(t)[2] != len(self.pois):
+        _, ns, nv = sources.shape(t)
+        if nv != len(self.pois):
             raise ShapeError("one label for each list of points")
-        new = models.lda_states(t, self.nc, self.pois)
-        self.states = new if self.states is None else [a.merge(b) for a, b in zip(self.states, new, strict=True)]
+        if max((max(p, default=0) for p in self.pois), default=0) >= ns:
+            raise ShapeError("a point of interest is out of bounds")
+        sources.check_classes(t, self.nc)
+        new = shared.lda_state(t, self.nc, self.pois)
+        self.state = _replaced(self.state, new if self.state is None else shared.merge_states(self.state, new))
         return self
 
+    def _matrices(self, name: str) -> list[np.ndarray]:
+        return [np.array(r[name]) for r in shared.collected(shared.lda_matrices(self.state).select("var", name, "error"))]
+
     def get_sw(self):
-        return [s.within() for s in self.states]
+        return self._matrices("s_w")
 
     def get_sb(self):
-        return [s.between() for s in self.states]
+        return self._matrices("s_b")
 
     def get_mus(self):
-        return [s.means() for s in self.states]
+        return self._matrices("mus")
+
+    def save(self, path: str) -> None:
+        sources.save_state(self.state, path)
+
+    @classmethod
+    def load(cls, path: str) -> LdaAcc:
+        state = sources.load_state(session(), path)
+        points = state.where("kind = 'points'").orderBy("a").collect()
+        acc = cls(points[0].b if points else 0, [r.v for r in points])
+        acc.state = store(state)
+        return acc
 
 
 class Lda:
-    def __init__(self, acc: LdaAcc | None, p: int = 1, solved: list | None = None):
-        self.models = solved if solved is not None else models.lda_solve(acc.states, p)
+    """Solved models as a stored table of a row for each variable; prediction reads it and runs over the traces' batches."""
+
+    def __init__(self, acc: LdaAcc | None, p: int = 1, table: DataFrame | None = None):
+        self.table = table if table is not None else store(shared.lda_solve(acc.state, p))
+        self.models = shared.lda_models(self.table)
+
+    def _by_var(self, rows: DataFrame) -> list[np.ndarray]:
+        """One array a variable, traces in order."""
+        out: dict[int, list] = {v: [] for v in range(len(self.models))}
+        for r in rows.orderBy("var", "trace_id").toLocalIterator():
+            out[r["var"]].append(r["value"])
+        return [np.array(v) for v in out.values()]
 
     def predict_proba(self, traces) -> np.ndarray:
-        return np.stack([m.probabilities(np.asarray(traces)) for m in self.models])
+        return np.stack(self._by_var(models.lda_predict(as_traces(traces), self.models)))
 
-    def predict_log2_proba_class(self, traces, x) -> np.ndarray:
-        return np.stack([m.log2_of(np.asarray(traces), np.asarray(x)[:, v]) for v, m in enumerate(self.models)])
+    def predict_log2_proba_class(self, traces, x=None) -> np.ndarray:
+        return np.stack(self._by_var(models.lda_log2(as_traces(traces, x), self.models)))
 
     def project(self, traces) -> list[np.ndarray]:
-        return [m.project(np.asarray(traces)) for m in self.models]
+        return self._by_var(models.lda_project(as_traces(traces), self.models))
 
     def select_vars(self, chosen: list[int]) -> Lda:
-        return Lda(None, solved=models.select_vars(self.models, chosen))
+        return Lda(None, table=store(shared.selected(self.table, chosen)))
 
     def predict_table(self, traces: DataFrame) -> DataFrame:
         return models.lda_predict(traces, self.models)
 
+    def save(self, path: str) -> None:
+        sources.save_state(self.table, path)
+
+    @classmethod
+    def load(cls, path: str) -> Lda:
+        return cls(None, table=sources.load_state(session(), path))
+
 
 class LDAClassifier:
     """Deprecated: one variable over all samples; use LdaAcc and Lda."""
@@ -297,17 +334,33 @@ class MultiLDA:
 
 class RLDAClassifier:
     def __init__(self, nb: int, p: int):
-        self.nb, self.p, self.state, self.solved = nb, p, None, None
+        self.nb, self.p, self.state, self.table, self.solved = nb, p, None, None, None
 
     def fit_u(self, traces, x=None, gemm_mode: int = 1):
-        new = models.rlda_state(as_traces(traces, x, np.uint64), self.nb)
-        self.state = new if self.state is None else self.state.merge(new)
+        new = shared.rlda_state(as_traces(traces, x, np.uint64), self.nb)
+        self.state = _replaced(self.state, new if self.state is None else shared.merge_states(self.state, new))
         return self
 
     def solve(self):
-        self.solved = self.state.solve(self.p)
+        self.table = store(shared.rlda_solve(self.state, self.p))
+        self.solved = shared.rlda_models(self.table)
         return self
 
+    def save(self, path: str) -> None:
+        """The state and, where solved, the models."""
+        sources.save_state(self.state, f"{path}/state")
+        if self.table is not None:
+            sources.save_state(self.table, f"{path}/models")
+
+    @classmethod
+    def load(cls, path: str, nb: int, p: int, solved: bool = True) -> RLDAClassifier:
+        new = cls(nb, p)
+        new.state = store(sources.load_state(session(), f"{path}/state"))
+        if solved:
+            new.table = sources.load_state(session(), f"{path}/models")
+            new.solved = shared.rlda_models(new.table)
+        return new
+
     def get_proj(self):
         return np.stack([m.proj for m in self.solved])
 
@@ -315,7 +368,8 @@ class RLDAClassifier:
         return np.stack([m.coefs for m in self.solved])
 
     def predict_proba(self, traces, var: int):
-        return self.solved[var].probabilities(np.asarray(traces))
+        rows = models.rlda_predict(as_traces(traces), self.solved[var], var).orderBy("trace_id").toLocalIterator()
+        return np.array([r["value"] for r in rows])
 
     def get_clustered_model(self, var: int, t: float, max_clusters: int = 10_000_000, store_associated_classes: bool = True):
         return self.solved[var].clustered(session(), t, max_clusters, store_associated_classes)

@@ -1,8 +1,8 @@
 """Gaussian models of traces: linear discriminants and regression on label bits.
 
-States are sums that merge (class sums and a pair scatter; normal equations). Solving takes one
-variable's small matrices at a time; a solved model is one row a variable, small enough to send to
-every executor, where prediction is dense NumPy over Arrow batches.
+States are sums that merge (class sums and a pair scatter; normal equations); ``shared`` keeps them
+as tables and solves each variable's matrices in a group of its own. A solved model is one row a
+variable, small enough to send to every executor, where prediction is dense NumPy over Arrow batches.
 """
 
 from __future__ import annotations
@@ -31,12 +31,33 @@ def lower_factor(c: np.ndarray) -> np.ndarray:
         raise SingularError("the within-class covariance is singular; add traces or drop constant samples") from e
 
 
-def top_directions(s_b: np.ndarray, cov: np.ndarray, p: int) -> np.ndarray:
-    """(p, samples): the p greatest generalised eigenvectors, with W cov W^T = I and each row's largest entry positive."""
+def eigenpairs(s_b: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values descending, rows W) of all generalised eigenpairs, with W cov W^T = I."""
     low = lower_factor(cov)
     inner = np.linalg.solve(low, np.linalg.solve(low, s_b).T)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
-    w = np.linalg.solve(low.T, vectors[:, np.argsort(-values, kind="stable")[:p]]).T
+    order = np.argsort(-values, kind="stable")
+    return values[order], np.linalg.solve(low.T, vectors[:, order]).T
+
+
+def top_directions(factor: np.ndarray, cov: np.ndarray, p: int) -> np.ndarray:
+    """(p, samples): the p greatest generalised eigenvectors of S_B = factor^T factor, with W cov W^T = I and each row's largest entry positive.
+
+    ``factor`` has a row for each class or bit. With fewer rows than samples only a problem of its
+    rows is decomposed: the eigenvectors of factor cov^-1 factor^T give those of S_B. Directions
+    beyond its rank need the full decomposition.
+    """
+    w = None
+    if len(factor) < len(cov):
+        lower_factor(cov)  # is positive definite
+        inner = np.linalg.solve(cov, factor.T)
+        small = factor @ inner
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        values, vectors = values[::-1][:p], vectors[:, ::-1][:, :p]
+        if len(values) == p and values[-1] > 1e-9 * values[0]:
+            w = ((inner @ vectors) / np.sqrt(values)).T
+    if w is None:
+        w = eigenpairs(factor.T @ factor, cov)[1][:p]
     return w * np.sign(w[np.arange(len(w)), np.abs(w).argmax(axis=1)])[:, None]
 
 
@@ -71,13 +92,17 @@ class LdaState:
         with np.errstate(divide="ignore", invalid="ignore"):
             return self.sums / self.counts[:, None]
 
-    def between(self) -> np.ndarray:
+    def factor(self) -> np.ndarray:
+        """(nc, points): a row for each class, whose products sum to the scatter between classes."""
         d = self.sums - self.counts[:, None] * (self.sums.sum(axis=0) / self.n)
-        return (d / np.maximum(self.counts, 1)[:, None]).T @ d
+        return d / np.sqrt(np.maximum(self.counts, 1))[:, None]
+
+    def between(self) -> np.ndarray:
+        return self.factor().T @ self.factor()
 
     def within(self) -> np.ndarray:
-        s = self.sums.sum(axis=0).astype(float)
-        return self.scatter - np.outer(s, s) / self.n - self.between()
+        s = self.sums.sum(axis=0).astype(np.longdouble)  # whole sums may need more than 53 bits before they cancel
+        return (self.scatter.astype(np.longdouble) - np.outer(s, s) / self.n).astype(float) - self.between()
 
     def solve(self, p: int) -> LdaModel:
         if (self.counts == 0).any():
@@ -87,7 +112,7 @@ class LdaState:
         if self.n <= self.nc:
             raise SingularError("more traces than classes are needed")
         cov = self.within() / (self.n - self.nc)
-        w = top_directions(self.between(), cov, p) if p < len(self.points) else whitening(cov)
+        w = top_directions(self.factor(), cov, p) if p < len(self.points) else whitening(cov)
         omega = self.means() @ w.T
         return LdaModel(self.nc, self.points, w, omega, -0.5 * (omega**2).sum(axis=1))
 
@@ -120,57 +145,6 @@ def softmax(s: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-STATE_ROWS = "var int, part string, i int, v array<double>, n long"
-
-
-def lda_states(traces: DataFrame, nc: int, points: list[list[int]]) -> list[LdaState]:
-    """One state a variable: each task sends one row for each class and point, which are summed by key.
-
-    The result is small (classes plus points squared a variable) and is what reaches the driver.
-    """
-    cut = traces.select(F.col("samples").cast("array<long>").alias("samples"), F.col("labels").cast("array<int>").alias("labels"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.zeros(nc, np.int64), np.zeros((nc, len(p))), np.zeros((len(p), len(p)))) for p in points]
-        some = False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            some = True
-            x, y = matrix_of(batch, "samples"), matrix_of(batch, "labels")
-            if max((max(p, default=0) for p in points), default=0) >= x.shape[1]:
-                raise ShapeError("a point of interest is out of bounds")
-            if y.min() < 0 or y.max() >= nc:
-                raise ShapeError("a label is out of bounds")
-            for var, p in enumerate(points):
-                v = x[:, p].astype(float)
-                held[var][0][:] += np.bincount(y[:, var], minlength=nc)
-                np.add.at(held[var][1], y[:, var], v)
-                held[var][2][:] += v.T @ v
-        rows = []
-        for var, (counts, sums, scatter) in enumerate(held if some else []):
-            rows += [(var, "sums", c, sums[c].tolist(), int(counts[c])) for c in np.flatnonzero(counts).tolist()]
-            rows += [(var, "scatter", i, scatter[i].tolist(), 0) for i in range(len(scatter))]
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, [pa.int32(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.int64()], strict=True)], ["var", "part", "i", "v", "n"])
-
-    parts = cut.mapInArrow(run, STATE_ROWS)
-    summed = parts.select("var", "part", "i", "n", F.posexplode("v").alias("j", "x")).groupBy("var", "part", "i", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
-    states = [LdaState(nc, tuple(p), np.zeros(nc, np.int64), np.zeros((nc, len(p))), np.zeros((len(p), len(p)))) for p in points]
-    for r in summed:
-        s = states[r["var"]]
-        if r["part"] == "sums":
-            s.sums[r["i"], r["j"]] = r["x"]
-            s.counts[r["i"]] = r["n"]
-        else:
-            s.scatter[r["i"], r["j"]] = r["x"]
-    return states
-
-
-def lda_solve(states: list[LdaState], p: int) -> list[LdaModel]:
-    return [s.solve(p) for s in states]
-
-
 def select_vars(models: list, chosen: list[int]) -> list:
     """The chosen variables' models in the given order, repeats allowed."""
     return [models[v] for v in chosen]
@@ -205,16 +179,6 @@ def lda_log2(traces: DataFrame, models: list[LdaModel]) -> DataFrame:
     return per_trace(traces, "double", lambda x, y: [(v, m.log2_of(x, y[:, v])) for v, m in enumerate(models)])
 
 
-def model_table(spark: SparkSession, models: list[LdaModel]) -> DataFrame:
-    """Solved models as rows, for Parquet."""
-    rows = [(v, m.nc, list(m.points), m.w.tolist(), m.omega.tolist(), m.pk.tolist()) for v, m in enumerate(models)]
-    return spark.createDataFrame(rows, "var int, nc int, points array<int>, w array<array<double>>, omega array<array<double>>, pk array<double>")
-
-
-def models_from(table: DataFrame) -> list[LdaModel]:
-    return [LdaModel(r.nc, tuple(r.points), np.array(r.w), np.array(r.omega), np.array(r.pk)) for r in table.orderBy("var").collect()]
-
-
 def bits_of(y: np.ndarray, nb: int) -> np.ndarray:
     """(n, nb + 1): an intercept, then bits as -1 and 1."""
     b = 2.0 * ((y[:, None].astype(np.int64) >> np.arange(nb)) & 1) - 1
@@ -243,14 +207,14 @@ class RldaState:
             raise EmptyClassError("a bit is constant")
         low = lower_factor(xtx)
         coefs = np.linalg.solve(low.T, np.linalg.solve(low, xty))
-        mu = xtx[0] @ coefs / n
         model = coefs.T @ xtx @ coefs
-        s_b = model - n * np.outer(mu, mu)
+        values, vectors = np.linalg.eigh(xtx - np.outer(xtx[0], xtx[0]) / n)
+        factor = (vectors * np.sqrt(np.maximum(values, 0))).T @ coefs  # its products are the scatter between classes
         s_w = self.scatter + model - xty.T @ coefs - coefs.T @ xty
         ns = xty.shape[1]
         if p > ns:
             raise ShapeError("more dimensions than samples")
-        direction = np.eye(ns) if p == ns else top_directions(s_b, s_w, p)
+        direction = np.eye(ns) if p == ns else top_directions(factor, s_w, p)
         proj = whitening(direction @ s_w @ direction.T / n) @ direction
         return RldaModel(self.nb, proj, proj @ coefs.T)
 
@@ -404,44 +368,6 @@ class ClusteredModel:
 PAIRS, VANISH = 1 << 22, 750.0
 
 
-def rlda_state(traces: DataFrame, nb: int) -> RldaState:
-    """Normal equations over all traces; each task sends its matrices as rows that are summed by key."""
-    cut = traces.select(F.col("samples").cast("array<long>").alias("samples"), F.col("labels").cast("array<long>").alias("labels"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        xtx = xty = scatter = None
-        n = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = matrix_of(batch, "samples").astype(float), matrix_of(batch, "labels")
-            bits = np.stack([bits_of(y[:, v], nb) for v in range(y.shape[1])])
-            new = (np.einsum("vni,vnj->vij", bits, bits), np.einsum("vni,ns->vis", bits, x), x.T @ x)
-            xtx, xty, scatter = new if xtx is None else (xtx + new[0], xty + new[1], scatter + new[2])
-            n += batch.num_rows
-        rows = []
-        if n:
-            rows = [(v, "xtx", i, r.tolist(), n) for v, m in enumerate(xtx) for i, r in enumerate(m)]
-            rows += [(v, "xty", i, r.tolist(), 0) for v, m in enumerate(xty) for i, r in enumerate(m)]
-            rows += [(0, "scatter", i, r.tolist(), 0) for i, r in enumerate(scatter)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, [pa.int32(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.int64()], strict=True)], ["var", "part", "i", "v", "n"])
-
-    rows = cut.mapInArrow(run, STATE_ROWS).select("var", "part", "i", "n", F.posexplode("v").alias("j", "x")).groupBy("var", "part", "i", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
-    if not rows:
-        raise ShapeError("no trace")
-    of = {k: [r for r in rows if r["part"] == k] for k in ("xtx", "xty", "scatter")}
-    nv, ns = 1 + max(r["var"] for r in of["xtx"]), 1 + max(r["j"] for r in of["xty"])
-    state = RldaState(nb, of["xtx"][0]["n"], np.zeros((nv, nb + 1, nb + 1)), np.zeros((nv, nb + 1, ns)), np.zeros((ns, ns)))
-    for r in of["xtx"]:
-        state.xtx[r["var"], r["i"], r["j"]] = r["x"]
-    for r in of["xty"]:
-        state.xty[r["var"], r["i"], r["j"]] = r["x"]
-    for r in of["scatter"]:
-        state.scatter[r["i"], r["j"]] = r["x"]
-    return state
-
-
 def rlda_predict(traces: DataFrame, model: RldaModel, var: int = 0) -> DataFrame:
     return per_trace(traces, "array<double>", lambda x, y: [(var, model.probabilities(x))])
 

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
-from .operators import metrics, models, quantize, rank, stats
+from .operators import metrics, models, quantize, rank, shared, stats
 from .plans.graph import parse
 from .plans.propagation import checked_rows, infer
 from .sources import traces as sources
-from .sources.scratch import scratch_dir
+from .sources.scratch import scratch_dir, store
 from .streaming.accumulate import read_class_state, stream_class_state, windowed
 
 POINTS = [0, 5, 9, 17, 23, 40, 51, 63]
@@ -309,7 +309,8 @@ def lda_mus(spark, d):
 
 def solved(spark, d, p=3):
     t = traces_of(spark, d, nv=2)
-    return t, models.lda_solve([models.lda_states(t, 10, [POINTS, POINTS[::-1]])[0]], p)
+    table = shared.lda_solve(shared.lda_state(t, 10, [POINTS, POINTS[::-1]]), p)
+    return t, shared.lda_models(table.where("var = 0"))
 
 
 @query("lda_predict")
@@ -334,8 +335,8 @@ def lda_project_abs(spark, d):
 def lda_select_vars(spark, d):
     t = traces_of(spark, d)
     t = t.withColumn("labels", F.array(F.get("labels", F.lit(0)), F.get("labels", F.lit(0))))
-    m = models.lda_solve(models.lda_states(t, 10, [POINTS, POINTS[:4]]), 2)
-    return models.lda_predict(t, models.select_vars(m, [1, 0, 1]))
+    table = shared.lda_solve(shared.lda_state(t, 10, [POINTS, POINTS[:4]]), 2)
+    return models.lda_predict(t, shared.lda_models(shared.selected(table, [1, 0, 1])))
 
 
 BITS = "bits AS (SELECT vec_id, i, CASE WHEN i = 0 THEN 1 ELSE 2 * ((label >> (i - 1)) & 1) - 1 END AS b FROM embeddings, (SELECT unnest(range(5)) AS i))"
@@ -344,19 +345,17 @@ BITS = "bits AS (SELECT vec_id, i, CASE WHEN i = 0 THEN 1 ELSE 2 * ((label >> (i
 @query("rlda_xtx", f"WITH {BITS} SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, sum(a.b * b.b)::BIGINT AS s FROM bits a JOIN bits b USING (vec_id) GROUP BY a.i, b.i")
 def rlda_xtx(spark, d):
     """Normal equations: products of signed label bits."""
-    xtx = models.rlda_state(traces_of(spark, d), 4).xtx[0]
-    return spark.createDataFrame([(i, j, int(x)) for i, row in enumerate(xtx) for j, x in enumerate(row)], "i int, j int, s long")
+    return shared.rlda_state(traces_of(spark, d), 4).where("kind = 'bits'").select(F.col("b").alias("i"), F.posexplode("v").alias("j", "s"))
 
 
 @query("rlda_xty", f"WITH {LONG}, {BITS} SELECT i::INTEGER AS i, sample::INTEGER AS sample, sum(b * x)::BIGINT AS s FROM bits JOIN long USING (vec_id) GROUP BY i, sample")
 def rlda_xty(spark, d):
-    xty = models.rlda_state(traces_of(spark, d), 4).xty[0]
-    return spark.createDataFrame([(i, j, int(x)) for i, row in enumerate(xty) for j, x in enumerate(row)], "i int, sample int, s long")
+    return shared.rlda_state(traces_of(spark, d), 4).where("kind = 'cross'").select(F.col("b").alias("i"), F.posexplode("v").alias("sample", "s"))
 
 
 def regression(spark, d):
     t = traces_of(spark, d)
-    return t, models.rlda_state(t, 4).solve(3)[0]
+    return t, shared.rlda_models(shared.rlda_solve(shared.rlda_state(t, 4), 3))[0]
 
 
 @query("rlda_predict")
@@ -404,7 +403,49 @@ owned AS MATERIALIZED (SELECT a AS class_id, CASE WHEN a IN (SELECT class FROM l
 def few_points(spark, d):
     """The regression on three samples, all of which the projection keeps."""
     t, _ = sources.prune(traces_of(spark, d), [RLDA_POINTS])
-    return t, models.rlda_state(t, RLDA_BITS).solve(3)[0]
+    return t, shared.rlda_models(shared.rlda_solve(shared.rlda_state(t, RLDA_BITS), 3))[0]
+
+
+LDA_POINTS = [5, 17, 40]
+#: Models of as many dimensions as points: scores follow from distances in the metric of the scatter within classes, which SQL inverts.
+LDA_SCORED = f"""wide AS (SELECT vec_id, label, {", ".join(f"CAST(trunc(embedding[{p + 1}]::DOUBLE * 4096) AS BIGINT) AS x{k}" for k, p in enumerate(LDA_POINTS))} FROM embeddings),
+classes AS MATERIALIZED (SELECT label AS class, count(*)::DOUBLE AS nc, {", ".join(f"avg(x{s}) AS m{s}" for s in range(3))}, {", ".join(f"sum(x{s} * x{t})::DOUBLE AS q{s}{t}" for s in range(3) for t in range(s + 1))} FROM wide GROUP BY label),
+inside AS (SELECT {", ".join(f"sum(q{s}{t} - nc * m{s} * m{t}) / (sum(nc) - count(*)) AS a{s}{t}" for s in range(3) for t in range(s + 1))} FROM classes),
+metric AS MATERIALIZED (SELECT *, {", ".join(inverse_sql(3, "h"))} FROM inside),
+means AS MATERIALIZED (SELECT class, m0, m1, m2, {", ".join(f"h{s}{t}" for s in range(3) for t in range(s + 1))} FROM classes, metric),
+scored AS MATERIALIZED (SELECT w.vec_id, w.label, m.class, {quadratic("w", "m", "x", "m")} AS d FROM wide AS w, means AS m)"""
+
+
+def kept_model(spark, d):
+    """A state of two batches, merged, stored and read again, solved by groups; the models stored and read again too."""
+    t = traces_of(spark, d)
+    parts = [shared.lda_state(t.where(F.col("trace_id") % 2 == k), 10, [LDA_POINTS]) for k in (0, 1)]
+    return t, shared.lda_models(store(shared.lda_solve(store(shared.merge_states(*parts)), 3)))
+
+
+@query("lda_predict_points", f"WITH {LDA_SCORED} SELECT vec_id AS trace_id, class::INTEGER AS class, round(exp(-0.5 * d) / sum(exp(-0.5 * d)) OVER (PARTITION BY vec_id), 6) AS p FROM scored")
+def lda_predict_points(spark, d):
+    return models.lda_predict(*kept_model(spark, d)).select("trace_id", F.posexplode("value").alias("class", "p")).withColumn("p", F.round("p", 6))
+
+
+@query("lda_log2p_points", f"WITH {LDA_SCORED}, p AS (SELECT vec_id, label, class, log2(exp(-0.5 * d) / sum(exp(-0.5 * d)) OVER (PARTITION BY vec_id)) AS l FROM scored) SELECT vec_id AS trace_id, round(l, 5) AS l FROM p WHERE class = label")
+def lda_log2p_points(spark, d):
+    return models.lda_log2(*kept_model(spark, d)).select("trace_id", F.round("value", 5).alias("l"))
+
+
+@query("lda_project_norm", f"WITH {LDA_SCORED} SELECT w.vec_id AS trace_id, round({quadratic('w', 'm', 'x', 'zero')}, 5) AS norm FROM wide AS w, metric AS m".replace("m.zero0", "0").replace("m.zero1", "0").replace("m.zero2", "0"))
+def lda_project_norm(spark, d):
+    """Squared lengths of projections, which do not depend on the directions' signs or order."""
+    return models.lda_project(*kept_model(spark, d)).select("trace_id", F.round(F.aggregate("value", F.lit(0.0), lambda a, x: a + x * x), 5).alias("norm"))
+
+
+@query("shared_scatter", f"WITH {PAIRS} SELECT var, i::INTEGER AS i, j::INTEGER AS j, n, sxy::BIGINT AS sxy FROM pairs, (VALUES (0, 8), (1, 5)) AS v(var, size) WHERE j < size")
+def shared_scatter(spark, d):
+    """Sums of products of two variables' points, gathered from the tiles that both share."""
+    state = shared.lda_state(traces_of(spark, d, nv=2), 10, [POINTS, POINTS[:5]])
+    tiles = shared.by_variable(state).where("kind = 'tile'")
+    flat = tiles.select("var", "n", F.explode(F.arrays_zip(F.flatten(F.transform("i", lambda i: F.transform("j", lambda j: F.struct(i.alias("i"), j.alias("j"))))).alias("at"), F.col("v"))).alias("e"))
+    return flat.select("var", F.least("e.at.i", "e.at.j").alias("i"), F.greatest("e.at.i", "e.at.j").alias("j"), "n", F.col("e.v").alias("sxy")).distinct()
 
 
 @query("rlda_predict_points", f"WITH {SCORED} SELECT vec_id AS trace_id, class::INTEGER AS class, round(exp(-0.5 * d) / sum(exp(-0.5 * d)) OVER (PARTITION BY vec_id), 6) AS p FROM scored")
