@@ -15,7 +15,7 @@ from .plans.graph import parse
 from .plans.propagation import checked_rows, infer
 from .sources import traces as sources
 from .sources.scratch import scratch_dir, store
-from .streaming.accumulate import read_class_state, stream_class_state, windowed
+from .streaming.accumulate import read_class_state, read_moments, stream_class_state, stream_moments, windowed
 
 POINTS = [0, 5, 9, 17, 23, 40, 51, 63]
 TUPLES2 = [[i, i + 1] for i in range(0, 62, 3)]
@@ -683,15 +683,26 @@ def simulated_snr(spark, d):
     return metrics.snr(stats.class_state(sources.simulated(spark, 5000, ns=8)))
 
 
+def embeddings_stream(spark, d):
+    """A table is a file here and a folder elsewhere; as a stream both are files that a pattern finds."""
+    schema = read(spark, d, "embeddings").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d}/embeddings.parquet*")
+
+
+@query("stream_moments_keyed", ttest_sql(GROUPED, 2))
+def stream_moments_keyed(spark, d):
+    """Moments by group and sample kept by a stream, one row a key, and the second-order statistic from them."""
+    base = scratch_dir(spark)
+    rows = embeddings_stream(spark, d).select((F.col("label") % 2).cast("int").alias("grp"), F.posexplode("embedding").alias("sample", "e")).select("grp", "sample", (F.col("e").cast("double") * 4096).cast("long").cast("double").alias("x"))
+    stream_moments(rows, 4, f"{base}/state", f"{base}/checkpoint").awaitTermination()
+    return metrics.ttest(read_moments(spark, f"{base}/state"), 2).where(F.col("order") == 2).withColumn("t", F.round("t", 5))
+
+
 @query("stream_snr_equals_batch", f"WITH {SNR} SELECT var, sample::INTEGER AS sample, snr FROM snr")
 def stream_snr_equals_batch(spark, d):
     """Embeddings replayed as a stream of micro-batches into the state table, then read out."""
     base = scratch_dir(spark)
-    path = os.path.join(d, "embeddings.parquet")
-    schema = spark.read.parquet(path).schema
-    # a table is a file here and a folder elsewhere; as a stream both are files that a pattern finds
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d}/embeddings.parquet*")
-    labels = stream.select(F.col("vec_id").alias("trace_id"), F.transform("embedding", lambda x: (x.cast("double") * 4096).cast("long")).alias("samples"), F.array("label").alias("labels"))
+    labels = embeddings_stream(spark, d).select(F.col("vec_id").alias("trace_id"), F.transform("embedding", lambda x: (x.cast("double") * 4096).cast("long")).alias("samples"), F.array("label").alias("labels"))
     stream_class_state(labels, f"{base}/state", f"{base}/checkpoint").awaitTermination()
     return metrics.snr(read_class_state(spark, f"{base}/state")).withColumn("snr", F.round("snr", 6))
 
