@@ -7,13 +7,16 @@ number of value combinations that cost no more than the true one, so it starts a
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import RankError
+from ..sources.scratch import store
 
 SCALE_TO = 2.0**26
 MAX_BINS = 1 << 26
@@ -178,15 +181,161 @@ def rank_table(costs: DataFrame, truth: DataFrame, n_bins: int | None = None, ac
     return rows.groupBy("problem_id").applyInPandas(one, "problem_id long, least double, estimate double, greatest double")
 
 
-def relational_histogram_rank(costs: DataFrame, truth: DataFrame, subkeys: list[int], n_bins: int) -> DataFrame:
-    """(problem_id, least, estimate, greatest) by joins alone: bins are filtered before each convolution join, counts are exact."""
+def merge_groups(costs: DataFrame, max_len: int) -> DataFrame:
+    """(problem_id, subkey, grp, place, size): subkeys in order, as many in a group as keep its combinations at ``max_len`` or fewer, one at least.
+
+    A subkey's size is its greatest value plus one; sizes may differ. One row for each subkey of a
+    problem is gathered, no costs.
+    """
+    sizes = costs.groupBy("problem_id", "subkey").agg((F.max("value") + 1).cast("long").alias("size"))
+    lists = sizes.groupBy("problem_id").agg(F.sort_array(F.collect_list(F.struct("subkey", "size"))).alias("x"))
+    start = F.struct(F.lit(-1).alias("grp"), F.lit(0).alias("place"), F.lit(0).cast("decimal(38,0)").alias("product"), F.array().cast("array<struct<subkey:int,size:bigint,grp:int,place:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        joins = (a["grp"] >= 0) & (a["product"] * x["size"] <= max_len)
+        grp, place = F.when(joins, a["grp"]).otherwise(a["grp"] + 1), F.when(joins, a["place"] + 1).otherwise(0)
+        product = F.when(joins, (a["product"] * x["size"]).cast("decimal(38,0)")).otherwise(x["size"].cast("decimal(38,0)"))
+        row = F.struct(x["subkey"].cast("int").alias("subkey"), x["size"].alias("size"), grp.alias("grp"), place.alias("place"))
+        return F.struct(grp.alias("grp"), place.alias("place"), product.alias("product"), F.concat(a["out"], F.array(row)).alias("out"))
+
+    return lists.select("problem_id", F.explode(F.aggregate("x", start, step, lambda a: a["out"])).alias("g")).select("problem_id", "g.*")
+
+
+def auto_merge(costs: DataFrame, truth: DataFrame, max_len: int) -> tuple[DataFrame, DataFrame]:
+    """(costs, truth) with the subkeys of a group as one: sums of costs over all combinations, the first subkey most significant.
+
+    One join for each further subkey of a group; a group's rows are bounded by ``max_len``, which
+    also bounds what a problem's key multiplies.
+    """
+    groups = merge_groups(costs, max_len)
+    most = groups.agg(F.max("place")).first()[0] or 0
+    rows = costs.join(groups, ["problem_id", "subkey"])
+    keys = truth.join(groups, ["problem_id", "subkey"])
+    out, key = None, None
+    for place in range(most + 1):
+        own = rows.where(F.col("place") == place).select("problem_id", "grp", F.col("value").cast("long").alias("v"), F.col("cost").alias("c"), "size")
+        right = keys.where(F.col("place") == place).select("problem_id", "grp", F.col("value").cast("long").alias("v"), "size")
+        if out is None:
+            out, key = own.select("problem_id", "grp", F.col("v").alias("value"), F.col("c").alias("cost")), right.select("problem_id", "grp", F.col("v").alias("value"))
+        else:  # groups that end before this place stay as they are
+            out = out.join(own, ["problem_id", "grp"], "left").select("problem_id", "grp", F.coalesce(F.col("value") * F.col("size") + F.col("v"), F.col("value")).alias("value"), F.coalesce(F.col("cost") + F.col("c"), F.col("cost")).alias("cost"))
+            key = key.join(right, ["problem_id", "grp"], "left").select("problem_id", "grp", F.coalesce(F.col("value") * F.col("size") + F.col("v"), F.col("value")).alias("value"))
+    return out.withColumnRenamed("grp", "subkey"), key.withColumnRenamed("grp", "subkey")
+
+
+RANGE = "problem_id long, chunk long, at array<int>, c array<double>"
+#: Up to so many filled bins a range is convolved by shifting and adding, exactly; beyond, by Fourier transforms.
+SPARSE = 64
+
+
+def ranges_of(hist: DataFrame, width: int) -> DataFrame:
+    """(problem_id, chunk, at, c): bins cut into ranges of ``width``, as places within the range and counts."""
+    place = F.struct(F.pmod("bin", F.lit(width)).cast("int").alias("at"), F.col("c").cast("double").alias("c"))
+    rows = hist.groupBy("problem_id", F.expr(f"bin div {width}").alias("chunk")).agg(F.sort_array(F.collect_list(place)).alias("x"))  # at most ``width`` bins
+    return rows.select("problem_id", "chunk", F.transform("x", lambda e: e["at"]).alias("at"), F.transform("x", lambda e: e["c"]).alias("c"))
+
+
+def range_product(at: np.ndarray, c: np.ndarray, at2: np.ndarray, c2: np.ndarray, width: int) -> np.ndarray:
+    """The 2 ``width`` bins of two ranges' convolution. Fourier transforms are rounded to whole counts; their error is about 1e-16 times the sum of all products."""
+    if len(at) > len(at2):
+        at, c, at2, c2 = at2, c2, at, c
+    out = np.zeros(2 * width)
+    if len(at) <= SPARSE:
+        for shift, n in zip(at.tolist(), c.tolist(), strict=True):
+            out[at2 + shift] += n * c2
+        return out
+    dense = np.zeros((2, width))
+    dense[0, at], dense[1, at2] = c, c2
+    spectrum = np.fft.rfft(dense, 2 * width, axis=1)
+    return np.maximum(np.rint(np.fft.irfft(spectrum[0] * spectrum[1], 2 * width)), 0.0)
+
+
+def range_rows(problem: list, chunk: list, values: list[np.ndarray]) -> pa.RecordBatch:
+    filled = [np.flatnonzero(v).astype(np.int32) for v in values]
+    columns = [pa.array(problem, pa.int64()), pa.array(chunk, pa.int64()), pa.array(filled, pa.list_(pa.int32())), pa.array([v[f] for v, f in zip(values, filled, strict=True)], pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays(columns, ["problem_id", "chunk", "at", "c"])
+
+
+def convolved_ranges(a: DataFrame, b: DataFrame, n_bins: int, width: int) -> DataFrame:
+    """Ranges of the convolution of two histograms given as ranges, below ``n_bins``; a task holds a few ranges.
+
+    Pairs of ranges are convolved one by one; each gives a part of two ranges of the result
+    (overlap-add), and parts of a range are added as a stream.
+    """
+    last = -(-n_bins // width)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            problem, chunk = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for k in range(batch.num_rows):
+                own = [batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in range(2, 6)]
+                both = range_product(*own, width)
+                parts = [(chunk[k] + i, both[i * width : (i + 1) * width]) for i in (0, 1)]
+                parts = [(at, v) for at, v in parts if at < last and v.any()]
+                yield range_rows([problem[k]] * len(parts), [at for at, _ in parts], [v for _, v in parts])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(0)
+        for batch in batches:
+            for k, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key != now:
+                    if now:
+                        yield range_rows([now[0]], [now[1]], [total])
+                    now, total = key, np.zeros(width)
+                total[batch.column(2)[k].values.to_numpy(zero_copy_only=False)] += batch.column(3)[k].values.to_numpy(zero_copy_only=False)
+        if now:
+            yield range_rows([now[0]], [now[1]], [total])
+
+    right = b.select("problem_id", F.col("chunk").alias("chunk2"), F.col("at").alias("at2"), F.col("c").alias("c2"))
+    met = a.join(right, "problem_id").where(F.col("chunk") + F.col("chunk2") < last).repartition("problem_id", "chunk", "chunk2")
+    parts = met.select("problem_id", (F.col("chunk") + F.col("chunk2")).alias("chunk"), "at", "c", "at2", "c2").mapInArrow(pairs, RANGE)
+    return parts.repartition("problem_id", "chunk").sortWithinPartitions("problem_id", "chunk").mapInArrow(add, RANGE)
+
+
+def partitioned_histogram_rank(costs: DataFrame, truth: DataFrame, subkeys: list[int], n_bins: int, width: int = 1 << 18) -> DataFrame:
+    """(problem_id, least, estimate, greatest) for many bins: histograms are convolved in ranges of ``width`` bins.
+
+    Counts are exact up to 2^53 where a subkey fills few bins of a range, else rounded to 53 bits.
+    Joins on ``problem_id`` meet a problem's ranges with each other: n_bins / width of them a side.
+    """
+    hist, key, size, m = binned_costs(costs, truth, subkeys, n_bins)
+    hist = store(hist)
+    total = None
+    for k in subkeys:
+        own = ranges_of(hist.where(F.col("subkey") == k), width)
+        total = own if total is None else convolved_ranges(total, own, n_bins, width)
+    bins = total.select("problem_id", F.explode(F.arrays_zip(F.transform("at", lambda x: x + F.col("chunk") * width).alias("bin"), F.col("c"))).alias("e")).select("problem_id", "e.bin", "e.c")
+    return read_rank(bins, key, size, m, n_bins)
+
+
+def binned_costs(costs: DataFrame, truth: DataFrame, subkeys: list[int], n_bins: int) -> tuple[DataFrame, DataFrame, Column, int]:
+    """(problem_id, subkey, bin, c) below ``n_bins``, the true keys' costs, the bin size as a column of these, the number of subkeys."""
     m = len(subkeys)
     own = costs.where(F.col("subkey").isin(subkeys))
     shifted = own.join(own.groupBy("problem_id", "subkey").agg(F.min("cost").alias("low")), ["problem_id", "subkey"]).withColumn("cost", F.col("cost") - F.col("low")).drop("low")
     key = truth.join(shifted, ["problem_id", "subkey", "value"]).groupBy("problem_id").agg(ordered_sum().alias("key_cost"))
     size = F.col("key_cost") / (n_bins - math.ceil(m / 2) - 1)
     binned = shifted.join(key, "problem_id").withColumn("bin", F.floor(F.try_divide(F.col("cost"), size) + 0.5)).withColumn("bin", F.coalesce("bin", F.when(F.col("cost") == 0, 0)))
-    hist = binned.where(F.col("bin") < n_bins).groupBy("problem_id", "subkey", "bin").agg(F.count("*").cast("decimal(38,0)").alias("c"))
+    return binned.where(F.col("bin") < n_bins).groupBy("problem_id", "subkey", "bin").agg(F.count("*").cast("decimal(38,0)").alias("c")), key, size, m
+
+
+def read_rank(bins: DataFrame, key: DataFrame, size: Column, m: int, n_bins: int) -> DataFrame:
+    """Prefix sums of (problem_id, bin, c) around the true key's bin."""
+    at = F.coalesce(F.try_divide(F.col("key_cost"), size), F.lit(0.0))
+    cap = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(float(n_bins - 1)), x))
+    marked = bins.join(key, "problem_id").withColumns({"lo": cap(F.ceil(at - m / 2).cast("double")), "hi": cap(F.floor(at + m / 2).cast("double")), "mid": cap(F.floor(at + 0.5).cast("double")), "c": F.col("c").cast("double")})
+    up_to = lambda cond: F.sum(F.when(cond, F.col("c")).otherwise(0.0))
+    g = marked.groupBy("problem_id").agg((1 + up_to(F.col("bin") < F.col("lo"))).alias("least"), (up_to(F.col("bin") < F.col("mid")) + F.ceil(up_to(F.col("bin") == F.col("mid")) / 2)).alias("guess"), up_to(F.col("bin") <= F.col("hi")).alias("greatest"))
+    return g.select("problem_id", "least", F.greatest("least", "guess").alias("estimate"), F.greatest("least", "greatest").alias("greatest"))
+
+
+def relational_histogram_rank(costs: DataFrame, truth: DataFrame, subkeys: list[int], n_bins: int) -> DataFrame:
+    """(problem_id, least, estimate, greatest) by joins alone: bins are filtered before each convolution join, counts are exact.
+
+    The joins on ``problem_id`` multiply a problem's filled bins: for up to some ten thousand bins a
+    problem; ``partitioned_histogram_rank`` takes more.
+    """
+    hist, key, size, m = binned_costs(costs, truth, subkeys, n_bins)
     total = None
     for k in subkeys:
         part = hist.where(F.col("subkey") == k).select("problem_id", "bin", "c")
@@ -196,10 +345,15 @@ def relational_histogram_rank(costs: DataFrame, truth: DataFrame, subkeys: list[
             right = part.select("problem_id", F.col("bin").alias("b2"), F.col("c").alias("c2"))
             met = total.join(right, "problem_id").where(F.col("bin") + F.col("b2") < n_bins)
             total = met.groupBy("problem_id", (F.col("bin") + F.col("b2")).alias("bin")).agg(F.sum(F.col("c").cast("decimal(19,0)") * F.col("c2").cast("decimal(18,0)")).cast("decimal(38,0)").alias("c"))
-    at = F.coalesce(F.try_divide(F.col("key_cost"), size), F.lit(0.0))
-    cap = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(float(n_bins - 1)), x))
-    marked = total.join(key, "problem_id").withColumns({"lo": cap(F.ceil(at - m / 2).cast("double")), "hi": cap(F.floor(at + m / 2).cast("double")), "mid": cap(F.floor(at + 0.5).cast("double")), "c": F.col("c").cast("double")})
-    up_to = lambda cond: F.sum(F.when(cond, F.col("c")).otherwise(0.0))
-    g = marked.groupBy("problem_id").agg((1 + up_to(F.col("bin") < F.col("lo"))).alias("least"), (up_to(F.col("bin") < F.col("mid")) + F.ceil(up_to(F.col("bin") == F.col("mid")) / 2)).alias("guess"), up_to(F.col("bin") <= F.col("hi")).alias("greatest"))
-    return g.select("problem_id", "least", F.greatest("least", "guess").alias("estimate"), F.greatest("least", "greatest").alias("greatest"))
+    return read_rank(total, key, size, m, n_bins)
+
+
+def cumulative(hist: DataFrame, bin_col: str = "bin", count_col: str = "c", by: tuple[str, ...] = ()) -> DataFrame:
+    """A histogram with ``up_to``, the count of its bins so far; one row for each bin of a group is sorted."""
+    return hist.withColumn("up_to", F.sum(count_col).over(Window.partitionBy(*by).orderBy(bin_col)))
+
 
+def class_ranks(distributions: DataFrame, by: str = "exec", digits: int = 9) -> DataFrame:
+    """(by, class, rank) of rows (by, probs): each class's rank by descending probability, equal ones (to ``digits`` places) share the least."""
+    p = distributions.select(by, F.posexplode("probs").alias("class", "p"))
+    return p.select(by, "class", F.rank().over(Window.partitionBy(by).orderBy(F.desc(F.round("p", digits)))).alias("rank"))

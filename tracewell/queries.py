@@ -668,6 +668,41 @@ def rank_relational(spark, d):
     return rank.relational_histogram_rank(*costs_of(spark, d), [0, 1, 2], HIST_BINS)
 
 
+@query("rank_partitioned", RANK_SQL)
+def rank_partitioned(spark, d):
+    """Histograms convolved in ranges of sixteen bins."""
+    return rank.partitioned_histogram_rank(*costs_of(spark, d), [0, 1, 2], HIST_BINS, width=16)
+
+
+MERGED = 64
+
+
+@query(
+    "rank_auto_merge",
+    f"""WITH {COSTS}, sizes AS (SELECT subkey, max(value) + 1 AS size FROM costs GROUP BY subkey),
+s AS (SELECT max(size) FILTER (subkey = 0) AS s0, max(size) FILTER (subkey = 1) AS s1, max(size) FILTER (subkey = 2) AS s2 FROM sizes),
+g AS (SELECT s0, s1, s2, CASE WHEN s0 * s1 <= {MERGED} THEN 0 ELSE 1 END AS g1, CASE WHEN s0 * s1 <= {MERGED} THEN CASE WHEN s0 * s1 * s2 <= {MERGED} THEN 0 ELSE 1 END ELSE CASE WHEN s1 * s2 <= {MERGED} THEN 1 ELSE 2 END END AS g2 FROM s),
+c0 AS (SELECT value, cost, value = (SELECT value FROM truth WHERE subkey = 0) AS t FROM costs WHERE subkey = 0), c1 AS (SELECT value, cost, value = (SELECT value FROM truth WHERE subkey = 1) AS t FROM costs WHERE subkey = 1),
+c2 AS (SELECT value, cost, value = (SELECT value FROM truth WHERE subkey = 2) AS t FROM costs WHERE subkey = 2),
+m AS (SELECT 0 AS grp, c0.value, c0.cost, c0.t FROM c0, g WHERE g1 <> 0 UNION ALL SELECT 0, c0.value * s1 + c1.value, c0.cost + c1.cost, c0.t AND c1.t FROM c0, c1, g WHERE g1 = 0 AND g2 <> 0
+  UNION ALL SELECT 0, (c0.value * s1 + c1.value) * s2 + c2.value, c0.cost + c1.cost + c2.cost, c0.t AND c1.t AND c2.t FROM c0, c1, c2, g WHERE g2 = 0
+  UNION ALL SELECT 1, c1.value, c1.cost, c1.t FROM c1, g WHERE g1 = 1 AND g2 = 2 UNION ALL SELECT 1, c1.value * s2 + c2.value, c1.cost + c2.cost, c1.t AND c2.t FROM c1, c2, g WHERE g1 = 1 AND g2 = 1
+  UNION ALL SELECT g2, c2.value, c2.cost, c2.t FROM c2, g WHERE g2 = 2 OR g1 = 0 AND g2 = 1)
+SELECT 0 AS problem_id, grp AS subkey, value::BIGINT AS value, round(cost, 5) AS cost, t AS is_true FROM m""",
+)
+def rank_auto_merge(spark, d):
+    """Ragged subkeys merged up to 64 combinations."""
+    costs, truth = rank.auto_merge(*costs_of(spark, d), MERGED)
+    own = costs.join(truth.withColumn("is_true", F.lit(True)), ["problem_id", "subkey", "value"], "left")
+    return own.select("problem_id", "subkey", "value", F.round("cost", 5).alias("cost"), F.coalesce("is_true", F.lit(False)).alias("is_true"))
+
+
+@query("rank_merged_naive", ORACLE["rank_naive"])
+def rank_merged_naive(spark, d):
+    costs, truth = rank.auto_merge(*costs_of(spark, d), MERGED)
+    return rank.naive_rank(costs, truth, [r.subkey for r in truth.select("subkey").distinct().orderBy("subkey").collect()])
+
+
 @query("rank_scaled")
 def rank_scaled(spark, d):
     return rank.rank_table(*costs_of(spark, d), n_bins=HIST_BINS, method="scaledhist", merge=None)
@@ -715,14 +750,13 @@ def events_windowed(spark, d):
 @query("key_rank", f"WITH {BELIEFS} SELECT e AS exec, c::INTEGER AS class, rank() OVER (PARTITION BY e ORDER BY round(p, 9) DESC)::INTEGER AS rank FROM bx")
 def key_rank(spark, d):
     """The rank of each class in each execution's distribution."""
-    p = beliefs(spark, d).where("node = 'x'").select("exec", F.posexplode("probs").alias("class", "p"))
-    return p.select("exec", "class", F.rank().over(Window.partitionBy("exec").orderBy(F.desc(F.round("p", 9)))).alias("rank"))
+    return rank.class_ranks(beliefs(spark, d).where("node = 'x'"))
 
 
 @query("cumulative_histogram", "WITH h AS (SELECT floor(l_quantity / 5)::BIGINT AS bin, count(*) AS c FROM lineitem GROUP BY 1) SELECT bin, c, sum(c) OVER (ORDER BY bin)::BIGINT AS up_to FROM h")
 def cumulative_histogram(spark, d):
     h = read(spark, d, "lineitem").groupBy(F.floor(F.col("l_quantity") / 5).alias("bin")).agg(F.count("*").alias("c"))
-    return h.withColumn("up_to", F.sum("c").over(Window.orderBy("bin")))  # one row for each bin
+    return rank.cumulative(h)
 
 
 @query(
