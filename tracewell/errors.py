@@ -22,7 +22,9 @@ class SingularError(TracewellError, ValueError):
 
 
 class GraphError(TracewellError, ValueError):
-    """A factor graph's text or use is wrong."""
+    """A factor graph's text or use is wrong; ``faults`` has the places in the text."""
+
+    faults: list = []  # noqa: RUF012
 
 
 class NotAcyclicError(GraphError):

@@ -13,14 +13,12 @@ One kind of operation a property. Declarations may follow their use.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from ..errors import GraphError
-
-NAME = r"[A-Za-z_][A-Za-z0-9_]*"
+from .language import Faults, Property, statements_of
 
 
 @dataclass(frozen=True)
@@ -148,114 +146,88 @@ def sparse_rows(factor, nc: int, arity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parse(text: str, tables: dict | None = None) -> Graph:
-    """The graph of the text; all faults are reported together with their lines."""
-    faults: list[str] = []
-    nc, variables, publics, declared, generics, properties = None, {}, {}, {}, {}, []
-    for number, line in enumerate(text.splitlines(), 1):
-        line = line.partition("#")[0].strip()
-        if not line:
-            continue
-        if m := re.fullmatch(r"NC\s+(\d+)", line):
-            if nc is not None:
-                faults.append(f"line {number}: NC is given twice")
-            nc = int(m[1])
-        elif m := re.fullmatch(rf"(VAR|PUB|GENERIC)\s+(SINGLE|MULTI)\s+({NAME})", line):
-            if m[3] in {**variables, **publics, **generics, **declared}:
-                faults.append(f"line {number}: {m[3]} is declared twice")
-            {"VAR": variables, "PUB": publics, "GENERIC": generics}[m[1]][m[3]] = m[2] == "MULTI"
-        elif m := re.fullmatch(rf"TABLE\s+({NAME})(?:\s*=\s*\[([\d\s,]*)\])?", line):
-            if m[1] in {**variables, **publics, **generics, **declared}:
-                faults.append(f"line {number}: {m[1]} is declared twice")
-            declared[m[1]] = [int(x) for x in m[2].replace(",", " ").split()] if m[2] is not None else None
-        elif m := re.fullmatch(rf"PROPERTY\s+(?:({NAME})\s*:\s*)?(.*)", line):
-            properties.append((number, m[1], m[2].strip()))
-        else:
-            faults.append(f"line {number}: not understood: {line}")
-    if nc is None:
-        faults.append("NC is missing")
-        nc = 2
+    """The graph of the text; all faults are reported together, each with its line, column and a mark below it."""
+    faults = Faults(text)
+    found = statements_of(text, faults)
+    for again in found.nc[1:]:
+        faults.at(again, "NC is given twice")
+    if not found.nc:
+        faults.add("NC is missing")
+    nc = int(found.nc[0].text) if found.nc else 2
+    variables, publics, generics, declared, names = {}, {}, {}, {}, set()
+    for kind, multi, name in found.declared:
+        if name.text in names:
+            faults.at(name, f"{name.text} is declared twice")
+        names.add(name.text)
+        {"VAR": variables, "PUB": publics, "GENERIC": generics}[kind][name.text] = multi
     known: dict[str, np.ndarray] = {}
-    for name, values in declared.items():
-        values = values if values is not None else (tables or {}).get(name)
-        if values is None:
-            faults.append(f"table {name} has no values")
+    for name, values in found.tables:
+        if name.text in names:
+            faults.at(name, f"{name.text} is declared twice")
+        names.add(name.text)
+        declared[name.text] = True
+        own = [int(v.text) for v in values] if values is not None else (tables or {}).get(name.text)
+        if own is None:
+            faults.at(name, f"table {name.text} has no values")
             continue
-        known[name] = np.asarray(values, np.int64)
-        if len(known[name]) != nc or known[name].min(initial=0) < 0 or known[name].max(initial=0) >= nc:
-            faults.append(f"table {name} needs {nc} values below {nc}")
-    faults += [f"table {name} is not declared" for name in (tables or {}) if name not in declared]
+        known[name.text] = np.asarray(own, np.int64)
+        for v in values or ():
+            if int(v.text) >= nc and found.nc:
+                faults.at(v, f"values of a table lie below {nc}")
+        outside = values is None and (known[name.text].min(initial=0) < 0 or known[name.text].max(initial=0) >= nc)
+        if found.nc and (len(known[name.text]) != nc or outside):
+            faults.at(name, f"table {name.text} needs {nc} values below {nc}")
+    for name in tables or {}:
+        if name not in declared:
+            faults.add(f"table {name} is not declared")
     factors: dict[str, Factor] = {}
-    for number, label, body in properties:
-        try:
-            f = factor_of(label or f"ANONYMOUS_{len(factors)}", body, generics)
-            for o in f.operands:
-                if o.name not in variables and o.name not in publics:
-                    raise GraphError(f"{o.name} is not declared")
-            f.edges = [o.name for o in f.operands if o.name in variables]
-            if len(set(f.edges)) < len(f.edges):
-                raise GraphError("a variable occurs twice")
-            if f.table and f.kind == "lookup" and f.table not in known:
-                raise GraphError(f"table {f.table} is not declared")
-            if f.kind == "lookup" and len(f.edges) != 2:
-                raise GraphError("both sides of a lookup are variables")
-            if f.kind in ("and", "xor", "not") and nc & (nc - 1):
-                raise GraphError("logic needs a power of two as NC")
-            if f.kind in ("and", "mul") and f.operands[0].name in publics:
-                raise GraphError("the result of this operation cannot be public")
-            f.multi = any(variables.get(o.name, publics.get(o.name)) for o in f.operands)
-            if f.kind == "generic":
-                f.multi = f.multi or generics[f.table]
-            if f.name in factors:
-                raise GraphError(f"{f.name} is used twice")
-            if not f.multi and any(variables[v] for v in f.edges):
-                raise GraphError("a single factor has a multi variable")
+    for p in found.properties:
+        before = len(faults.found)
+        f = factor_of(p, f"ANONYMOUS_{len(factors)}", nc if found.nc else None, variables, publics, generics, declared, faults)
+        if f.name in factors:
+            faults.at(p.label or p.place, f"{f.name} is used twice")
+        if p.whole and len(faults.found) == before:
             factors[f.name] = f
-        except GraphError as e:
-            faults.append(f"line {number}: {e}")
-    if faults:
-        raise GraphError("; ".join(faults))
+    faults.check()
     return Graph(nc, variables, publics, known, generics, factors)
 
 
-def factor_of(name: str, body: str, generics: dict) -> Factor:
-    if m := re.fullmatch(rf"({NAME})\s*\((.*)\)", body):
-        if m[1] not in generics:
-            raise GraphError(f"{m[1]} is not a generic factor")
-        operands = [operand(x, "!") for x in m[2].split(",")]
-        if any(o.flip for o in operands):
-            raise GraphError("operands of generic factors cannot be negated")
-        return Factor(name, "generic", operands, m[1])
-    m = re.fullmatch(rf"({NAME})\s*=\s*(.*)", body)
-    if not m:
-        raise GraphError(f"not understood: {body}")
-    result, right = Operand(m[1]), m[2].strip()
-    if t := re.fullmatch(rf"({NAME})\s*\[\s*({NAME})\s*\]", right):
-        return Factor(name, "lookup", [result, Operand(t[2])], t[1])
-    kinds = [k for k in "^&|*" if k in right] + (["+"] if re.search(r"[+-]", right) else [])
-    if len(kinds) > 1:
-        raise GraphError("one kind of operation a property")
-    if not kinds:
-        if right.startswith("!"):
-            return Factor(name, "not", [result, operand(right[1:], "")])
-        return Factor(name, "add", [result, operand(right, "")])
-    if kinds[0] == "+":
-        terms = re.findall(rf"([+-]?)\s*({NAME})\s*", right)
-        if re.sub(rf"\s*[+-]?\s*{NAME}\s*", "", right):
-            raise GraphError(f"not understood: {right}")
-        return Factor(name, "add", [result, *(Operand(n, s == "-") for s, n in terms)])
-    parts = right.split(kinds[0])
-    if kinds[0] in "&|":
-        operands = [operand(x, "!") for x in parts]
-        if kinds[0] == "|":  # w = x | y as !w = !x & !y
-            return Factor(name, "and", [Operand(result.name, True), *(Operand(o.name, not o.flip) for o in operands)])
-        return Factor(name, "and", [result, *operands])
-    return Factor(name, "xor" if kinds[0] == "^" else "mul", [result, *(operand(x, "") for x in parts)])
-
-
-def operand(text: str, prefix: str) -> Operand:
-    text = text.strip()
-    flip = bool(prefix) and text.startswith(prefix)
-    text = text[1:].strip() if flip else text
-    if not re.fullmatch(NAME, text):
-        raise GraphError(f"not an operand: {text or 'nothing'}")
-    return Operand(text, flip)
+def factor_of(p: Property, anonymous: str, nc: int | None, variables: dict, publics: dict, generics: dict, tables: dict, faults: Faults) -> Factor:
+    """The factor of a property; what is wrong with it is noted at its place."""
+    result = [Operand(p.result.text)] if p.result else []
+    terms = [Operand(t.name.text, bool(t.prefix and t.prefix.text in "!-")) for t in p.terms]
+    kind = p.kind
+    if kind == "or":  # w = x | y as !w = !x & !y
+        kind, result, terms = "and", [Operand(o.name, True) for o in result], [Operand(o.name, not o.flip) for o in terms]
+    elif kind in ("not", "xor", "mul", "lookup"):
+        terms = [Operand(o.name) for o in terms]
+    f = Factor(p.label.text if p.label else anonymous, kind, result + terms, p.table.text if p.table else None)
+    tokens = ([p.result] if p.result else []) + [t.name for t in p.terms]
+    seen: set[str] = set()
+    for token in tokens:
+        if token.text not in variables and token.text not in publics:
+            faults.at(token, f"{token.text} is not declared")
+        elif token.text in variables and token.text in seen:
+            faults.at(token, "a variable occurs twice")
+        seen.add(token.text)
+    f.edges = [o.name for o in f.operands if o.name in variables]
+    if kind == "generic":
+        if p.table.text not in generics:
+            faults.at(p.table, f"{p.table.text} is not a generic factor")
+        for t in p.terms:
+            if t.prefix:
+                faults.at(t.prefix, "operands of generic factors cannot be negated")
+    if kind == "lookup":
+        if p.table.text not in tables:
+            faults.at(p.table, f"table {p.table.text} is not declared")
+        for token in tokens:
+            if token.text in publics:
+                faults.at(token, "both sides of a lookup are variables")
+    if kind in ("and", "xor", "not") and nc and nc & (nc - 1):
+        faults.at(p.place, "logic needs a power of two as NC")
+    if kind in ("and", "mul") and p.result and p.result.text in publics:
+        faults.at(p.result, "the result of this operation cannot be public")
+    f.multi = any(variables.get(o.name, publics.get(o.name)) for o in f.operands) or kind == "generic" and generics.get(f.table, False)
+    if not f.multi and any(variables[v] for v in f.edges):
+        faults.at(p.place, "a single factor has a multi variable")
+    return f
