@@ -1,9 +1,7 @@
 """Belief propagation over a factor graph.
 
 ``Beliefs`` holds the messages of one batch of executions as NumPy arrays (executions, classes);
-None is uniform. On Spark, whole schedules run for blocks of executions in one grouped job: without
-SINGLE variables blocks are independent; towards a SINGLE variable of an acyclic graph each block
-sends the sum of its executions' log-messages, so the result does not depend on the blocks.
+None is uniform. It steps through a graph by hand; ``infer`` runs whole schedules over tables.
 """
 
 from __future__ import annotations
@@ -11,15 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import GraphError, NotAcyclicError, ShapeError
 from ..functions import kernels as K
-from ..functions.scalar import MIN_PROBABILITY, softmax
+from ..functions.scalar import MIN_PROBABILITY
 from .graph import Graph, sparse_rows
+from .tables import MessageTable
 
 
 def times(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
@@ -280,63 +278,20 @@ def checked_rows(graph: Graph, rows: DataFrame, generic: dict | None = None) ->
     return rows.select(*(F.col(n).cast("long").alias(n) for n in names)).mapInArrow(run, ", ".join(f"`{f}` boolean" for f in graph.factors))
 
 
-def infer(graph: Graph, evidence: DataFrame, dest: list[str], iterations: int | None = None, publics: DataFrame | None = None, single_evidence: dict | None = None, generic: dict | None = None, blocks: int = 64) -> DataFrame:
+def infer(graph: Graph, evidence: DataFrame, dest: list[str], iterations: int | None = None, publics: DataFrame | None = None, single_evidence: dict | None = None, generic: dict | None = None) -> DataFrame:
     """(exec, node, probs) of the variables ``dest`` from evidence (exec, node, probs).
 
-    ``publics`` is (exec, node, value), with a null exec for SINGLE values, which go to every block.
-    ``generic`` has a factor's array, or for a MULTI one a list or dict of arrays by exec. With
-    ``iterations`` propagation is loopy, else exact. Blocks of executions run in parallel. Graphs
-    with SINGLE variables: exact inference towards one of them sums the logarithms of the messages
-    of all executions; anything else needs all executions in one block.
+    ``publics`` is (exec, node, value), with a null exec for SINGLE values. ``generic`` has a factor's
+    array, or for a MULTI one a list or dict of arrays by exec. With ``iterations`` propagation is
+    loopy, once for all of ``dest``, else exact. Executions stay rows all the way, see ``tables``.
     """
-    multi = all(graph.variables.values())
-    alone = all(f.multi for f in graph.factors.values()) and set(single_evidence or {}) <= set(dest)
-    towards_single = not multi and alone and iterations is None and all(not graph.variables[d] for d in dest)
-    if not multi and not towards_single:
-        blocks = 1
-    if iterations is None and graph.is_cyclic(2):
-        raise NotAcyclicError("the graph has a cycle")
-    rows = evidence.select("exec", "node", "probs", F.lit(None).cast("int").alias("value"))
-    shared = {}
-    if publics is not None:
-        single = [p for p, multi_ in graph.publics.items() if not multi_]
-        shared = {r.node: [r.value] for r in publics.where(F.col("exec").isNull() & F.col("node").isin(single)).select("node", "value").distinct().collect()} if single else {}  # a value for each SINGLE public
-        rows = rows.unionByName(publics.where(F.col("exec").isNotNull()).select("exec", "node", F.lit(None).cast("array<double>").alias("probs"), F.col("value").cast("int")))
-    block = F.pmod(F.xxhash64("exec"), F.lit(blocks)).alias("block")
-    single_evidence = single_evidence or {}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        execs = np.sort(pdf["exec"].unique())
-        shown = {n: g.sort_values("exec")["value"].to_numpy(np.int64) for n, g in pdf[pdf["probs"].isna()].groupby("node")}
-        shown = {n: v if graph.publics[n] else v[:1] for n, v in shown.items()} | shared
-        own_generic = {n: [g[e] for e in execs.tolist()] if graph.generics.get(n) else g for n, g in (generic or {}).items()}
-        state = Beliefs(graph, len(execs), shown, own_generic)
-        for node, g in pdf[pdf["probs"].notna()].groupby("node"):
-            own = dict(zip(g["exec"], g["probs"], strict=True))
-            state.set_evidence(node, np.stack([np.asarray(own.get(e, np.full(graph.nc, 1.0 / graph.nc)), float) for e in execs]))
-        if not towards_single:
-            for node, d in single_evidence.items():
-                state.set_evidence(node, d)
-        out = []
-        for d in dest:
-            if towards_single:
-                out.append((-1, d, state.log_messages(d).tolist()))
-                continue
-            if iterations is None:
-                state.bp_acyclic(d, clear_intermediates=True)
-            else:
-                state.bp_loopy(iterations, initialize_states=True)
-            got = state.state[d]
-            if got is not None:
-                out += [(int(e), d, r.tolist()) for e, r in zip(execs if graph.variables[d] else [-1], got, strict=True)]
-        return pd.DataFrame(out, columns=["exec", "node", "probs"])
-
-    found = rows.withColumn("block", block).groupBy("block").applyInPandas(run, "exec long, node string, probs array<double>")
-    if not towards_single:
-        return found.withColumn("exec", F.when(F.col("exec") >= 0, F.col("exec")))
-    logs = found.select("node", F.posexplode("probs").alias("class", "l")).groupBy("node", "class").agg(F.sum("l").alias("l"))
-    for node, d in single_evidence.items():
-        own = evidence.sparkSession.createDataFrame([(node, i, float(p)) for i, p in enumerate(d)], "node string, class int, q double")
-        logs = logs.join(own, ["node", "class"], "left").withColumn("l", F.col("l") + F.log(F.greatest(F.coalesce("q", F.lit(1.0)), F.lit(MIN_PROBABILITY)))).drop("q")
-    lists = logs.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("class", "l"))).alias("x"))  # one entry for each class
-    return lists.select(F.lit(None).cast("long").alias("exec"), "node", softmax(F.transform("x", lambda s: s["l"])).alias("probs"))
+    table = MessageTable(graph, evidence, publics, single_evidence, generic)
+    found = None
+    if iterations is not None:
+        table.loopy(iterations)
+    for d in dest:
+        if iterations is None:
+            table.acyclic(d)
+        one = table.distribution(d)
+        found = one if found is None else found.unionByName(one)
+    return found
