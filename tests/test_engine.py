@@ -409,3 +409,43 @@ def test_message_tables_name_what_is_missing(spark):
         infer(g, given, ["a"], publics=spark.createDataFrame([(0, "p", 4)], "exec long, node string, value int")).collect()
     with pytest.raises(KeyError):
         infer(g, given.withColumn("node", F.lit("z")), ["a"], publics=spark.createDataFrame([(0, "p", 3)], "exec long, node string, value int"))
+
+
+def test_a_group_of_jobs_can_be_cancelled(spark):
+    import threading
+    import time
+
+    failed = []
+
+    def slow(batches):
+        for b in batches:
+            time.sleep(60)
+            yield b
+
+    def work():
+        with compat.job_group("slow"):
+            try:
+                spark.range(4).mapInArrow(slow, "id long").count()
+            except Exception as e:
+                failed.append(str(e))
+
+    thread = threading.Thread(target=work)
+    began = time.monotonic()
+    thread.start()
+    while not spark.sparkContext.statusTracker().getJobIdsForGroup("slow") and time.monotonic() - began < 30:
+        time.sleep(0.1)
+    time.sleep(1)
+    compat.cancel("slow")
+    thread.join(40)
+    assert not thread.is_alive() and "cancel" in failed[0].lower()
+
+
+def test_clustered_models_are_saved(spark, tmp_path):
+    model = models.RldaModel(5, RNG.normal(0, 1, (2, 4)), RNG.normal(0, 1, (2, 6)))
+    x, y = RNG.integers(-5, 5, (20, 4)).astype(np.int16), RNG.integers(0, 32, 20)
+    for keep in (True, False):
+        own = model.clustered(spark, 0.8, keep_members=keep)
+        own.save(spark, f"{tmp_path}/{keep}")
+        again = models.ClusteredModel.load(spark, f"{tmp_path}/{keep}")
+        np.testing.assert_allclose(again.bounded(x, y, 6), own.bounded(x, y, 6))
+        assert (again.owner is None) == (not keep) and again.get_size() == own.get_size()

@@ -57,6 +57,26 @@ def session() -> SparkSession:
     return _SESSION.get() or SparkSession.getActiveSession() or new_session()
 
 
+@contextlib.contextmanager
+def job_group(name: str, description: str = ""):
+    """Jobs inside belong to a group that ``cancel(name)`` ends from anywhere; an interrupt (Ctrl-C) inside ends them too."""
+    sc = session().sparkContext
+    sc.setJobGroup(name, description, interruptOnCancel=True)
+    try:
+        yield name
+    except KeyboardInterrupt:
+        sc.cancelJobGroup(name)
+        raise
+    finally:
+        for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            sc.setLocalProperty(key, None)
+
+
+def cancel(name: str) -> None:
+    """End all running jobs of a group; the call that waits for them raises."""
+    session().sparkContext.cancelJobGroup(name)
+
+
 class ContextExecutor(ThreadPoolExecutor):
     """Tasks see the submitter's context variables."""
 

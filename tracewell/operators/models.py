@@ -304,6 +304,21 @@ class ClusteredModel:
             self._members = np.argsort(self.owner, kind="stable"), np.concatenate([[0], np.cumsum(self.weights)])
         return self._members
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Centres, members where kept, and the model, as tables below ``path``."""
+        model = (self.model.nb, self.model.proj.tolist(), self.model.coefs.tolist(), float(self.radius), self.owner is not None)
+        spark.createDataFrame([model], "nb int, proj array<array<double>>, coefs array<array<double>>, radius double, members boolean").write.parquet(f"{path}/model")
+        spark.createDataFrame(pa.table({"class_id": self.centres.astype(np.int64), "weight": self.weights.astype(np.int64)})).write.parquet(f"{path}/centres")
+        if self.owner is not None:
+            spark.createDataFrame(pa.table({"class_id": np.arange(len(self.owner)), "centre": self.owner.astype(np.int32)})).write.parquet(f"{path}/members")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ClusteredModel:
+        r = spark.read.parquet(f"{path}/model").first()
+        centres = spark.read.parquet(f"{path}/centres").toArrow().sort_by("class_id")
+        members = spark.read.parquet(f"{path}/members").toArrow().sort_by("class_id") if r.members else None
+        return cls(RldaModel(r.nb, np.array(r.proj), np.array(r.coefs)), centres.column("class_id").to_numpy(), centres.column("weight").to_numpy(), members.column("centre").to_numpy() if members else None, r.radius)
+
     def get_size(self) -> int:
         return len(self.centres)
 

@@ -715,7 +715,9 @@ def rank_accuracy(spark, d):
 
 @query("simulated_snr")
 def simulated_snr(spark, d):
-    return metrics.snr(stats.class_state(sources.simulated(spark, 5000, ns=8)))
+    """A simulated trace for each order."""
+    ids = read(spark, d, "orders").select(F.col("o_orderkey").alias("trace_id"))
+    return metrics.snr(stats.class_state(sources.leaking(ids, ns=8)))
 
 
 def embeddings_stream(spark, d):
@@ -771,12 +773,23 @@ def distribution_functions(spark, d):
     return lists.select("exec", F.posexplode(F.arrays_zip("x", "a", "n", "r")).alias("class", "v")).select("exec", "class", *(F.round(F.col(f"v.{c}"), 6).alias(o) for c, o in (("x", "xor5"), ("a", "add3"), ("n", "neg"), ("r", "norm"))))
 
 
-@query("factor_graph_edges")
+#: Factor, operand, place, flipped, public, multi
+EDGES = [("a", "x", 0, False, False, True), ("a", "k", 1, False, False, False), ("a", "p", 2, False, True, True), ("b", "y", 0, False, False, True), ("b", "x", 1, False, False, True), ("c", "z", 0, True, False, True), ("c", "x", 1, False, False, True), ("c", "y", 2, True, False, True)]
+
+
+@query(
+    "factor_graph_edges",
+    f"""WITH n AS (SELECT count(DISTINCT o_custkey) AS execs FROM orders), e(factor, operand, place, flipped, public, multi) AS (VALUES {", ".join(str(e) for e in EDGES)})
+SELECT factor, operand, place::INTEGER AS place, flipped, public, CASE WHEN public THEN 0 WHEN multi THEN execs ELSE 1 END AS messages, execs > 1 AS cyclic FROM e, n""",
+)
 def factor_graph_edges(spark, d):
-    """The edges of a parsed graph with negations, and whether it has a cycle for many executions."""
+    """The edges of a parsed graph, how many messages each has with an execution for every customer, and whether there is a cycle."""
     g = parse(f"NC {NC}\nVAR SINGLE k\nVAR MULTI x\nVAR MULTI y\nVAR MULTI z\nPUB MULTI p\nTABLE t = [{', '.join(str(NC - 1 - i) for i in range(NC))}]\nPROPERTY a: x = k ^ p\nPROPERTY b: y = t[x]\nPROPERTY c: z = !x | y")
-    rows = [(f.name, f.kind, o.name, i, o.flip, o.name in g.publics, g.is_cyclic(2)) for f in g.factors.values() for i, o in enumerate(f.operands)]
-    return spark.createDataFrame(rows, "factor string, kind string, operand string, place int, flipped boolean, public boolean, cyclic boolean")
+    rows = [(f.name, o.name, i, o.flip, o.name in g.publics, bool(g.variables.get(o.name)), g.is_cyclic(1), g.is_cyclic(2)) for f in g.factors.values() for i, o in enumerate(f.operands)]
+    edges = spark.createDataFrame(rows, "factor string, operand string, place int, flipped boolean, public boolean, multi boolean, once boolean, often boolean")
+    execs = read(spark, d, "orders").agg(F.count_distinct("o_custkey").alias("execs"))
+    messages = F.when(F.col("public"), F.lit(0)).when(F.col("multi"), F.col("execs")).otherwise(F.lit(1)).cast("long")
+    return edges.crossJoin(F.broadcast(execs)).select("factor", "operand", "place", "flipped", "public", messages.alias("messages"), F.when(F.col("execs") > 1, F.col("often")).otherwise(F.col("once")).alias("cyclic"))  # one row
 
 
 @query(

@@ -62,10 +62,15 @@ def prune(traces: DataFrame, points: list[list[int]]) -> tuple[DataFrame, list[l
 
 
 def simulated(spark: SparkSession, n: int, ns: int = 32, noise: float = 2.0, nc: int = 256, seed: int = 0) -> DataFrame:
-    """Traces whose samples leak the Hamming weight of a permuted class with Gaussian noise, times 256."""
+    """n traces of ``leaking``, numbered from 0."""
+    return leaking(spark.range(n).withColumnRenamed("id", "trace_id"), ns, noise, nc, seed)
+
+
+def leaking(ids: DataFrame, ns: int = 32, noise: float = 2.0, nc: int = 256, seed: int = 0) -> DataFrame:
+    """A trace for each trace_id: samples leak the Hamming weight of a permuted class of the id, with Gaussian noise, times 256."""
     key = F.pmod(F.col("trace_id") * 167 + 13, F.lit(nc))
     leak = F.transform(F.sequence(F.lit(0), F.lit(ns - 1)), lambda j: F.bit_count(F.pmod(F.col("class") * (2 * j + 1) + j, F.lit(nc)).cast("int")))
-    rows = spark.range(n).withColumnRenamed("id", "trace_id").withColumn("class", key.cast("int")).withColumn("w", F.array(*(F.randn(seed * ns + j) for j in range(ns))))
+    rows = ids.select("trace_id").withColumn("class", key.cast("int")).withColumn("w", F.array(*(F.randn(seed * ns + j) for j in range(ns))))
     noisy = F.zip_with(leak, F.col("w"), lambda x, w: F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), (x + noise * w) * 256)).cast("smallint"))
     return rows.select("trace_id", noisy.alias("samples"), F.array("class").alias("labels"))
 
