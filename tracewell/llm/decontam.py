@@ -26,7 +26,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -75,10 +75,14 @@ def edit_distance_within(item: dict[int, int], n: int, window: list[int]) -> tup
 
 
 ONE = np.uint64(1)
+#: Blocks of 64 steps, and words of a vocabulary, up to which a walk's moves are kept rather than made anew.
+KEPT_BLOCKS, KEPT_WORDS = 4, 1 << 19
+#: Steps times words up to which a walk's moves are kept a byte each.
+UNPACKED = 1 << 20
 
 
 def random_bits(tokens: np.ndarray, seed: int, block: int) -> np.ndarray:
-    """64 bits for each word: whether the walk ``seed`` moves on from it at the steps of a block of 64. No table of steps and words is kept."""
+    """64 bits for each word: whether the walk ``seed`` moves on from it at the steps of a block of 64. No table of all steps is needed."""
     with np.errstate(over="ignore"):
         x = tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed + block * 0xD1342543DE82EF95) & 0xFFFFFFFFFFFFFFFF)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -95,21 +99,44 @@ class Repetition:
     anchors: np.ndarray
     keys: np.ndarray
     places: list[tuple[int, int]]
+    tables: dict[int, np.ndarray] = field(default_factory=dict, repr=False)
+
+    def moves(self, tokens: np.ndarray, block: int) -> tuple[np.ndarray, bool]:
+        """(64 bits for each word of the vocabulary, True), kept for the first blocks of steps; else for each of the tokens, False."""
+        if block not in self.tables and (len(self.tables) >= KEPT_BLOCKS or len(self.anchors) > KEPT_WORDS):
+            return random_bits(tokens, self.seed, block), False
+        if block not in self.tables:
+            self.tables[block] = random_bits(np.arange(len(self.anchors)), self.seed, block)
+        return self.tables[block], True
+
+    def unpacked(self) -> np.ndarray:
+        """(steps, words): whether the walk moves on, up to the last sampled step; for few words and steps."""
+        if -1 not in self.tables:
+            steps = np.arange(int(self.samples[-1]) + 1)
+            bits = np.stack([random_bits(np.arange(len(self.anchors)), self.seed, b) for b in range(int(steps[-1]) // 64 + 1)])
+            self.tables[-1] = ((bits[steps // 64] >> (steps % 64).astype(np.uint64)[:, None]) & ONE).astype(np.int8)
+        return self.tables[-1]
 
     def hashes(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The sampled words of the walks from the positions ``at``, as one number each."""
-        spot, key, last = at.copy(), np.zeros(len(at), np.uint64), len(tokens) - 1
-        wanted, until = set(self.samples.tolist()), int(self.samples[-1])
-        moves = np.zeros(0, np.uint64)
+        spot, key, until = at.copy(), np.zeros(len(at), np.uint64), int(self.samples[-1])
+        tokens = np.concatenate([tokens, np.full(until + 1, tokens[-1])])  # walks go on at the last word
+        wanted, small = set(self.samples.tolist()), (until + 1) * len(self.anchors) <= UNPACKED
+        table, moves, by_word = self.unpacked() if small else None, np.zeros(0, np.uint64), True
         for j in range(until + 1):
-            if j % 64 == 0:
-                moves = random_bits(tokens, self.seed, j // 64)
-            here = np.minimum(spot, last)
-            word = tokens[here]
+            word = tokens.take(spot)
             if j in wanted:
                 key = (key ^ word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
-            spot += ((moves[here] >> np.uint64(j % 64)) & ONE).astype(np.int64)
+            if table is not None:
+                spot += table[j].take(word)
+                continue
+            if j % 64 == 0:
+                moves, by_word = self.moves(tokens, j // 64)
+            bits = moves.take(word if by_word else spot)
+            bits >>= np.uint64(j % 64)
+            bits &= ONE
+            spot += bits.view(np.int64)
         return key
 
     def candidates(self, tokens: np.ndarray) -> Iterator[tuple[int, int]]:
