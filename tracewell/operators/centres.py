@@ -297,13 +297,13 @@ def owners(spark: SparkSession, coefs: np.ndarray, ids: np.ndarray, radius: floa
     must be bounded (``max_clusters``).
     """
     tables = chunk_tables(coefs)
-    tree = spark.sparkContext.broadcast(CentreTree(class_points(tables, ids) + 0.0))
+    tree = CentreTree(class_points(tables, ids) + 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 classes = batch.column(0).slice(a, 1024).to_numpy()
-                rows, points, _ = tree.value.within(class_points(tables, classes) + 0.0, np.full(len(classes), radius))
+                rows, points, _ = tree.within(class_points(tables, classes) + 0.0, np.full(len(classes), radius))
                 earlier = ids[points] <= classes[rows]
                 rows, points = rows[earlier], points[earlier]
                 first = np.searchsorted(rows, np.arange(len(classes)))
