@@ -31,7 +31,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -344,10 +343,10 @@ def find(df: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, min_words:
     docs, scratch = documents_of(df, id_col, text_col), Scratch(df.sparkSession)
     schema = "doc_id long, item_id long, distance int, item_words int, end_word int"
 
-    def searched(held: Broadcast) -> Callable:
+    def searched(held: list[Index]) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, texts in text_rows(batches, "doc_id", "text"):
-                rows = [(d, index.item_ids[i], k, len(index.words[i]), end) for d, t in zip(ids, texts, strict=True) for index in held.value for i, (k, end) in sorted(index.matches(t).items())]
+                rows = [(d, index.item_ids[i], k, len(index.words[i]), end) for d, t in zip(ids, texts, strict=True) for index in held for i, (k, end) in sorted(index.matches(t).items())]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], ["doc_id", "item_id", "distance", "item_words", "end_word"])
 
@@ -355,9 +354,7 @@ def find(df: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, min_words:
 
     stored, found = stored_indexes(benchmark, max_edits, min_words, target_recall, scratch, item_col), []
     for held in rounds_of(stored):
-        sent = df.sparkSession.sparkContext.broadcast(held)
-        found.append(scratch.store(docs.mapInArrow(searched(sent), schema)))
-        sent.unpersist()
+        found.append(scratch.store(docs.mapInArrow(searched(held), schema)))
     if not found:
         return df.sparkSession.createDataFrame([], schema)
     return scratch.last(reduce(DataFrame.unionAll, found)) if len(found) > 1 else scratch.only(found[0])
@@ -370,24 +367,19 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, max_edits: float = 0.
     empty table on either side changes nothing.
     """
 
-    def kept(held: Broadcast) -> Callable:
+    def kept(held: list[Index]) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
                     texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-                    yield part.filter(pa.array([not any(index.matches(t) for index in held.value) for t in texts], pa.bool_()))
+                    yield part.filter(pa.array([not any(index.matches(t) for index in held) for t in texts], pa.bool_()))
             give_back()
 
         return run
 
     small_batches(df.sparkSession)
     stored = stored_indexes(benchmark, max_edits, min_words, target_recall, Scratch(df.sparkSession))
-    before = None
-    for held in rounds_of(stored):
-        if before is not None:
-            df = store(df)
-            before.unpersist()
-        before = df.sparkSession.sparkContext.broadcast(held)
-        df = df.mapInArrow(kept(before), df.schema)
+    for k, held in enumerate(rounds_of(stored)):
+        df = (store(df) if k else df).mapInArrow(kept(held), df.schema)
     return df
