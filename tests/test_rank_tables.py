@@ -78,3 +78,46 @@ def test_partitioned_rank_equals_the_relational_one(spark):
     for n_bins, width in ((64, 16), (300, 64), (300, 4096)):
         got, want = (sorted(map(tuple, r.collect())) for r in (rank.partitioned_histogram_rank(costs, truth, [0, 1, 2], n_bins, width), rank.relational_histogram_rank(costs, truth, [0, 1, 2], n_bins)))
         assert got == want
+
+
+@pytest.mark.parametrize("method", ["hist", "scaledhist", "histbignum"])
+def test_problems_of_all_methods_equal_the_array_form(spark, method):
+    """Ragged problems of one to five subkeys beside each other; five of 40 values hold more combinations than 2^26."""
+    problems = [problem(spark, sizes, i) for i, sizes in enumerate(([40] * 5, [3, 70, 1, 9], [30], [100, 100]))]
+    costs, truth = tables(spark, *problems)
+    for n_bins, width in ((64, 16), (700, 256)):
+        got = {r[0]: r[1:] for r in rank.histogram_rank(costs, truth, n_bins, method, width=width).collect()}
+        assert len(got) == len(problems)
+        for i, (own, key) in enumerate(problems):
+            lists = [np.array([c for _, s, _, c in own if s == k]) for k in range(len(key))]
+            assert got[i] == pytest.approx(rank.rank_bins(lists, [v for _, _, v in key], n_bins, method), rel=1e-9)
+
+
+@pytest.mark.parametrize("method", ["scaledhist", "histbignum"])
+def test_accuracy_closes_each_problem_at_its_own_bins(spark, method):
+    problems = [problem(spark, sizes, i) for i, sizes in enumerate(([12] * 3, [40, 40], [5]))]
+    costs, truth = tables(spark, *problems)
+    got = {r[0]: r[1:] for r in rank.accuracy_rank(costs, truth, 0.4, method, 1 << 12, max_len=None, width=64).collect()}
+    for i, (own, key) in enumerate(problems):
+        lists = [np.array([c for _, s, _, c in own if s == k]) for k in range(len(key))]
+        assert got[i] == pytest.approx(rank.rank_to_accuracy(lists, [v for _, _, v in key], 0.4, method, 1 << 12, 1), rel=1e-9)
+
+
+def test_exact_counts_pass_the_doubles(spark):
+    """Sixteen subkeys of equal costs: all 40^16 combinations fall into one bin, beyond 2^53 and 38 digits of squares."""
+    costs = spark.createDataFrame([(7, k, v, 1.0) for k in range(16) for v in range(40)], "problem_id long, subkey int, value long, cost double")
+    truth = spark.createDataFrame([(7, k, 3) for k in range(16)], "problem_id long, subkey int, value long")
+    assert [tuple(r) for r in rank.histogram_rank(costs, truth, 32, "histbignum").collect()] == [(7, 1.0, float(40**16 // 2), float(40**16))]
+
+
+def test_rank_tables_empty_infinite_and_wrong(spark):
+    costs, truth = tables(spark, problem(spark, [4, 4]))
+    none = [t.limit(0) for t in (costs, truth)]
+    assert rank.histogram_rank(*none, 64).isEmpty() and rank.accuracy_rank(*none).isEmpty()
+    more = costs.unionByName(spark.createDataFrame([(0, 0, 4, float("inf")), (0, 9, 0, 1.0)], costs.schema))
+    assert rank.histogram_rank(more, truth, 64).collect() == rank.histogram_rank(costs, truth, 64).collect()
+    for bad in (lambda: rank.histogram_rank(costs, truth, 2), lambda: rank.histogram_rank(costs, truth, 64, "other"), lambda: rank.accuracy_rank(costs, truth, max_bins=8)):
+        with pytest.raises(rank.RankError):
+            bad()
+    with pytest.raises(rank.RankError):
+        rank.histogram_rank(costs.withColumn("cost", costs["cost"] * float("nan")), truth, 64)

@@ -10,13 +10,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import RankError
-from ..sources.scratch import store
+from ..sources.scratch import Scratch
 
 SCALE_TO = 2.0**26
 MAX_BINS = 1 << 26
@@ -163,24 +162,6 @@ def rank_to_accuracy(costs: list[np.ndarray], key: list[int], accuracy: float =
     return best
 
 
-def rank_table(costs: DataFrame, truth: DataFrame, n_bins: int | None = None, accuracy: float = 1.0, method: str = "hist", merge: int | None = 1) -> DataFrame:
-    """(problem_id, least, estimate, greatest): one problem a group; problems run in parallel."""
-    rows = costs.join(truth.select("problem_id", "subkey", F.col("value").alias("true_value")), ["problem_id", "subkey"])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["subkey", "value"])
-        lists, key = [], []
-        for _, own in pdf.groupby("subkey", sort=True):
-            lists.append(own.cost.to_numpy(float))
-            key.append(int(np.flatnonzero(own.value.to_numpy() == own.true_value.iloc[0])[0]))
-        if any(np.isnan(c).any() or np.isneginf(c).any() for c in lists) or any(np.isinf(c[k]) for c, k in zip(lists, key, strict=True)):
-            raise RankError("costs must be numbers, and the true values' finite")
-        got = rank_bins(lists, key, n_bins, method, merge or choose_merge(lists)) if n_bins else rank_to_accuracy(lists, key, accuracy, method, merge=merge)
-        return pd.DataFrame([[pdf.problem_id.iloc[0], *got]], columns=["problem_id", "least", "estimate", "greatest"])
-
-    return rows.groupBy("problem_id").applyInPandas(one, "problem_id long, least double, estimate double, greatest double")
-
-
 def merge_groups(costs: DataFrame, max_len: int) -> DataFrame:
     """(problem_id, subkey, grp, place, size): subkeys in order, as many in a group as keep its combinations at ``max_len`` or fewer, one at least.
 
@@ -223,89 +204,231 @@ def auto_merge(costs: DataFrame, truth: DataFrame, max_len: int) -> tuple[DataFr
     return out.withColumnRenamed("grp", "subkey"), key.withColumnRenamed("grp", "subkey")
 
 
-RANGE = "problem_id long, chunk long, at array<int>, c array<double>"
-#: Up to so many filled bins a range is convolved by shifting and adding, exactly; beyond, by Fourier transforms.
+RANGE = "problem_id long, kind int, chunk long, scale double, at array<int>, c array<{}>"
+RANKS = "problem_id long, least double, estimate double, greatest double"
+#: Up to so many filled bins a range is convolved by shifting and adding; beyond, by Fourier transforms or one product of whole numbers.
 SPARSE = 64
+#: Bins in a range: counts as doubles, and as whole numbers of any size.
+WIDTH, WIDTH_EXACT = 1 << 18, 1 << 12
+#: Subkeys are merged up to so many combinations where that is asked for.
+MERGE_TO = 1 << 16
+EXACT = ("histbignum", "ntl")
+METHODS = ("hist", "scaledhist", *EXACT)
+
+
+def counts_in(values: pa.ListScalar, exact: bool) -> np.ndarray:
+    """A range's counts: doubles, or Python's whole numbers from big-endian bytes."""
+    return np.array([int.from_bytes(x) for x in values.as_py()] + [0], object)[:-1] if exact else values.values.to_numpy(zero_copy_only=False)
+
 
+def counts_out(values: np.ndarray, exact: bool) -> list[bytes] | np.ndarray:
+    return [int(x).to_bytes((int(x).bit_length() + 7) // 8) for x in values] if exact else values
 
-def ranges_of(hist: DataFrame, width: int) -> DataFrame:
-    """(problem_id, chunk, at, c): bins cut into ranges of ``width``, as places within the range and counts."""
-    place = F.struct(F.pmod("bin", F.lit(width)).cast("int").alias("at"), F.col("c").cast("double").alias("c"))
+
+def ranges_of(hist: DataFrame, width: int, exact: bool = False) -> DataFrame:
+    """(problem_id, kind, chunk, scale, at, c): bins cut into ranges of ``width``, as places within the range and counts."""
+    count = F.unhex(F.hex(F.col("c").cast("long"))) if exact else F.col("c").cast("double")
+    place = F.struct(F.pmod("bin", F.lit(width)).cast("int").alias("at"), count.alias("c"))
     rows = hist.groupBy("problem_id", F.expr(f"bin div {width}").alias("chunk")).agg(F.sort_array(F.collect_list(place)).alias("x"))  # at most ``width`` bins
-    return rows.select("problem_id", "chunk", F.transform("x", lambda e: e["at"]).alias("at"), F.transform("x", lambda e: e["c"]).alias("c"))
+    return rows.select("problem_id", F.lit(0).alias("kind"), "chunk", F.lit(1.0).alias("scale"), F.transform("x", lambda e: e["at"]).alias("at"), F.transform("x", lambda e: e["c"]).alias("c"))
 
 
 def range_product(at: np.ndarray, c: np.ndarray, at2: np.ndarray, c2: np.ndarray, width: int) -> np.ndarray:
     """The 2 ``width`` bins of two ranges' convolution. Fourier transforms are rounded to whole counts; their error is about 1e-16 times the sum of all products."""
     if len(at) > len(at2):
         at, c, at2, c2 = at2, c2, at, c
-    out = np.zeros(2 * width)
+    exact = c.dtype == object
     if len(at) <= SPARSE:
+        out = np.zeros(2 * width, c.dtype)
         for shift, n in zip(at.tolist(), c.tolist(), strict=True):
             out[at2 + shift] += n * c2
         return out
-    dense = np.zeros((2, width))
+    dense = np.zeros((2, width), c.dtype)
     dense[0, at], dense[1, at2] = c, c2
+    if exact:
+        return np.array(exact_product(dense[0].tolist(), dense[1].tolist(), 2 * width), object)
     spectrum = np.fft.rfft(dense, 2 * width, axis=1)
     return np.maximum(np.rint(np.fft.irfft(spectrum[0] * spectrum[1], 2 * width)), 0.0)
 
 
-def range_rows(problem: list, chunk: list, values: list[np.ndarray]) -> pa.RecordBatch:
+def range_rows(keys: list[tuple], values: list[np.ndarray], exact: bool) -> pa.RecordBatch:
+    """Rows of (problem_id, kind, chunk, scale) and the bins that are filled."""
     filled = [np.flatnonzero(v).astype(np.int32) for v in values]
-    columns = [pa.array(problem, pa.int64()), pa.array(chunk, pa.int64()), pa.array(filled, pa.list_(pa.int32())), pa.array([v[f] for v, f in zip(values, filled, strict=True)], pa.list_(pa.float64()))]
-    return pa.RecordBatch.from_arrays(columns, ["problem_id", "chunk", "at", "c"])
+    columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.float64()))]
+    columns += [pa.array(filled, pa.list_(pa.int32())), pa.array([counts_out(v[f], exact) for v, f in zip(values, filled, strict=True)], pa.list_(pa.binary() if exact else pa.float64()))]
+    return pa.RecordBatch.from_arrays(columns, ["problem_id", "kind", "chunk", "scale", "at", "c"])
 
 
-def convolved_ranges(a: DataFrame, b: DataFrame, n_bins: int, width: int) -> DataFrame:
+def convolved_ranges(a: DataFrame, b: DataFrame, n_bins: int, width: int, exact: bool = False) -> DataFrame:
     """Ranges of the convolution of two histograms given as ranges, below ``n_bins``; a task holds a few ranges.
 
     Pairs of ranges are convolved one by one; each gives a part of two ranges of the result
-    (overlap-add), and parts of a range are added as a stream.
+    (overlap-add), and parts of a range are added as a stream. Scales multiply.
     """
     last = -(-n_bins // width)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            problem, chunk = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            problem, kind, chunk, scale = (batch.column(i).to_pylist() for i in range(4))
             for k in range(batch.num_rows):
-                own = [batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in range(2, 6)]
-                both = range_product(*own, width)
+                at, at2 = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in (4, 6))
+                both = range_product(at, counts_in(batch.column(5)[k], exact), at2, counts_in(batch.column(7)[k], exact), width)
                 parts = [(chunk[k] + i, both[i * width : (i + 1) * width]) for i in (0, 1)]
-                parts = [(at, v) for at, v in parts if at < last and v.any()]
-                yield range_rows([problem[k]] * len(parts), [at for at, _ in parts], [v for _, v in parts])
+                parts = [(to, v) for to, v in parts if to < last and v.any()]
+                yield range_rows([(problem[k], kind[k], to, scale[k]) for to, _ in parts], [v for _, v in parts], exact)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(0)
         for batch in batches:
-            for k, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if key != now:
+            for k, key in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)):
+                if now is None or key[:3] != now[:3]:
                     if now:
-                        yield range_rows([now[0]], [now[1]], [total])
-                    now, total = key, np.zeros(width)
-                total[batch.column(2)[k].values.to_numpy(zero_copy_only=False)] += batch.column(3)[k].values.to_numpy(zero_copy_only=False)
+                        yield range_rows([now], [total], exact)
+                    now, total = key, np.zeros(width, object if exact else float)
+                total[batch.column(4)[k].values.to_numpy(zero_copy_only=False)] += counts_in(batch.column(5)[k], exact)
         if now:
-            yield range_rows([now[0]], [now[1]], [total])
+            yield range_rows([now], [total], exact)
+
+    schema = RANGE.format("binary" if exact else "double")
+    right = b.select("problem_id", "kind", F.col("chunk").alias("chunk2"), F.col("scale").alias("scale2"), F.col("at").alias("at2"), F.col("c").alias("c2"))
+    met = a.join(right, ["problem_id", "kind"]).where(F.col("chunk") + F.col("chunk2") < last).repartition("problem_id", "kind", "chunk", "chunk2")
+    parts = met.select("problem_id", "kind", (F.col("chunk") + F.col("chunk2")).alias("chunk"), (F.col("scale") * F.col("scale2")).alias("scale"), "at", "c", "at2", "c2").mapInArrow(pairs, schema)
+    return parts.repartition("problem_id", "kind", "chunk").sortWithinPartitions("problem_id", "kind", "chunk").mapInArrow(add, schema)
 
-    right = b.select("problem_id", F.col("chunk").alias("chunk2"), F.col("at").alias("at2"), F.col("c").alias("c2"))
-    met = a.join(right, "problem_id").where(F.col("chunk") + F.col("chunk2") < last).repartition("problem_id", "chunk", "chunk2")
-    parts = met.select("problem_id", (F.col("chunk") + F.col("chunk2")).alias("chunk"), "at", "c", "at2", "c2").mapInArrow(pairs, RANGE)
-    return parts.repartition("problem_id", "chunk").sortWithinPartitions("problem_id", "chunk").mapInArrow(add, RANGE)
 
+def rescaled(ranges: DataFrame, n_bins: int, width: int) -> DataFrame:
+    """Counts from below (kind 0, rounded down) and above (kind 1, rounded up), divided so that a problem's upper ones below ``n_bins`` add up to 2^26 at most."""
+    within = lambda x, i: F.when(F.element_at("at", i + 1) + F.col("chunk") * width < n_bins, x).otherwise(0.0)
+    ranges = ranges.withColumn("c", F.transform("c", within))
+    top = ranges.where("kind = 1").groupBy("problem_id").agg(F.sum(F.aggregate("c", F.lit(0.0), lambda a, x: a + x)).alias("top"))
+    f = F.least(F.lit(1.0), F.lit(SCALE_TO) / F.col("top"))
+    c = F.transform("c", lambda x: F.when(F.col("kind") == 0, F.floor(x * f)).otherwise(F.ceil(x * f)).cast("double"))
+    return ranges.join(top, "problem_id").select("problem_id", "kind", "chunk", (F.col("scale") * F.greatest(F.lit(1.0), F.col("top") / SCALE_TO)).alias("scale"), "at", c.alias("c"))
 
-def partitioned_histogram_rank(costs: DataFrame, truth: DataFrame, subkeys: list[int], n_bins: int, width: int = 1 << 18) -> DataFrame:
-    """(problem_id, least, estimate, greatest) for many bins: histograms are convolved in ranges of ``width`` bins.
 
-    Counts are exact up to 2^53 where a subkey fills few bins of a range, else rounded to 53 bits.
-    Joins on ``problem_id`` meet a problem's ranges with each other: n_bins / width of them a side.
+def read_ranges(ranges: DataFrame, keys: DataFrame, n_bins: int, width: int, method: str) -> DataFrame:
+    """(problem_id, least, estimate, greatest) from sums around the true key's bin: four numbers a range, added as a stream by problem."""
+    exact, at, half = method in EXACT, F.coalesce(F.try_divide("key_cost", "size"), F.lit(0.0)), F.col("m") / 2
+    cap = lambda x: F.greatest(F.lit(0), F.least(F.lit(n_bins - 1), x)).cast("long")
+    marks = keys.select("problem_id", cap(F.ceil(at - half)).alias("lo"), cap(F.floor(at + 0.5)).alias("mid"), cap(F.floor(at + half)).alias("hi"))
+    rows = ranges.join(marks, "problem_id").select("problem_id", "kind", "chunk", "scale", "at", "c", "lo", "mid", "hi")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for k, (chunk, lo, mid, hi) in enumerate(zip(*(batch.column(i).to_pylist() for i in (2, 6, 7, 8)), strict=True)):
+                bins, c = batch.column(4)[k].values.to_numpy(zero_copy_only=False) + chunk * width, counts_in(batch.column(5)[k], exact)
+                sums.append(counts_out(np.array([c[own].sum() for own in (bins < lo, bins < mid, bins == mid, bins <= hi)], c.dtype), exact))
+            columns = [*batch.columns[:4], pa.array(sums, pa.list_(pa.binary() if exact else pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["problem_id", "kind", "chunk", "scale", "sums"])
+
+    def answer(problem: int, sums: np.ndarray, scale: float) -> tuple:
+        (lo, _, _, up), (_, _, _, up_above) = sums
+        if method == "scaledhist":
+            least, most = 1 + float(lo) * scale, float(up_above) * scale
+            guess = sum(float(below + math.ceil(at / 2)) for _, below, at, _ in sums) / 2 * scale
+        else:
+            least, most, guess = 1 + lo, up, sums[0][1] + ((sums[0][2] + 1) // 2 if exact else math.ceil(sums[0][2] / 2))
+        return problem, float(least), float(max(least, guess)), float(max(least, most))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums, scale, out = None, np.zeros(0), 0.0, []
+        for batch in batches:
+            for k, (problem, kind, own) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True)):
+                if problem != now:
+                    if now is not None:
+                        out.append(answer(now, sums, scale))
+                    now, sums, scale = problem, np.zeros((2, 4), object if exact else float), own
+                sums[kind] += counts_in(batch.column(4)[k], exact)
+                scale = max(scale, own)
+        if now is not None:
+            out.append(answer(now, sums, scale))
+        types = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["problem_id", "least", "estimate", "greatest"])
+
+    summed = rows.mapInArrow(parts, f"problem_id long, kind int, chunk long, scale double, sums array<{'binary' if exact else 'double'}>")
+    return summed.repartition("problem_id").sortWithinPartitions("problem_id", "kind", "chunk").mapInArrow(add, RANKS)
+
+
+def prepared(scratch: Scratch, costs: DataFrame, truth: DataFrame, max_len: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """Stored costs (problem_id, place, cost) from 0 for each subkey, keys (problem_id, key_cost, m), and the most subkeys of a problem.
+
+    Costs of subkeys without a true value are left out. Subkeys are merged up to ``max_len`` combinations first.
     """
-    hist, key, size, m = binned_costs(costs, truth, subkeys, n_bins)
-    hist = store(hist)
-    total = None
-    for k in subkeys:
-        own = ranges_of(hist.where(F.col("subkey") == k), width)
-        total = own if total is None else convolved_ranges(total, own, n_bins, width)
-    bins = total.select("problem_id", F.explode(F.arrays_zip(F.transform("at", lambda x: x + F.col("chunk") * width).alias("bin"), F.col("c"))).alias("e")).select("problem_id", "e.bin", "e.c")
-    return read_rank(bins, key, size, m, n_bins)
+    checked(costs, truth)
+    costs = costs.join(truth.select("problem_id", "subkey").distinct(), ["problem_id", "subkey"], "left_semi")
+    if max_len:
+        costs, truth = auto_merge(costs, truth, max_len)
+    own = costs.groupBy("problem_id", "subkey").agg(F.min("cost").alias("low"))
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("problem_id").orderBy("subkey")) - 1)  # one row for each subkey of a problem
+    shifted = scratch.store(costs.join(own, ["problem_id", "subkey"]).select("problem_id", "subkey", "place", "value", (F.col("cost") - F.col("low")).alias("cost")))
+    key = scratch.store(truth.join(shifted, ["problem_id", "subkey", "value"]).groupBy("problem_id").agg(ordered_sum().alias("key_cost"), F.count("*").alias("m")))
+    return shifted, key, key.agg(F.max("m")).first()[0] or 0
+
+
+def ranks_at(scratch: Scratch, shifted: DataFrame, key: DataFrame, most: int, n_bins: int, method: str, width: int) -> DataFrame:
+    """Ranks of those problems of ``key`` for which ``n_bins`` are enough."""
+    margin = F.ceil(F.col("m") / 2) + 1
+    keys = key.where(margin < n_bins).withColumn("size", F.col("key_cost") / (n_bins - margin))
+    at = F.floor(F.try_divide("cost", "size") + 0.5)
+    binned = shifted.join(keys, "problem_id").withColumn("bin", F.coalesce(at, F.when(F.col("cost") == 0, 0)))
+    hist = binned.where(F.col("bin") < n_bins).groupBy("problem_id", "place", "bin").agg(F.count("*").alias("c"))
+    # a problem of fewer subkeys takes neutral histograms for the rest
+    rest = keys.where(F.col("m") < most).select("problem_id", F.explode(F.sequence(F.col("m").cast("int"), F.lit(most - 1))).alias("place"), F.lit(0).cast("long").alias("bin"), F.lit(1).cast("long").alias("c"))
+    hist, total, exact = scratch.store(hist.unionByName(rest)), None, method in EXACT
+    for k in range(most):
+        own = ranges_of(hist.where(F.col("place") == k), width, exact)
+        if method == "scaledhist":
+            own = rescaled(own.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1)))), n_bins, width)
+        total = own if total is None else convolved_ranges(total, own, n_bins, width, exact)
+        if k and method == "scaledhist":
+            total = rescaled(scratch.store(total), n_bins, width)
+    return read_ranges(total, keys, n_bins, width, method)
+
+
+def histogram_rank(costs: DataFrame, truth: DataFrame, n_bins: int, method: str = "hist", max_len: int | None = None, width: int | None = None) -> DataFrame:
+    """(problem_id, least, estimate, greatest) with a fixed number of bins, any number of problems, subkeys and bins.
+
+    Histograms are tables of ranges of ``width`` bins, convolved pair by pair in tasks; no task holds a
+    problem. ``hist`` counts in doubles (exact up to 2^53 where a subkey fills few bins of a range),
+    ``scaledhist`` in doubles from below and above, divided so that none is lost to rounding,
+    ``histbignum`` in whole numbers of any size. Joins on ``problem_id`` meet a problem's ranges with
+    each other: n_bins / width of them a side. Subkeys may be ragged; an empty table gives no rows.
+    """
+    if method not in METHODS:
+        raise RankError(f"unknown method {method}")
+    scratch = Scratch(costs.sparkSession)
+    shifted, key, most = prepared(scratch, costs, truth, max_len)
+    if most and n_bins <= math.ceil(most / 2) + 1:
+        raise RankError("too few bins")
+    out = ranks_at(scratch, shifted, key, most, n_bins, method, width or (WIDTH_EXACT if method in EXACT else WIDTH)) if most else costs.sparkSession.createDataFrame([], RANKS)
+    return scratch.last(out)
+
+
+def accuracy_rank(costs: DataFrame, truth: DataFrame, accuracy: float = 1.0, method: str = "scaledhist", max_bins: int = MAX_BINS, max_len: int | None = MERGE_TO, width: int | None = None) -> DataFrame:
+    """(problem_id, least, estimate, greatest): bins are doubled from 16 until greatest and least rank lie within ``accuracy`` bits.
+
+    All open problems take a round together; those that are near enough leave it, and what ``max_bins``
+    give is kept for the rest. The driver knows whether any is open, nothing else.
+    """
+    if method not in METHODS:
+        raise RankError(f"unknown method {method}")
+    scratch = Scratch(costs.sparkSession)
+    shifted, key, most = prepared(scratch, costs, truth, max_len)
+    n_bins, found, still = 16, costs.sparkSession.createDataFrame([], RANKS), key
+    while most and n_bins <= max_bins and not still.isEmpty():
+        got = scratch.store(ranks_at(scratch, shifted, still, most, n_bins, method, width or (WIDTH_EXACT if method in EXACT else WIDTH)))
+        near = got if 2 * n_bins > max_bins else got.where(F.log2("greatest") - F.log2("least") <= accuracy)
+        found, still = found.unionByName(near), scratch.store(still.join(near, "problem_id", "left_anti"))
+        n_bins *= 2
+    if not still.isEmpty():
+        raise RankError("too few bins allowed")
+    return scratch.last(found)
+
+
+def partitioned_histogram_rank(costs: DataFrame, truth: DataFrame, subkeys: list[int], n_bins: int, width: int = WIDTH) -> DataFrame:
+    """``histogram_rank`` of some subkeys, in ranges of ``width`` bins."""
+    return histogram_rank(*(t.where(F.col("subkey").isin(subkeys)) for t in (costs, truth)), n_bins, width=width)
 
 
 def binned_costs(costs: DataFrame, truth: DataFrame, subkeys: list[int], n_bins: int) -> tuple[DataFrame, DataFrame, Column, int]:
@@ -333,7 +456,7 @@ def relational_histogram_rank(costs: DataFrame, truth: DataFrame, subkeys: list[
     """(problem_id, least, estimate, greatest) by joins alone: bins are filtered before each convolution join, counts are exact.
 
     The joins on ``problem_id`` multiply a problem's filled bins: for up to some ten thousand bins a
-    problem; ``partitioned_histogram_rank`` takes more.
+    problem; ``histogram_rank`` takes more.
     """
     hist, key, size, m = binned_costs(costs, truth, subkeys, n_bins)
     total = None

@@ -655,12 +655,12 @@ SELECT 0 AS problem_id, least::DOUBLE AS least, greatest(least, guess)::DOUBLE A
 
 @query("rank_hist", RANK_SQL)
 def rank_hist(spark, d):
-    return rank.rank_table(*costs_of(spark, d), n_bins=HIST_BINS)
+    return rank.histogram_rank(*costs_of(spark, d), HIST_BINS)
 
 
 @query("rank_exact", RANK_SQL)
 def rank_exact(spark, d):
-    return rank.rank_table(*costs_of(spark, d), n_bins=HIST_BINS, method="histbignum")
+    return rank.histogram_rank(*costs_of(spark, d), HIST_BINS, "histbignum")
 
 
 @query("rank_relational", RANK_SQL)
@@ -703,14 +703,32 @@ def rank_merged_naive(spark, d):
     return rank.naive_rank(costs, truth, [r.subkey for r in truth.select("subkey").distinct().orderBy("subkey").collect()])
 
 
-@query("rank_scaled")
+WHOLE_SQL = f"""WITH {COSTS}, c AS (SELECT c0.cost + c1.cost + c2.cost AS cost, t0.value IS NOT NULL AND t1.value IS NOT NULL AND t2.value IS NOT NULL AS t FROM costs AS c0, costs AS c1, costs AS c2
+  LEFT JOIN truth AS t0 ON t0.subkey = 0 AND t0.value = c0.value LEFT JOIN truth AS t1 ON t1.subkey = 1 AND t1.value = c1.value LEFT JOIN truth AS t2 ON t2.subkey = 2 AND t2.value = c2.value
+  WHERE c0.subkey = 0 AND c1.subkey = 1 AND c2.subkey = 2),
+k AS (SELECT max(cost) FILTER (t) - min(cost) AS key_cost, min(cost) AS low FROM c),
+n AS (SELECT n, key_cost, low, key_cost / (n - 2) AS size FROM k, (SELECT (16 * power(2, i))::BIGINT AS n FROM range(23) AS x(i))),
+m AS (SELECT *, greatest(0, least(n - 1, ceil(key_cost / size - 0.5))) AS lo, greatest(0, least(n - 1, floor(key_cost / size + 0.5))) AS mid FROM n),
+b AS (SELECT n, lo, mid, floor((cost - low) / size + 0.5) AS bin FROM c, m),
+r AS (SELECT n, 1.0 + count(*) FILTER (bin < lo) AS least, count(*) FILTER (bin < mid) + ceil(count(*) FILTER (bin = mid) / 2.0) AS guess, count(*) FILTER (bin <= mid)::DOUBLE AS most FROM b GROUP BY n),
+a AS (SELECT n, 0 AS problem_id, least::DOUBLE AS least, greatest(least, guess)::DOUBLE AS estimate, greatest(least, most)::DOUBLE AS greatest FROM r)"""
+
+
+@query("rank_scaled", f"{WHOLE_SQL} SELECT * EXCLUDE (n) FROM a WHERE n = {HIST_BINS}")
 def rank_scaled(spark, d):
-    return rank.rank_table(*costs_of(spark, d), n_bins=HIST_BINS, method="scaledhist", merge=None)
+    """All subkeys merged, counts from below and above."""
+    return rank.histogram_rank(*costs_of(spark, d), HIST_BINS, "scaledhist", rank.MERGE_TO)
+
+
+@query("rank_scaled_convolved", RANK_SQL)
+def rank_scaled_convolved(spark, d):
+    """Subkeys convolved in ranges of sixteen bins, counts from below and above."""
+    return rank.histogram_rank(*costs_of(spark, d), HIST_BINS, "scaledhist", width=16)
 
 
-@query("rank_accuracy")
+@query("rank_accuracy", f"{WHOLE_SQL} SELECT * EXCLUDE (n) FROM a WHERE log2(greatest) - log2(least) <= 0.5 OR n = {rank.MAX_BINS} ORDER BY n LIMIT 1")
 def rank_accuracy(spark, d):
-    return rank.rank_table(*costs_of(spark, d), accuracy=0.5, method="scaledhist", merge=None)
+    return rank.accuracy_rank(*costs_of(spark, d), 0.5)
 
 
 @query("simulated_snr")
